@@ -9,7 +9,9 @@ from ..functions.text import WHITE_SPACE, canonical_order_number, trim_ws
 from ..operators.as_of import Facts, as_known_join
 from ..operators.cow_table import CowTable
 from ..operators.message_store import MessageStore, arrival_waves
+from ..operators.record_split import HEADERS, framed, rejects, typed_rows
 from ..operators.references import Edge, Node, existence_spans, orphan_report, orphans
+from ..operators.units import base_quantities
 from ..session import shared_dir, table
 
 #: DuckDB expression for the white space of TESTDATA.md
@@ -113,6 +115,38 @@ SQL["p2_effects"] = " UNION ALL ".join(
 )
 
 
+# -- 3: rows that fail to parse ----------------------------------------------------
+def _frames(spark: SparkSession, sf: str, judged: bool = False) -> DataFrame:
+    records = table(spark, sf, "records")
+    return framed(records if judged else records.where("outcome is null"), table(spark, sf, "file_receipts"))
+
+
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    return rejects(_frames(spark, sf)).select("record_id", "reason")
+
+
+def p3_rejects(spark: SparkSession, sf: str) -> DataFrame:
+    """All rejected rows, also of judged files, with line, outcome, code and field."""
+    return rejects(_frames(spark, sf, True)).select("record_id", "line", "outcome", "reason", "code", "field")
+
+
+def _p3_typed(dataset: str):
+    def q(spark: SparkSession, sf: str) -> DataFrame:
+        frames = _frames(spark, sf, True)
+        return typed_rows(frames, rejects(frames), dataset)
+
+    return q
+
+
+# -- 4: units ----------------------------------------------------------------------
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p4_quantities(spark, sf).where("not plain").select("line_id", "base_uom", "base_milli")
+
+
+def p4_quantities(spark: SparkSession, sf: str) -> DataFrame:
+    return base_quantities(table(spark, sf, "purchase_order_lines"), table(spark, sf, "file_receipts"), table(spark, sf, "uom_conversions"))
+
+
 # -- 5: references ---------------------------------------------------------------
 def payables_orphans(spark: SparkSession, sf: str) -> DataFrame:
     lines, orders, props = (table(spark, sf, t) for t in ("purchase_order_lines", "purchase_orders", "proposals"))
@@ -196,5 +230,6 @@ SELECT proposal_id, fx_rate_id FROM w WHERE best = 1"""
 
 QUERIES = {
     "p1_found": p1_found, "p1_messages": p1_messages, "p2_found": p2_found, "p2_suppliers": p2_suppliers, "p2_effects": p2_effects,
+    "p3_found": p3_found, "p3_rejects": p3_rejects, **{f"p3_typed_{d}": _p3_typed(d) for d in HEADERS}, "p4_found": p4_found, "p4_quantities": p4_quantities,
     "p5_found": p5_found, "p5_report": p5_report, "p7_found": p7_found,
 }
