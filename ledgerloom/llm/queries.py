@@ -6,12 +6,29 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table, written
+from . import encodings as enc
 from . import mixture as mix
 from . import tokenizer as tok
 
 SQL: dict[str, str] = {}
 
 
+# -- 6: wrong character sets --------------------------------------------------------
+def _damage(spark: SparkSession, sf: str) -> DataFrame:
+    names = table(spark, sf, "suppliers").select(F.lit("suppliers").alias("source_table"), F.col("change_id").alias("row_id"), F.col("name").alias("text"))
+    docs = table(spark, sf, "documents").select(F.lit("documents").alias("source_table"), F.col("doc_id").alias("row_id"), "text")
+    return enc.find_damage(names.unionByName(docs))
+
+
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    return _damage(spark, sf).select("source_table", "row_id")
+
+
+def p6_restored(spark: SparkSession, sf: str) -> DataFrame:
+    """The affected rows with the text restored as far as possible."""
+    return _damage(spark, sf).select("source_table", "row_id", "pair", "restorable", "restored")
+
+
 # -- 8: encoding the corpus -------------------------------------------------------
 def p8_ids(spark: SparkSession, sf: str) -> DataFrame:
     return tok.encode(table(spark, sf, "documents"))
@@ -42,4 +59,4 @@ def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
     return mix.shares(*_mix(spark, sf))
 
 
-QUERIES = {"p8_ids": p8_ids, "p8_roundtrip": p8_roundtrip, "p9_mixture": p9_mixture, "p9_shares": p9_shares}
+QUERIES = {"p6_found": p6_found, "p6_restored": p6_restored, "p8_ids": p8_ids, "p8_roundtrip": p8_roundtrip, "p9_mixture": p9_mixture, "p9_shares": p9_shares}
