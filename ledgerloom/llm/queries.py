@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..session import table, written
 from . import encodings as enc
 from . import mixture as mix
+from . import quality
 from . import tokenizer as tok
 
 SQL: dict[str, str] = {}
@@ -59,4 +60,33 @@ def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
     return mix.shares(*_mix(spark, sf))
 
 
-QUERIES = {"p6_found": p6_found, "p6_restored": p6_restored, "p8_ids": p8_ids, "p8_roundtrip": p8_roundtrip, "p9_mixture": p9_mixture, "p9_shares": p9_shares}
+# -- 10: text quality ---------------------------------------------------------------
+def p10_found(spark: SparkSession, sf: str) -> DataFrame:
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "doc_labels")
+    model = quality.fit_sample(docs, labels)
+    unlabelled = docs.join(labels.select("doc_id"), "doc_id", "left_anti")
+    return quality.shapes(unlabelled, model).where("not natural").select("doc_id")
+
+
+def p10_shapes(spark: SparkSession, sf: str) -> DataFrame:
+    """Shares of the four shapes of every document."""
+    docs = table(spark, sf, "documents")
+    return quality.shapes(docs, quality.fit_sample(docs, table(spark, sf, "doc_labels")))
+
+
+def p10_statistics(spark: SparkSession, sf: str) -> DataFrame:
+    return quality.statistics(table(spark, sf, "documents"))
+
+
+_COMMON = ", ".join("'" + w + "'" for w in sorted(quality.COMMON))
+SQL["p10_statistics"] = f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+s AS (SELECT doc_id, list_filter(string_split_regex(t, '[ \\t\\r\\n]+'), lambda w: w <> '') AS w,
+  list_filter(list_transform(string_split(t, chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(13))), lambda x: x <> '') AS l,
+  length(regexp_replace(t, '[ \\t\\r\\n]', '', 'g')) AS solid, length(regexp_replace(t, '[\\p{{L}}\\p{{N}} \\t\\r\\n]', '', 'g')) AS symbols FROM d),
+n AS (SELECT *, CAST(len(w) AS BIGINT) AS n, len(l) AS nl, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS total FROM s)
+SELECT doc_id, n AS n_words, CASE WHEN n > 0 THEN CAST(total AS DOUBLE) / CAST(n AS DOUBLE) END AS mean_word_length,
+  CASE WHEN solid > 0 THEN CAST(symbols AS DOUBLE) / CAST(solid AS DOUBLE) END AS symbol_ratio,
+  CASE WHEN nl > 0 THEN CAST(len(list_filter(l, lambda x: right(x, 1) IN ('.', '!', '?', ':', ';', ','))) AS DOUBLE) / CAST(nl AS DOUBLE) END AS punctuated_lines,
+  CASE WHEN n > 0 THEN CAST(len(list_filter(w, lambda x: trim(lower(x), '.,;:!?()"' || chr(39)) IN ({_COMMON}))) AS DOUBLE) / CAST(n AS DOUBLE) END AS common_words FROM n"""
+
+QUERIES = {"p6_found": p6_found, "p6_restored": p6_restored, "p8_ids": p8_ids, "p8_roundtrip": p8_roundtrip, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p10_found": p10_found, "p10_shapes": p10_shapes, "p10_statistics": p10_statistics}
