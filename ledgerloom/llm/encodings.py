@@ -267,6 +267,10 @@ def _emissions(shared) -> dict[str, Emissions]:
 _EMPTY = Emissions({})
 
 
+def _path(models: dict[str, Emissions] | None, tag: str, text: str) -> list[tuple[int, int, int, str]] | None:
+    return None if models is None else spans(text, models.get(tag, _EMPTY))
+
+
 def find_damage(texts: DataFrame, rounds: int = 2) -> DataFrame:
     """texts(source_table, row_id, text) -> the damaged rows: source_table, row_id, pair (of the first
     damaged span), n_spans, restorable, damaged, restored."""
@@ -279,8 +283,7 @@ def find_damage(texts: DataFrame, rounds: int = 2) -> DataFrame:
             into: Counter = Counter()
             for b in batches:
                 for tag, text in zip(b.column(0).to_pylist(), b.column(2).to_pylist()):
-                    path = spans(text, models.get(tag, _EMPTY)) if models else None
-                    count_characters(text, path, into, tag)
+                    count_characters(text, _path(models, tag, text), into, tag)
             yield pa.RecordBatch.from_arrays([pa.array([k[i] for k in into], pa.string()) for i in range(4)] + [pa.array(list(into.values()), pa.int64())], names=["tag", "l", "c", "r", "n"])
 
         counted = _models(some.mapInArrow(tally, "tag string, l string, c string, r string, n bigint"))
@@ -291,7 +294,7 @@ def find_damage(texts: DataFrame, rounds: int = 2) -> DataFrame:
         for b in batches:
             rows = []
             for tag, row_id, text in zip(*(b.column(i).to_pylist() for i in range(3))):
-                path = spans(text, models.get(tag, _EMPTY))
+                path = _path(models, tag, text)
                 bad = [p for p in path if p[2]]
                 if bad:
                     first = PAIRS[bad[0][2] - 1]
