@@ -4,6 +4,6 @@ from __future__ import annotations
 
 
 def modules() -> list:
-    from . import payables
+    from . import inventory, payables
 
-    return [payables]
+    return [payables, inventory]
