@@ -148,8 +148,9 @@ class Emissions:
             return math.log(1e-6)
         return math.log(p / self.total + FLOOR)
 
-    def _run(self, left: str, run: str, right: str) -> list[list[tuple[int, int, float, str]]]:
-        """Per position of a run the units that start there, with their emissions."""
+    def _run(self, left: str, run: str, right: str) -> tuple[list[list[tuple[int, int, float, str]]], bool]:
+        """Per position of a run the units that start there, with their emissions; and whether no
+        choice of units beats the clean one even with free transitions."""
         ends = [left, *map(context, run), right]
         out = []
         for i in range(len(run)):
@@ -161,7 +162,11 @@ class Emissions:
                     p = self.log(ends[i], orig, ends[i + n + 1], 0 if k else DISCOUNT)
                 row.append((k, n, p, orig))
             out.append(row)
-        return out
+        best = [0.0] + [-math.inf] * len(run)
+        for i, row in enumerate(out):
+            for _, n, p, _ in row:
+                best[i + n] = max(best[i + n], best[i] + p)
+        return out, sum(row[0][2] for row in out) >= best[-1]
 
 
 _STAY, _LEAVE, _CROSS = math.log(GOES_ON), math.log(1 - GOES_ON - 0.01), math.log(0.01 / (N - 1))
@@ -170,14 +175,19 @@ _FIRST = [math.log(1 - BEGINS)] + [math.log(BEGINS / (N - 1))] * (N - 1)
 
 
 def spans(text: str, model: Emissions) -> list[tuple[int, int, int, str]]:
-    """The units of the best path: (start, end, state, original)."""
+    """The units of the best path: (start, end, state, original); an empty list if all is clean."""
+    # transitions favour the clean state, so where it wins every run it wins the text
+    runs = []
+    last = len(text)
+    for m in OUTSIDE.finditer(text):
+        a, b = m.span()
+        runs.append((a, b, model.run(context(text[a - 1]) if a else " ", m.group(), context(text[b]) if b < last else " ")))
+    if all(r[2][1] for r in runs):
+        return []
     alpha: dict[int, float] | None = None
     trail: list[tuple] = []  # (start, end, state, original, index of the unit before)
     ends: dict[int, int] = {}  # state -> index in trail of its last unit
-    for m in OUTSIDE.finditer(text):
-        a, b = m.span()
-        left, right = context(text[a - 1]) if a else " ", context(text[b]) if b < len(text) else " "
-        table = model.run(left, m.group(), right)
+    for a, b, (table, _) in runs:
         at: list[dict[int, tuple[float, int]]] = [{} for _ in range(b - a + 1)]
         if alpha is not None:
             at[0] = {k: (s, ends[k]) for k, s in alpha.items()}
@@ -226,22 +236,29 @@ def restored(text: str, path: list[tuple[int, int, int, str]]) -> str:
     return "".join([*out, text[at:]])
 
 
-def count_characters(text: str, path: list[tuple[int, int, int, str]] | None, into: Counter, tag: str) -> None:
-    """Add the contexts of a text's characters, as labelled; without labels, what reads as UTF-8
-    under some pair is left out of the count."""
-    if path is not None:
+def count_runs(text: str, path: list[tuple[int, int, int, str]] | None, into: Counter, tag: str) -> None:
+    """Add the runs of a text, as labelled, with the contexts at their ends."""
+    if path:
         text = restored(text, path)
+    last = len(text)
     for m in OUTSIDE.finditer(text):
-        a, run = m.start(), m.group()
-        skip = 0
+        a, b = m.span()
+        into[tag, context(text[a - 1]) if a else " ", m.group(), context(text[b]) if b < last else " "] += 1
+
+
+def count_characters(runs: Counter, labelled: bool) -> Counter:
+    """Characters in their contexts from counted runs; without labels, what reads as UTF-8 under
+    some pair is left out of the count."""
+    out: Counter = Counter()
+    for (tag, left, run, right), n in runs.items():
+        ends, skip = [left, *map(context, run), right], 0
         for i, ch in enumerate(run):
-            if path is None and i >= skip:
-                got = [n for k, n, _ in units(run, i) if k and n > 1]
+            if not labelled and i >= skip:
+                got = [k for state, k, _ in units(run, i) if state and k > 1]
                 skip = i + max(got) if got else skip
-            if (path is None and i < skip) or ch not in REPERTOIRE:
-                continue
-            j = a + i
-            into[tag, context(text[j - 1]) if j else " ", ch, context(text[j + 1]) if j + 1 < len(text) else " "] += 1
+            if ch in REPERTOIRE and (labelled or i >= skip):
+                out[tag, ends[i], ch, ends[i + 2]] += n
+    return out
 
 
 # -- the operator --------------------------------------------------------------------
@@ -280,10 +297,11 @@ def find_damage(texts: DataFrame, rounds: int = 2) -> DataFrame:
     for _ in range(rounds):
         def tally(batches, shared=shared):
             models = _emissions(shared) if shared else None
-            into: Counter = Counter()
+            runs: Counter = Counter()
             for b in batches:
                 for tag, text in zip(b.column(0).to_pylist(), b.column(2).to_pylist()):
-                    count_characters(text, _path(models, tag, text), into, tag)
+                    count_runs(text, _path(models, tag, text), runs, tag)
+            into = count_characters(runs, models is not None)
             yield pa.RecordBatch.from_arrays([pa.array([k[i] for k in into], pa.string()) for i in range(4)] + [pa.array(list(into.values()), pa.int64())], names=["tag", "l", "c", "r", "n"])
 
         counted = _models(some.mapInArrow(tally, "tag string, l string, c string, r string, n bigint"))
