@@ -39,6 +39,10 @@ il lo gli i una uno e ed o ma non è sono stato di del della dei che con per da
 _WORD = re.compile(r"[^\W\d_]+", re.U)
 _MARK = re.compile(r"^(\s*)(?:([-*•–·+>▪◦])\s+|\(?(\d{1,3}|[A-Za-z])[.)]\s+|(\[[ xX]?\])\s*)")
 _GAPS = re.compile(r"\S {2,}(?=\S)")
+#: class of each Latin-1 character: letter, capital, digit, white space or symbol
+_KINDS = bytes(
+    ord("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else " " if c.isspace() else ".") for c in map(chr, range(256))
+)
 _TORN = re.compile(r"[^\W\d_][^\w\s'’.,:;!?/()–-][^\W_]|[^\W\d_]\d[^\W\d_]", re.U)
 
 
@@ -73,15 +77,19 @@ def observe(lines: list[str]) -> list[tuple[int, ...]]:
 
 def observe_line(line: str) -> tuple[int, ...]:
     n = len(line)
-    letters = sum(map(str.isalpha, line))
-    digits = sum(map(str.isdigit, line))
-    blanks = n - len("".join(line.split()))
-    symbols = n - letters - digits - blanks
-    words = [w.lower() for w in _WORD.findall(line)]
-    k = len(words)
-    common = sum(w in COMMON for w in words)
     tokens = line.split()
     m = len(tokens)
+    try:  # one byte a character: count the classes in one pass of the C library
+        kinds = line.encode("latin-1").translate(_KINDS)
+        upper, digits, blanks = kinds.count(b"A"), kinds.count(b"0"), kinds.count(b" ")
+        letters = kinds.count(b"a") + upper
+    except UnicodeEncodeError:
+        letters, digits, upper = sum(map(str.isalpha, line)), sum(map(str.isdigit, line)), sum(map(str.isupper, line))
+        blanks = n - sum(map(len, tokens))
+    symbols = n - letters - digits - blanks
+    words = _WORD.findall(line.lower())
+    k = len(words)
+    common = sum(map(COMMON.__contains__, words))
     mark = _MARK.match(line)
     columns = max(line.count("\t"), line.count("|"), line.count(";"), line.count('","'), len(_GAPS.findall(line)) if m > 2 else 0)
     last = line.rstrip()[-1:]
@@ -103,7 +111,7 @@ def observe_line(line: str) -> tuple[int, ...]:
         _bin(max(map(len, tokens), default=0), (12, 20, 30, 60)),
         _bin(line.count(",") / max(1, m), (0, 0.08, 0.2, 0.4)),
         0 if first.islower() else 1 if first.isupper() else 2 if first.isdigit() else 3,
-        0 if not letters else _bin(sum(map(str.isupper, line)) / letters, (0, 0.06, 0.2, 0.5, 0.95)),
+        0 if not letters else _bin(upper / letters, (0, 0.06, 0.2, 0.5, 0.95)),
     )
 
 
@@ -112,6 +120,8 @@ WAYS = {"prose": 4, "list": 4, "table": 4, "junk": 10}
 #: the shape of each state
 OF = np.array([i for i, s in enumerate(SHAPES) for _ in range(WAYS[s])])
 BINS = 8
+#: documents labelled together
+GROUP = 512
 
 
 class LineModel:
@@ -150,14 +160,44 @@ class LineModel:
             path.append(s)
         return np.array(path[::-1])
 
+    def label_many(self, docs: list[list[tuple[int, ...]]]) -> list[np.ndarray]:
+        """Viterbi paths of many documents, a line of all of them at a time: the same as ``label``."""
+        order = sorted(range(len(docs)), key=lambda i: -len(docs[i]))
+        sizes = [len(docs[i]) for i in order]
+        if not order or not sizes[0]:
+            return [np.zeros(0, int) for _ in docs]
+        below = np.array(sizes)
+        live = [int((below > t).sum()) for t in range(sizes[0])]
+        flat = self.emit.transpose(1, 2, 0)  # feature, bin, state
+        width = np.arange(flat.shape[0])
+        score = lambda rows: self.TEMPER * flat[width, np.array(rows)].sum(axis=1)
+        at = self.first + score([docs[i][0] for i in order[: live[0]]])
+        back = []
+        for t in range(1, sizes[0]):
+            way = at[: live[t], :, None] + self.move
+            best = way.argmax(axis=1)
+            at[: live[t]] = np.take_along_axis(way, best[:, None, :], axis=1)[:, 0] + score([docs[i][t] for i in order[: live[t]]])
+            back.append(best)
+        paths = [np.zeros(len(d), int) for d in docs]
+        for j, i in enumerate(order[: live[0]]):
+            s = int(at[j].argmax())
+            paths[i][-1] = s
+            for t in range(len(docs[i]) - 1, 0, -1):
+                s = int(back[t - 1][j, s])
+                paths[i][t - 1] = s
+        return paths
+
     def shares(self, text: str | None) -> list[float] | None:
-        """Share of the characters in lines of each shape."""
-        lines = pieces(text) if text else []
-        if not lines:
-            return None
-        path = OF[self.label(observe(lines))]
-        got = np.bincount(path, weights=[len(x) for x in lines], minlength=4)
-        return (got / got.sum()).tolist()
+        return self.shares_many([text])[0]
+
+    def shares_many(self, texts: list[str | None]) -> list[list[float] | None]:
+        """Share of the characters in lines of each shape; null for a text without lines."""
+        lines = [pieces(t) if t else [] for t in texts]
+        out: list[list[float] | None] = []
+        for own, path in zip(lines, self.label_many([observe(x) for x in lines])):
+            got = np.bincount(OF[path], weights=[len(x) for x in own], minlength=4) if own else None
+            out.append(None if got is None else (got / got.sum()).tolist())
+        return out
 
 
 def _estimate(docs: list[tuple[list[tuple], np.ndarray]], width: int) -> LineModel:
@@ -239,7 +279,8 @@ def shapes(docs: DataFrame, model: LineModel, id_col: str = "doc_id", text_col:
     def run(batches):
         m = shared.value
         for b in batches:
-            rows = [m.shares(t) for t in b.column(1).to_pylist()]
+            texts = b.column(1).to_pylist()
+            rows = [r for lo in range(0, len(texts), GROUP) for r in m.shares_many(texts[lo : lo + GROUP])]
             cols = [pa.array([None if r is None else r[i] for r in rows], pa.float64()) for i in range(4)]
             natural = pa.array([None if r is None else 1 - r[0] <= m.bound for r in rows], pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(0), *cols, natural], names=[id_col, *SHAPES, "natural"])
