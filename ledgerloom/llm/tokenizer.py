@@ -97,6 +97,7 @@ def piece_starts(sym: np.ndarray, block: int = 256, window: int = 1 << 20) -> np
     chain the block functions to get each block's entry state, then run the blocks at once."""
     out = np.empty(len(sym), bool)
     state = BOS
+    window = -(-window // block) * block  # only the last window may end inside a block
     for lo in range(0, len(sym), window):
         part = sym[lo : lo + window]
         n = len(part)
