@@ -4,6 +4,6 @@ from __future__ import annotations
 
 
 def modules() -> list:
-    from . import inventory, payables
+    from . import inventory, payables, pipelines
 
-    return [payables, inventory]
+    return [payables, inventory, pipelines]
