@@ -21,7 +21,7 @@ CURRENCY_SCALE = {"CHF": 2, "EUR": 2, "USD": 2, "GBP": 2, "SEK": 2, "DKK": 2, "N
 
 def canonical_number(text: Column, decimal_sep: Column, thousands_sep: Column) -> Column:
     """The text with ' for every accepted group mark and . for the decimal separator, the
-    currency prefix gone; null if it is none of the accepted shapes. A null or empty
+    currency prefix gone; empty if it is none of the accepted shapes. A null or empty
     decimal separator is a point, any other than point or comma makes every number invalid."""
     dec = F.coalesce(F.when(decimal_sep != "", decimal_sep), F.lit("."))
     tho = F.coalesce(F.when((thousands_sep != "") & (thousands_sep != dec), thousands_sep), F.lit("'"))
@@ -29,7 +29,7 @@ def canonical_number(text: Column, decimal_sep: Column, thousands_sep: Column) -
     t = F.replace(F.regexp_replace(text, "^[A-Z]{3} +(?=.)", ""), tho, F.lit("'"))
     comma = dec == ","
     t = F.call_function("translate", t, F.when(comma, "’,.").otherwise("’"), F.when(comma, "'.!").otherwise("'"))
-    return F.nullif(F.regexp_extract(F.when(dec.isin(".", ","), t), NUMBER_SHAPE, 1), F.lit(""))
+    return F.regexp_extract(F.when(dec.isin(".", ","), t).otherwise(""), NUMBER_SHAPE, 1)
 
 
 def number_value(canonical: Column) -> Column:

@@ -87,13 +87,16 @@ def unquoted(raw: Column) -> Column:
 def framed(records: DataFrame, receipts: DataFrame) -> DataFrame:
     """record_id, line, dataset, the dialect, cells array<struct<pos,name,raw>>, n_cells, n_header."""
     r = records.select("record_id", "batch_id", F.col("file").alias("path"), "line", "dataset", "raw_text")
-    j = r.join(dialects(receipts), ["batch_id", "path"], "left")
-    delim = F.coalesce(F.when(F.col("delimiter") != "", F.col("delimiter")), F.lit(","))
-    default = F.lit(None).cast("string")
+    # the header is split once per file, before the join: per record it would be split per field
+    d = dialects(receipts).withColumn("delimiter", F.coalesce(F.when(F.col("delimiter") != "", F.col("delimiter")), F.lit(",")))
+    names = F.split("header_line", F.concat(F.lit("\\Q"), F.col("delimiter"), F.lit("\\E")))
+    d = d.withColumn("header", F.transform(names, lambda h: trim_ws(h))).drop("header_line")
+    j = r.join(d, ["batch_id", "path"], "left")
+    delim = F.coalesce("delimiter", F.lit(","))
+    default = F.lit(None).cast("array<string>")
     for name, cols in HEADERS.items():
-        default = F.when(F.col("dataset") == name, F.array_join(F.array(*map(F.lit, cols)), "\x00")).otherwise(default)
-    header = F.when(F.col("header_line").isNotNull(), F.split(F.col("header_line"), F.concat(F.lit("\\Q"), delim, F.lit("\\E")))).otherwise(F.split(default, "\x00"))
-    j = j.select("record_id", "line", "dataset", "decimal_separator", "thousands_separator", (F.col("date_format") == "DD.MM.YYYY").alias("dotted"), F.transform(header, lambda h: trim_ws(h)).alias("header"), fields(F.col("raw_text"), delim).alias("raws"))
+        default = F.when(F.col("dataset") == name, F.array(*map(F.lit, cols))).otherwise(default)
+    j = j.select("record_id", "line", "dataset", "decimal_separator", "thousands_separator", (F.col("date_format") == "DD.MM.YYYY").alias("dotted"), F.coalesce("header", default).alias("header"), fields(F.col("raw_text"), delim).alias("raws"))
     cells = F.transform("raws", lambda x, i: F.struct(i.alias("pos"), F.get("header", i).alias("name"), x.alias("raw")))
     return j.select("record_id", "line", "dataset", "decimal_separator", "thousands_separator", F.coalesce("dotted", F.lit(False)).alias("dotted"), cells.alias("cells"), F.size("raws").alias("n_cells"), F.size("header").alias("n_header"))
 
@@ -109,7 +112,7 @@ def valid(check: Column, v: Column, dec: Column, tho: Column, dotted: Column) ->
         .when(check == "unit", v.isin(*UNITS))
         .when(check == "rate_type", v.isin("DAILY", "MONTHLY_AVG"))
         .when(check == "status", v.isin("ACTIVE", "DELETED"))
-        .when(check == "number", canonical_number(v, dec, tho).isNotNull())
+        .when(check == "number", canonical_number(v, dec, tho) != "")
         .when(check == "date", real_date(v, dotted).isNotNull())
         .when(check == "date_or_empty", (v == "") | real_date(v, dotted).isNotNull())
         .otherwise(True)
