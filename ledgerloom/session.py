@@ -41,6 +41,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, *cols: str) -> DataFrame:
+    """A scan with fewer splits than the cluster has cores, hashed over all cores, for the Python
+    work that follows. Inputs of many splits stay as they are: no shuffle at scale. Only for plain
+    scans, whose number of splits is known without running anything."""
+    want = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= want else df.repartition(want, *cols)
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """``df`` written to the shared folder and read back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
