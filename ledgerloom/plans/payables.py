@@ -233,3 +233,58 @@ QUERIES = {
     "p3_found": p3_found, "p3_rejects": p3_rejects, **{f"p3_typed_{d}": _p3_typed(d) for d in HEADERS}, "p4_found": p4_found, "p4_quantities": p4_quantities,
     "p5_found": p5_found, "p5_report": p5_report, "p7_found": p7_found,
 }
+
+
+# -- SQL of 3 and 4 ---------------------------------------------------------------------
+def _sql_number(v: str, dec: str = "dec", tho: str = "tho") -> str:
+    """Canonical number text: ' groups, . separates; null if no accepted shape."""
+    t = f"regexp_replace({v}, '^[A-Z]{{3}} +(.)', '\\1')"
+    t = f"CASE WHEN {tho} IS NOT NULL AND {tho} <> '' AND {tho} <> {dec} THEN replace({t}, {tho}, chr(39)) ELSE {t} END"
+    t = f"replace({t}, '’', chr(39))"
+    t = f"CASE WHEN {dec} = ',' THEN replace(replace({t}, '.', '!'), ',', '.') ELSE {t} END"
+    i = "(?:[0-9]{1,3}(?:''[0-9]{3})+|[0-9]+)"
+    shape = rf"-?{i}(?:\.[0-9]+|\.-)?|{i}(?:\.[0-9]+)?-|\({i}(?:\.[0-9]+|\.-)?\)"
+    return f"CASE WHEN {dec} IN ('.', ',') AND regexp_full_match({t}, '{shape}') THEN {t} END"
+
+
+_DIALECT = """(SELECT batch_id, path, min_by(struct_pack(delimiter, decimal_separator, thousands_separator, date_format, header_line), receipt_id) AS x FROM file_receipts GROUP BY ALL)"""
+_CUR = "('CHF','EUR','USD','GBP','SEK','DKK','NOK','HUF','IDR','JPY')"
+_DATE = """((regexp_full_match(v, '[0-9]{4}-[0-9]{2}-[0-9]{2}') AND try_cast(v AS DATE) IS NOT NULL) OR (dotted AND regexp_full_match(v, '[0-9]{2}\\.[0-9]{2}\\.[0-9]{4}') AND try_strptime(v, '%d.%m.%Y') IS NOT NULL))"""
+SQL["p3_found"] = f"""WITH r AS (SELECT record_id, dataset, raw_text, coalesce(x.delimiter, ',') AS d, coalesce(x.decimal_separator, '.') AS dec, x.thousands_separator AS tho,
+  coalesce(x.date_format = 'DD.MM.YYYY', false) AS dotted, x.header_line AS h FROM records LEFT JOIN {_DIALECT} f ON f.batch_id = records.batch_id AND f.path = records.file WHERE outcome IS NULL),
+t AS (SELECT *, string_split(h, d) AS names, regexp_extract_all(coalesce(raw_text, '') || d, CASE d WHEN ';' THEN '("(?:[^"]|"")*"|[^;]*);' WHEN ',' THEN '("(?:[^"]|"")*"|[^,]*),' ELSE '("(?:[^"]|"")*"|[^|]*)[|]' END, 1) AS cells FROM r),
+c AS (SELECT record_id, dataset, dec, tho, dotted, len(cells) <> len(names) AS off, unnest(cells) AS raw, unnest(list_transform(range(1, len(cells) + 1), lambda i: names[i])) AS name FROM t),
+v AS (SELECT *, starts_with(raw, '"') AND NOT regexp_full_match(raw, '(?s)"(?:[^"]|"")*"') AS torn,
+  {sql_trim("CASE WHEN starts_with(raw, '\"') THEN replace(raw[2:-2], '\"\"', '\"') ELSE raw END")} AS v FROM c),
+k AS (SELECT record_id, torn, off, CASE
+  WHEN (dataset, name) IN (('supplier','supplier_number'),('supplier','name'),('purchase_order_line','po_number'),('purchase_order_line','line_no')) THEN v <> ''
+  WHEN (dataset, name) IN (('supplier','currency'),('purchase_order_line','currency'),('fx_rate','base'),('fx_rate','quote')) THEN v IN {_CUR}
+  WHEN (dataset, name) = ('supplier','country') THEN regexp_full_match(v, '([A-Z]{{2}})?')
+  WHEN (dataset, name) IN (('supplier','payment_terms_days'),('supplier','change_seq'),('purchase_order_line','change_seq'),('fx_rate','rate_factor'),('fx_rate','sequence')) THEN regexp_full_match(v, '[0-9]+')
+  WHEN (dataset, name) = ('supplier','blocked') THEN lower(v) IN ('','true','false','1','0')
+  WHEN (dataset, name) = ('purchase_order_line','uom') THEN v IN ('EA','PCE','CTN','KG','G','L','M','STK','STD','PAU','M2','H','TON','PAL')
+  WHEN (dataset, name) = ('fx_rate','rate_type') THEN v IN ('DAILY','MONTHLY_AVG') WHEN (dataset, name) = ('fx_rate','status') THEN v IN ('ACTIVE','DELETED')
+  WHEN (dataset, name) = ('fx_rate','valid_from') THEN {_DATE} WHEN (dataset, name) = ('fx_rate','valid_to') THEN v = '' OR {_DATE}
+  WHEN (dataset, name) IN (('purchase_order_line','quantity'),('purchase_order_line','unit_price'),('fx_rate','rate')) THEN ({_sql_number('v')}) IS NOT NULL ELSE true END AS ok FROM v)
+SELECT record_id, CASE WHEN bool_or(torn) THEN 'quoting' WHEN bool_or(off) THEN 'column_count' ELSE 'value' END AS reason FROM k GROUP BY record_id HAVING bool_or(torn) OR bool_or(off) OR bool_or(NOT ok)"""
+
+#: the unit words of the sending systems, for the SQL only; the operator segments them
+_WORDS = {
+    "EA": "ea|each", "PCE": "pce|pc|pcs|piece|pieces|pièce|pièces", "CTN": "ctn|carton|cartons|karton|kartons|ktn", "KG": "kg|kgs|kilo|kilogramm|kilogram|kilograms", "G": "g|gr|gramm|gram|grams",
+    "L": "l|ltr|liter|litre|litres", "M": "m|mtr|meter|metre|metres", "STK": "stk|stück|stueck", "STD": "std|stunde|stunden", "PAU": "pau|pausch|pauschal|pauschale|lump sum", "M2": "m2|m²|qm|sqm|quadratmeter",
+    "H": "h|hrs|hour|hours|heures", "TON": "ton|t|to|tonne|tonnen|tonnes", "PAL": "pal|palette",
+}
+_UNIT = "CASE " + " ".join(f"WHEN regexp_full_match(w, '({p})\\.?') THEN '{c}'" for c, p in _WORDS.items()) + " END"
+_SHAPE = "(?s)^((?:[A-Z]{3} +)?[^\\p{L}]*?)\\s*([\\p{L}].*)$"
+SQL["p4_found"] = f"""WITH l AS (SELECT line_id, {sql_trim('material')} AS material, uom, quantity, {sql_trim('quantity')} AS q, coalesce(x.decimal_separator, '.') AS dec, x.thousands_separator AS tho,
+  {sql_trim('description')} AS ds FROM purchase_order_lines p LEFT JOIN {_DIALECT} f USING (batch_id, path)),
+s AS (SELECT *, CASE WHEN regexp_matches(q, '{_SHAPE}') THEN {sql_trim(f"regexp_extract(q, '{_SHAPE}', 1)")} ELSE q END AS num,
+  lower(coalesce(nullif({sql_trim('uom')}, ''), CASE WHEN regexp_matches(q, '{_SHAPE}') THEN {sql_trim(f"regexp_extract(q, '{_SHAPE}', 2)")} END, nullif({sql_trim("regexp_extract(ds, '^\\[([^\\]]+)\\]', 1)")}, ''),
+    nullif({sql_trim("regexp_extract(ds, '(?:Einheit: |unit: |ME=|qty in |Menge in |quantité en )([^)]+)', 1)")}, ''))) AS w FROM l),
+n AS (SELECT *, {_UNIT} AS unit, {_sql_number('num')} AS c FROM s),
+m AS (SELECT *, (CASE WHEN starts_with(c, '-') OR starts_with(c, '(') OR (ends_with(c, '-') AND NOT ends_with(c, '.-')) THEN -1 ELSE 1 END) * CAST(regexp_replace(c, '[''()-]', '', 'g') AS DECIMAL(38,12)) AS v FROM n WHERE unit IS NOT NULL AND c IS NOT NULL),
+b AS (SELECT m.*, coalesce(a.base_uom, g.base_uom) AS base_uom, coalesce(a.numerator, g.numerator) AS nu, coalesce(a.denominator, g.denominator) AS de FROM m
+  LEFT JOIN uom_conversions a ON a.material = m.material AND a.alt_uom = m.unit LEFT JOIN uom_conversions g ON g.material IS NULL AND g.alt_uom = m.unit),
+e AS (SELECT *, CAST(v * 1000000 AS HUGEINT) * nu AS top, CAST(de AS HUGEINT) * 1000 AS bottom FROM b WHERE base_uom IS NOT NULL)
+SELECT line_id, base_uom, CAST(top // bottom AS BIGINT) AS base_milli FROM e WHERE top % bottom = 0
+  AND NOT coalesce(uom IN ('EA','KG','L','M','STD','PAU','M2') AND regexp_full_match(quantity, '[0-9]+(\\.[0-9]+)?') AND dec = '.', false)"""
