@@ -160,8 +160,9 @@ class LineModel:
             path.append(s)
         return np.array(path[::-1])
 
-    def label_many(self, docs: list[list[tuple[int, ...]]]) -> list[np.ndarray]:
-        """Viterbi paths of many documents, a line of all of them at a time: the same as ``label``."""
+    def label_many(self, docs: list[list[tuple[int, ...]]], extra: np.ndarray | None = None) -> list[np.ndarray]:
+        """Viterbi paths of many documents, a line of all of them at a time: the same as ``label``.
+        extra: a row of additional scores per document."""
         order = sorted(range(len(docs)), key=lambda i: -len(docs[i]))
         sizes = [len(docs[i]) for i in order]
         if not order or not sizes[0]:
@@ -171,12 +172,13 @@ class LineModel:
         flat = self.emit.transpose(1, 2, 0)  # feature, bin, state
         width = np.arange(flat.shape[0])
         score = lambda rows: self.TEMPER * flat[width, np.array(rows)].sum(axis=1)
-        at = self.first + score([docs[i][0] for i in order[: live[0]]])
+        more = np.zeros((len(docs), len(OF))) if extra is None else extra[order]
+        at = self.first + score([docs[i][0] for i in order[: live[0]]]) + more[: live[0]]
         back = []
         for t in range(1, sizes[0]):
             way = at[: live[t], :, None] + self.move
             best = way.argmax(axis=1)
-            at[: live[t]] = np.take_along_axis(way, best[:, None, :], axis=1)[:, 0] + score([docs[i][t] for i in order[: live[t]]])
+            at[: live[t]] = np.take_along_axis(way, best[:, None, :], axis=1)[:, 0] + score([docs[i][t] for i in order[: live[t]]]) + more[: live[t]]
             back.append(best)
         paths = [np.zeros(len(d), int) for d in docs]
         for j, i in enumerate(order[: live[0]]):
@@ -242,22 +244,22 @@ def fit(labelled: list[tuple[str, str]], rounds: int = 4) -> LineModel:
         if own:
             start += [(o, np.full(len(o), int(np.flatnonzero(OF == s)[w]))) for o, w in zip(own, _ways(own, WAYS[name]))]
     model = _estimate(start, width)
+    # a line is of its document's shape, or prose, or in prose a small list or table
+    allowed = np.full((len(seen), len(OF)), -1e3)
+    for row, (_, s, _) in zip(allowed, seen):
+        if s:
+            row[OF == 0] = -1.5
+        else:
+            row[(OF == 1) | (OF == 2)] = -3.0
+        row[OF == s] = 0.0
+    docs = [o for o, _, _ in seen]
     for _ in range(rounds):
-        paths = []
-        for o, s, n in seen:
-            # a line is of its document's shape, or prose, or in prose a small list or table
-            allowed = np.full(len(OF), -1e3)
-            allowed[OF == s] = 0.0
-            if s:
-                allowed[OF == 0] = -1.5
-            else:
-                allowed[(OF == 1) | (OF == 2)] = -3.0
-            path = model.label(o, allowed)
-            if 2 * n[(OF[path] > 0) == (s > 0)].sum() < n.sum():
-                path = model.label(o, np.where(OF == s, 0.0, -1e3))  # most of it is what its label says
-            paths.append((o, path))
-        model = _estimate(paths, width)
-    scored = [(n[OF[model.label(o)] > 0].sum() / n.sum(), s > 0) for o, s, n in seen]
+        paths = model.label_many(docs, allowed)
+        for i, (o, s, n) in enumerate(seen):
+            if 2 * n[(OF[paths[i]] > 0) == (s > 0)].sum() < n.sum():
+                paths[i] = model.label(o, np.where(OF == s, 0.0, -1e3))  # most of it is what its label says
+        model = _estimate(list(zip(docs, paths)), width)
+    scored = [(n[OF[p] > 0].sum() / n.sum(), s > 0) for p, (_, s, n) in zip(model.label_many(docs), seen)]
     model.bound = max((x / 40 for x in range(10, 31)), key=lambda b: (sum((x > b) == y for x, y in scored), -abs(b - 0.5)))
     model.seen = {}
     return model

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import table, written
+from ..session import spread, table, written
 from . import encodings as enc
 from . import mixture as mix
 from . import quality
@@ -14,10 +14,15 @@ from . import tokenizer as tok
 SQL: dict[str, str] = {}
 
 
+def _documents(spark: SparkSession, sf: str) -> DataFrame:
+    return spread(table(spark, sf, "documents"), "doc_id")
+
+
+
 # -- 6: wrong character sets --------------------------------------------------------
 def _damage(spark: SparkSession, sf: str) -> DataFrame:
-    names = table(spark, sf, "suppliers").select(F.lit("suppliers").alias("source_table"), F.col("change_id").alias("row_id"), F.col("name").alias("text"))
-    docs = table(spark, sf, "documents").select(F.lit("documents").alias("source_table"), F.col("doc_id").alias("row_id"), "text")
+    names = spread(table(spark, sf, "suppliers"), "change_id").select(F.lit("suppliers").alias("source_table"), F.col("change_id").alias("row_id"), F.col("name").alias("text"))
+    docs = _documents(spark, sf).select(F.lit("documents").alias("source_table"), F.col("doc_id").alias("row_id"), "text")
     return enc.find_damage(names.unionByName(docs))
 
 
@@ -32,12 +37,12 @@ def p6_restored(spark: SparkSession, sf: str) -> DataFrame:
 
 # -- 8: encoding the corpus -------------------------------------------------------
 def p8_ids(spark: SparkSession, sf: str) -> DataFrame:
-    return tok.encode(table(spark, sf, "documents"))
+    return tok.encode(_documents(spark, sf))
 
 
 def p8_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     """Decoding gives each text back."""
-    return tok.encode(table(spark, sf, "documents"), what="check").select("doc_id", "same")
+    return tok.encode(_documents(spark, sf), what="check").select("doc_id", "same")
 
 
 SQL["p8_roundtrip"] = "SELECT doc_id, true AS same FROM documents"
@@ -45,7 +50,7 @@ SQL["p8_roundtrip"] = "SELECT doc_id, true AS same FROM documents"
 
 # -- 9: mixing sources ----------------------------------------------------------------
 def _mix(spark: SparkSession, sf: str) -> tuple[DataFrame, mix.MixPlan]:
-    docs, goals = table(spark, sf, "documents"), table(spark, sf, "mix_targets")
+    docs, goals = _documents(spark, sf), table(spark, sf, "mix_targets")
     counted = tok.encode(docs.where("source is not null"), what="count", keep=["source"])
     sized = written(mix.sized_documents(counted, goals), "mix-sized")
     plan = mix.make_plan(sized, goals)
@@ -64,14 +69,14 @@ def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
 def p10_found(spark: SparkSession, sf: str) -> DataFrame:
     docs, labels = table(spark, sf, "documents"), table(spark, sf, "doc_labels")
     model = quality.fit_sample(docs, labels)
-    unlabelled = docs.join(labels.select("doc_id"), "doc_id", "left_anti")
+    unlabelled = _documents(spark, sf).join(labels.select("doc_id"), "doc_id", "left_anti")
     return quality.shapes(unlabelled, model).where("not natural").select("doc_id")
 
 
 def p10_shapes(spark: SparkSession, sf: str) -> DataFrame:
     """Shares of the four shapes of every document."""
-    docs = table(spark, sf, "documents")
-    return quality.shapes(docs, quality.fit_sample(docs, table(spark, sf, "doc_labels")))
+    model = quality.fit_sample(table(spark, sf, "documents"), table(spark, sf, "doc_labels"))
+    return quality.shapes(_documents(spark, sf), model)
 
 
 def p10_statistics(spark: SparkSession, sf: str) -> DataFrame:
