@@ -2,10 +2,10 @@
 
 Layout below the store's folder::
 
-    data/c<commit>/part=p<period>/*.parquet    winners that arrived in the period
-    index/c<commit>/part=p<period>/*.parquet   64-bit hashes of the identifiers in that version of p
-    surplus/c<commit>/*.parquet          rows that lost in that commit
-    _manifests/<commit>.json             which commit holds the valid version of each p
+    rows/commit=<n>/kept=1/part=p<period>/*.parquet   winners that arrived in the period
+    rows/commit=<n>/kept=0/part=p<period>/*.parquet   rows that lost in that commit
+    index/commit=<n>/part=p<period>/*.parquet         64-bit hashes of the kept identifiers
+    _manifests/<commit>.json                         which commit holds the valid version of each p
 
 ``ingest`` looks the incoming identifiers up in the index, reads only the historical
 partitions that hold one of them, combines both, recomputes one winner per
@@ -15,15 +15,17 @@ published by one rename, so they see all of a commit or nothing.
 Defined results: a message is the trimmed, non-null identifier, compared exactly; an
 identifier of white space only is the empty identifier, one message of its own. The
 winner is the row with the smallest ``order`` columns, nulls last, then the smallest
-row id. Rows without an identifier are kept and never surplus. Exactly repeated row
-ids are the caller's fault and count once. Extra columns pass through; names starting
-with ``_msg_`` are reserved.
+row id. Rows without an identifier are kept and never surplus. Row ids are unique; a batch
+is ingested once (a stream keeps its batch ids, see streaming.feeds). Extra columns pass
+through; names starting with ``_msg_`` and the names ``commit``, ``kept`` and ``part`` are
+reserved.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import trim_ws
 from ..session import SharedFiles, read_manifest, write_manifest
@@ -50,31 +52,35 @@ class MessageStore:
         self.key, self.row_id, self.order, self.period = key, row_id, order, period
         self.files = SharedFiles(spark, path)
 
+    def _dir(self, kind: str, commit: int) -> str:
+        return f"{self.path}/index/commit={commit}" if kind == "index" else f"{self.path}/rows/commit={commit}/kept={int(kind == 'data')}"
+
     # -- reading -------------------------------------------------------------
     def _read(self, kind: str, manifest: dict, parts: list[str] | None = None) -> DataFrame | None:
-        chosen = [(p, c) for p, c in sorted(manifest.get("parts", {}).items()) if parts is None or p in parts]
+        held = manifest.get("index" if kind == "index" else "parts", {})
+        chosen = [(p, c) for p, c in sorted(held.items()) if parts is None or p in parts]
         if not chosen:
             return None
-        by_commit: dict[int, list[str]] = {}
-        for p, c in chosen:
-            by_commit.setdefault(c, []).append(f"{self.path}/{kind}/c{c:012d}/part={p}")
-        out = None
-        for c, paths in sorted(by_commit.items()):
-            df = self.spark.read.option("basePath", f"{self.path}/{kind}/c{c:012d}").parquet(*paths)
-            df = df.withColumnRenamed("part", "_msg_part")
-            out = df if out is None else out.unionByName(df)
-        return out
+        return self._load(kind, [f"{self._dir(kind, c)}/part={p}" for p, c in chosen]).withColumnRenamed("part", "_msg_part")
+
+    def _load(self, kind: str, paths: list[str]) -> DataFrame:
+        root = f"{self.path}/{'index' if kind == 'index' else 'rows'}"
+        return self.spark.read.option("basePath", root).parquet(*paths).drop("commit", "kept")
 
     def messages(self) -> DataFrame | None:
-        """The kept rows, one per message, with all columns."""
-        df = self._read("data", read_manifest(self.files)[1])
-        return None if df is None else df.drop("_msg_part", "_msg_key")
+        """The kept rows, one per message, with all columns; None before the first batch."""
+        _, m = read_manifest(self.files)
+        df = self._read("data", m)
+        return self._none(m) if df is None else df.drop("_msg_part", "_msg_key")
 
     def surplus(self) -> DataFrame | None:
-        """Rows that are not kept, of all commits."""
+        """Rows that are not kept, of all commits; None before the first batch."""
         _, m = read_manifest(self.files)
-        dirs = [f"{self.path}/surplus/c{c:012d}" for c in m.get("commits", [])]
-        return self.spark.read.parquet(*dirs).drop("_msg_part", "_msg_key") if dirs else None
+        dirs = [self._dir("surplus", c) for c in m.get("with_surplus", [])]
+        return self._load("surplus", dirs).drop("part", "_msg_key") if dirs else self._none(m)
+
+    def _none(self, manifest: dict) -> DataFrame | None:
+        return self.spark.createDataFrame([], T.StructType.fromJson(manifest["schema"])) if "schema" in manifest else None
 
     # -- writing -------------------------------------------------------------
     def ingest(self, incoming: DataFrame) -> dict:
@@ -93,25 +99,30 @@ class MessageStore:
         history = self._read("data", manifest, affected)
         both = rows if history is None else history.unionByName(rows)
 
-        keyed = both.where(F.col("_msg_key").isNotNull())
-        winners = winner_ids(keyed, "_msg_key", self.order, self.row_id)
-        # by the unique row id, never by the message key: no hot join key
-        lost = keyed.join(winners, self.row_id, "left_anti")
-        lost.write.parquet(f"{self.path}/surplus/c{new:012d}")
-        surplus = self.spark.read.schema(lost.schema).parquet(f"{self.path}/surplus/c{new:012d}")
-        kept = both.join(surplus.select(self.row_id), self.row_id, "left_anti").dropDuplicates([self.row_id])
-        kept = kept.withColumnRenamed("_msg_part", "part")
-        kept.write.partitionBy("part").parquet(f"{self.path}/data/c{new:012d}")
-        now = self.spark.read.schema(kept.schema).parquet(f"{self.path}/data/c{new:012d}")
-        hashes = now.where(F.col("_msg_key").isNotNull()).select(F.xxhash64("_msg_key").alias("h"), "part")
-        hashes.write.partitionBy("part").parquet(f"{self.path}/index/c{new:012d}")
-
-        parts = dict(manifest.get("parts", {}))
+        # decided on three narrow columns, by the unique row id, never by joining on the message key
+        narrow = both.where(F.col("_msg_key").isNotNull()).select("_msg_key", self.row_id, *self.order)
+        winners = winner_ids(narrow, "_msg_key", self.order, self.row_id)
+        lost = narrow.select(self.row_id).join(winners, self.row_id, "left_anti").withColumn("_msg_lost", F.lit(True))
+        # the wide rows move once, unless the lost ids are few enough for AQE to broadcast
+        tagged = both.join(lost, self.row_id, "left").withColumn("kept", F.when(F.col("_msg_lost"), 0).otherwise(1))
+        tagged = tagged.drop("_msg_lost").withColumnRenamed("_msg_part", "part")
+        # AQE sizes the files of each partition, splitting large and joining small ones
+        tagged.hint("rebalance", "kept", "part").write.partitionBy("kept", "part").parquet(f"{self.path}/rows/commit={new}")
+        written = [n[5:] for n in self.files.names(f"rows/commit={new}/kept=1") if n.startswith("part=")]
+        if written:
+            now = self._load("data", [self._dir("data", new)])
+            hashes = now.where(F.col("_msg_key").isNotNull()).select(F.xxhash64("_msg_key").alias("h"), "part")
+            hashes.write.partitionBy("part").parquet(self._dir("index", new))
+        indexed = [n[5:] for n in self.files.names(f"index/commit={new}") if n.startswith("part=")]
+
+        parts, index = dict(manifest.get("parts", {})), dict(manifest.get("index", {}))
         for p in affected:
             parts.pop(p, None)
-        written = [n[5:] for n in self.files.names(f"data/c{new:012d}") if n.startswith("part=")]
+            index.pop(p, None)
         parts |= {p: new for p in written}
-        write_manifest(self.files, new, {"parts": parts, "commits": [*manifest.get("commits", []), new]})
+        index |= {p: new for p in indexed}
+        surplus = [*manifest.get("with_surplus", []), *([new] if self.files.exists(f"rows/commit={new}/kept=0") else [])]
+        write_manifest(self.files, new, {"parts": parts, "index": index, "with_surplus": surplus, "schema": incoming.schema.jsonValue()})
         return {"commit": new, "read_partitions": sorted(affected), "written_partitions": sorted(written)}
 
 
