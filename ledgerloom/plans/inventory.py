@@ -86,7 +86,7 @@ def record_history(spark, sf):  # SRC-22: point get, a pushed-down filter
 
 
 # -- paging, limits, numbering: LIM-01..06, SRT-01, RUL-05, STR-03, GEN-01, GEN-08, WIN-07, WIN-10 ----
-@query("""SELECT change_seq, po_row_id, true AS has_more FROM purchase_orders WHERE change_seq > 500100 ORDER BY change_seq, po_row_id LIMIT 250""")
+@query("""SELECT change_seq, po_row_id, (SELECT count(*) > 250 FROM purchase_orders WHERE change_seq > 500100) AS has_more FROM purchase_orders WHERE change_seq > 500100 ORDER BY change_seq, po_row_id LIMIT 250""")
 def keyset_page(spark, sf):  # LIM-01, FLT-03, SRC-19, STR-01: 250 rows is the page size
     o = table(spark, sf, "purchase_orders").where(F.col("change_seq") > 500100).select("change_seq", "po_row_id")
     return O.keyset_page(o, ["change_seq", "po_row_id"], (500100, 9223372036854775807), 250)

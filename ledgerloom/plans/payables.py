@@ -288,3 +288,6 @@ b AS (SELECT m.*, coalesce(a.base_uom, g.base_uom) AS base_uom, coalesce(a.numer
 e AS (SELECT *, CAST(v * 1000000 AS HUGEINT) * nu AS top, CAST(de AS HUGEINT) * 1000 AS bottom FROM b WHERE base_uom IS NOT NULL)
 SELECT line_id, base_uom, CAST(top // bottom AS BIGINT) AS base_milli FROM e WHERE top % bottom = 0
   AND NOT coalesce(uom IN ('EA','KG','L','M','STD','PAU','M2') AND regexp_full_match(quantity, '[0-9]+(\\.[0-9]+)?') AND dec = '.', false)"""
+SQL["p4_quantities"] = SQL["p4_found"].rpartition("\nSELECT line_id")[0] + """
+SELECT line_id, unit, base_uom, CAST(top // bottom AS BIGINT) AS base_milli,
+  coalesce(uom IN ('EA','KG','L','M','STD','PAU','M2') AND regexp_full_match(quantity, '[0-9]+(\\.[0-9]+)?') AND dec = '.', false) AS plain FROM e WHERE top % bottom = 0"""
