@@ -20,6 +20,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import SharedFiles, read_manifest, write_manifest
 
@@ -64,13 +65,17 @@ class CowTable:
         out = blocked.repartition("bucket", "b").drop("b").sortWithinPartitions("bucket", "key", "seq")
         out.write.partitionBy("bucket").parquet(f"{self.path}/data/c{new:012d}")
         wrote = [n[7:] for n in self.files.names(f"data/c{new:012d}") if n.startswith("bucket=")]
-        write_manifest(self.files, new, {"buckets": manifest.get("buckets", {}) | {b: new for b in wrote}})
+        schema = out.select("key", "seq", "state").schema.jsonValue()
+        write_manifest(self.files, new, {"buckets": manifest.get("buckets", {}) | {b: new for b in wrote}, "schema": schema})
         return {"commit": new, "buckets_written": sorted(map(int, wrote))}
 
     def log(self) -> DataFrame | None:
-        """Distinct changes: key, seq, state."""
-        base = self._base(read_manifest(self.files)[1])
-        return None if base is None else base.select("key", "seq", "state")
+        """Distinct changes: key, seq, state; None before the first ``apply``."""
+        number, manifest = read_manifest(self.files)
+        if not number:
+            return None
+        base = self._base(manifest)
+        return self.spark.createDataFrame([], T.StructType.fromJson(manifest["schema"])) if base is None else base.select("key", "seq", "state")
 
     def current(self) -> DataFrame | None:
         log = self.log()

@@ -98,11 +98,11 @@ def _outbox(fmt: str):
         d = table(spark, sf, "proposals").select("proposal_id").distinct()
         sinks.write_outbox(d, path, ["proposal_id"], fmt)
         if fmt == "xml":
-            back = spark.read.format("xml").option("rowTag", "record").schema("proposal_id string").load(path)
+            back = spark.read.format("xml").option("rowTag", "record").schema("proposal_id string, page int").load(path)
         elif fmt == "csv":
-            back = spark.read.option("header", True).schema("proposal_id string").csv(path)
+            back = spark.read.option("header", True).schema("proposal_id string, page int").csv(path)
         else:
-            back = spark.read.format(fmt).schema("proposal_id string").load(path)
+            back = spark.read.format(fmt).schema("proposal_id string, page int").load(path)
         return back.groupBy(F.col("page").cast("int").alias("page")).agg(F.count("*").alias("n"), F.min("proposal_id").alias("first"))
 
     return q
@@ -134,6 +134,7 @@ def stream_suppliers(spark, sf):  # UPD-01, UPD-03, STR-08, SRC-02: the feed as
     f = FEEDS["suppliers"]
     t = CowTable(spark, shared_dir(spark, "stream-feed"), key=f["key"](), seq=f["seq"], op="op", content=f["content"], delivered=f["delivered"], buckets=8)
     src = feeds.file_stream(spark, f"{sf}/suppliers.parque*", table(spark, sf, "suppliers"), 4)
+    t.apply(table(spark, sf, "suppliers").where("false"))  # an empty stream leaves an empty table
     feeds.stream_into(src, t.apply, shared_dir(spark, "stream-check"))
     return t.current().select(F.col("key").alias("supplier_number"), F.col("seq").alias("change_seq"), *[F.col("state")[c].alias(c) for c in f["content"]])
 
@@ -157,6 +158,7 @@ def incremental_drain(spark, sf):  # STR-01, AGG-09, LIM-01: two drains, nothing
     o = table(spark, sf, "purchase_orders").select("po_row_id", "change_seq")
     root = shared_dir(spark, "drain")
     marks = feeds.WatermarkTable(spark, root)
+    o.where("false").write.parquet(f"{root}/rows")
     half = o.agg(F.expr("percentile_approx(change_seq, 0.5)")).first()[0]
     for part in (o.where(F.col("change_seq") <= half), o, o):
         marks.drain(part, "orders", "change_seq", lambda d: d.write.mode("append").parquet(f"{root}/rows"))

@@ -10,7 +10,7 @@ from ..session import SharedFiles
 
 
 def write_outbox(df: DataFrame, path: str, order: list[str], fmt: str = "json", page: int = 500) -> int:
-    """Pages of ``page`` rows in key order, one folder each, then DONE. fmt: csv, json, xml, parquet.
+    """Pages of ``page`` rows in key order, one folder each, then _DONE. fmt: csv, json, xml, parquet.
     Returns the number of pages. The marker comes last, so a reader that waits for it never
     sees half an outbox; a second write to the same path fails."""
     files = SharedFiles(df.sparkSession, path)
@@ -23,30 +23,33 @@ def write_outbox(df: DataFrame, path: str, order: list[str], fmt: str = "json",
     else:
         w.format(fmt).save(path)
     n = len([x for x in files.names("") if x.startswith("page=")])
-    files.commit_json("DONE", {"pages": n, "format": fmt})
+    files.commit_json("_DONE", {"pages": n, "format": fmt})
     return n
 
 
 def write_receipt(records: DataFrame, path: str, key: str = "record_id") -> dict:
-    """records.csv and rejects.csv, then receipt.json with the counts, then DONE."""
+    """records.csv and rejects.csv, then receipt.json with the counts, then _DONE."""
     files = SharedFiles(records.sparkSession, path)
     out = records.select(key, "line", "outcome", "code")
     out.write.option("header", True).csv(f"{path}/records.csv")
     out.where("outcome = 'rejected'").write.option("header", True).csv(f"{path}/rejects.csv")
     counts = {r["outcome"] or "pending": r["count"] for r in out.groupBy("outcome").count().collect()}  # a closed set of outcomes
     files.commit_json("receipt.json", {"seen": sum(counts.values()), **counts})
-    files.commit_json("DONE", {})
+    files.commit_json("_DONE", {})
     return counts
 
 
+RAW = "sha256 string, content binary, prefix string"
+
+
 def store_raw(files_df: DataFrame, path: str) -> DataFrame:
-    """Adds (sha256, content) rows the store does not have yet; returns those added. files_df: content."""
+    """Adds (sha256, content) rows the store does not have yet; returns the whole store. files_df: content."""
     spark = files_df.sparkSession
     fresh = files_df.select(F.sha2("content", 256).alias("sha256"), "content").dropDuplicates(["sha256"])
     if SharedFiles(spark, path).names(""):
-        fresh = fresh.join(spark.read.parquet(path).select("sha256"), "sha256", "left_anti")
+        fresh = fresh.join(spark.read.schema(RAW).parquet(path).select("sha256"), "sha256", "left_anti")
     fresh.withColumn("prefix", F.left("sha256", F.lit(2))).write.mode("append").partitionBy("prefix").parquet(path)
-    return spark.read.parquet(path)
+    return spark.read.schema(RAW).parquet(path)
 
 
 def swiss_amount(v):

@@ -118,6 +118,8 @@ def test_only_touched_buckets_are_replaced(spark):
 def test_empty_feed_and_effects(spark):
     t = cow(spark)
     assert t.current() is None
+    t.apply(spark.createDataFrame([], CHG))
+    assert t.current().count() == 0 and t.effects().count() == 0
     t.apply(spark.createDataFrame([(0, "D", "a", 1, None, None, at(0)), (1, "I", "a", 2, "x", 1, at(1)), (2, "U", "a", 9, "x", 1, at(2)), (3, "D", "a", 20, "old", 1, at(3)), (4, "U", "a", 30, "x", 1, at(4))], CHG))
     assert {(r.seq, r.effect) for r in t.effects().collect()} == {(1, "void"), (2, "applied"), (9, "unchanged"), (20, "applied"), (30, "applied")}
     assert [(r.key, r.seq) for r in t.current().collect()] == [("a", 30)]

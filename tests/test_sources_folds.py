@@ -71,7 +71,7 @@ def test_sinks_mark_last_and_refuse_overwrite(spark):
     path = shared_dir(spark, "t-out")
     df = spark.range(7).select(F.col("id").cast("string").alias("k"))
     assert sinks.write_outbox(df, path, ["k"], "json", 3) == 3
-    assert SharedFiles(spark, path).read_json("DONE") == {"format": "json", "pages": 3}
+    assert SharedFiles(spark, path).read_json("_DONE") == {"format": "json", "pages": 3}
     with pytest.raises(Exception):
         sinks.write_outbox(df, path, ["k"], "json", 3)
     raw = shared_dir(spark, "t-raw")
