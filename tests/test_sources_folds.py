@@ -2,6 +2,7 @@
 
 import json
 import random
+import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
@@ -184,6 +185,18 @@ def test_hashes(spark):
     assert H.state_digest(h.repartition(3), "g", "h").collect() == H.state_digest(h.orderBy(F.desc("id")), "g", "h").collect()
 
 
+def test_composed_texts_of_any_script(spark, tmp_path):
+    from ledgerloom.plans import inventory
+
+    texts = ["plain", "e\u0301", "\u00e9", "\U0001f600 e\u0301", "\U0001f600", "\u03b1\u0301", "\u0416\u0308", "\u4e2d a\u030a", "\uff11", "\ufffd u\u0308", "q\u0308", "e\u0304\u0301", "\u00e9\u0301", "\u0301", "", None]
+    bases, marks = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", "\u0300\u0301\u0302\u0303\u0308\u030a\u0327"
+    pairs = [b + m for b in bases for m in marks if len(unicodedata.normalize("NFC", b + m)) == 1]
+    want = {i: not any(p in t for p in pairs) for i, t in enumerate(texts) if t is not None}
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r.doc_id: r.composed for r in inventory.composed_texts_all(spark, str(tmp_path)).collect()} == want
+    assert [i for i, c in want.items() if not c] == [1, 3, 7, 9]
+
+
 def test_stream_replays_are_applied_once(spark, tmp_path):
     src = tmp_path / "in"
     for i in range(3):
