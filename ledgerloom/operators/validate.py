@@ -17,6 +17,13 @@ def findings(df: DataFrame, rules: list[Rule], name: str = "findings") -> DataFr
     return df.withColumn(name, F.array_compact(F.array(*each)))
 
 
+def record_findings(df: DataFrame, syntax: list[Rule], rules: list[Rule], name: str = "findings") -> DataFrame:
+    """The syntactic findings; only where there are none, those of the rules: a value that cannot be
+    read is not reported twice."""
+    both = findings(findings(df, syntax, "_syntax"), rules, "_rules")
+    return both.withColumn(name, F.when(F.size("_syntax") > 0, F.col("_syntax")).otherwise(F.col("_rules"))).drop("_syntax", "_rules")
+
+
 def element_findings(df: DataFrame, array: str, rules, name: str = "findings") -> DataFrame:
     """Rules on the elements of an array; the field is ``array[i].field``. rules(element) -> list of Rule."""
     def one(e, i):
@@ -38,6 +45,23 @@ def currency(field: str, c: Column) -> Rule:
     return one_of(field, c, CURRENCY_SCALE, "E_CURRENCY_UNKNOWN")
 
 
+def closed(field: str, c: Column, values, code: str = "E_ENUM_UNKNOWN") -> list[Rule]:
+    """A mandatory value of a closed set: null or empty is required, any other unknown."""
+    return [required(field, c), (code, field, (c != "") & ~c.isin(*values))]
+
+
+def calendar_date(field: str, text: Column) -> Rule:
+    """YYYY-MM-DD and a real day; null and empty are for other rules."""
+    real = text.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}$") & text.try_cast("date").isNotNull()
+    return ("E_DATE_FORMAT", field, (text != "") & ~real)
+
+
+def positive(field: str, canonical: Column) -> Rule:
+    """A number in canonical form, of any length; null or empty counts as zero."""
+    c = F.coalesce(canonical, F.lit(""))
+    return ("E_FIELD_INVALID", field, c.rlike("^[-(]|[0-9]-$") | ~c.rlike("[1-9]"))
+
+
 def half_open(field: str, lo: Column, hi: Column) -> Rule:
     """An empty range is invalid."""
     return ("E_FIELD_INVALID", field, hi.isNotNull() & (lo >= hi))

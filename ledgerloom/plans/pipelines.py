@@ -6,14 +6,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.numbers import CURRENCY_SCALE, canonical_number
 from ..functions.text import trim_ws
 from ..operators import folds, validate as V
 from ..operators.cow_table import CowTable
+from ..operators.record_split import UNITS, dialects
 from ..session import shared_dir, table
 from ..sources import files as S
 from ..sources import sinks
 from ..streaming import feeds
-from .payables import FEEDS, SQL as PAYABLES, sql_trim
+from .payables import _CUR, _DIALECT, _sql_number, FEEDS, SQL as PAYABLES, sql_trim
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -185,7 +187,7 @@ UNION ALL SELECT 'purchase_orders', po_row_id, 'E_ENUM_UNKNOWN', 'status' FROM p
 UNION ALL SELECT 'fx_rates', fx_rate_id, 'E_FIELD_INVALID', 'valid_to' FROM fx_rates WHERE valid_to IS NOT NULL AND valid_from >= valid_to
 UNION ALL SELECT 'fx_rates', fx_rate_id, 'E_MONEY_SCALE', 'rate' FROM fx_rates WHERE regexp_matches(rate, '[.,][0-9]{6,}')
 UNION ALL SELECT 'suppliers', change_id, 'E_CURRENCY_UNKNOWN', 'currency' FROM suppliers WHERE currency NOT IN ('CHF','EUR','USD','GBP','SEK','DKK','NOK','HUF','IDR','JPY')""")
-def validation_findings(spark, sf):  # VAL-01..08, PRJ-02
+def validation_findings(spark, sf):  # six conditions only; rule_findings has the rule sets
     c = F.col
     sets = [
         ("cost_centers", "cc_row_id", [V.half_open("valid_to", c("valid_from"), c("valid_to"))]),
@@ -198,3 +200,81 @@ def validation_findings(spark, sf):  # VAL-01..08, PRJ-02
         d = V.findings(table(spark, sf, name), rules).select(F.lit(name).alias("dataset"), c(key).alias("row_id"), F.explode("findings").alias("f")).select("dataset", "row_id", "f.code", "f.field")
         out = d if out is None else out.unionByName(d)
     return out
+
+
+def _sql_rules(dataset: str, key: str, source: str, text: list[str], syntax: list[tuple], rules: list[tuple]) -> str:
+    def found(x):
+        each = ", ".join(f"CASE WHEN {bad} THEN struct_pack(code := '{code}', field := '{field}') END" for code, field, bad in x)
+        return f"list_filter([{each}], lambda f: f IS NOT NULL)"
+
+    trimmed = ", ".join(f"coalesce({sql_trim(c)}, '') AS {c}" for c in text)
+    return f"""SELECT '{dataset}' AS dataset, row_id, f.code AS code, f.field AS field FROM (SELECT row_id, unnest({'CASE WHEN len(s) > 0 THEN s ELSE m END' if syntax else 'm'}) AS f
+FROM (SELECT row_id, {found(syntax) + " AS s, " if syntax else ""}{found(rules)} AS m FROM (SELECT CAST({key} AS BIGINT) AS row_id, * REPLACE ({trimmed}) FROM {source})))"""
+
+
+def _sql_no_date(c: str) -> tuple:
+    return ("E_DATE_FORMAT", c, f"{c} <> '' AND NOT (regexp_full_match({c}, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') AND try_cast({c} AS DATE) IS NOT NULL)")
+
+
+def _sql_closed(c: str, values: str, code: str = "E_ENUM_UNKNOWN") -> list[tuple]:
+    return [("E_FIELD_REQUIRED", c, f"{c} = ''"), (code, c, f"{c} <> '' AND {c} NOT IN {values}")]
+
+
+_RANGE = ("E_FIELD_INVALID", "valid_to", "valid_from <> '' AND valid_to <> '' AND valid_from >= valid_to")
+_RULES = " UNION ALL ".join([
+    _sql_rules("suppliers", "change_id", "suppliers", ["supplier_number", "name", "currency", "country"], [], [
+        ("E_KEY_MISSING", "supplier_number", "supplier_number = ''"), ("E_FIELD_REQUIRED", "name", "name = ''"), *_sql_closed("currency", _CUR, "E_CURRENCY_UNKNOWN"),
+        ("E_COUNTRY_FORMAT", "country", "country <> '' AND NOT regexp_full_match(country, '[A-Z]{2}')"), ("E_FIELD_INVALID", "payment_terms_days", "payment_terms_days < 0")]),
+    _sql_rules("cost_centers", "cc_row_id", "cost_centers", ["code", "name", "company_code", "valid_from", "valid_to"], [_sql_no_date("valid_from"), _sql_no_date("valid_to")], [
+        ("E_KEY_MISSING", "code", "code = ''"), ("E_FIELD_REQUIRED", "name", "name = ''"), *_sql_closed("company_code", "('CH10', 'CH20')"), ("E_FIELD_REQUIRED", "valid_from", "valid_from = ''"), _RANGE]),
+    _sql_rules("purchase_orders", "po_row_id", "purchase_orders", ["po_number", "supplier_number", "company_code", "currency", "status", "order_date"], [_sql_no_date("order_date")], [
+        ("E_KEY_MISSING", "po_number", "po_number = ''"), ("E_FIELD_REQUIRED", "supplier_number", "supplier_number = ''"), *_sql_closed("company_code", "('CH10', 'CH20')"),
+        *_sql_closed("currency", _CUR, "E_CURRENCY_UNKNOWN"), *_sql_closed("status", "('OPEN', 'CLOSED', 'CANCELLED')"), ("E_FIELD_REQUIRED", "order_date", "order_date = ''")]),
+    _sql_rules("purchase_order_lines", "line_id", f"(SELECT p.*, coalesce(x.decimal_separator, '.') AS dec, x.thousands_separator AS tho FROM purchase_order_lines p LEFT JOIN {_DIALECT} f USING (batch_id, path))", ["po_number", "line_no", "uom", "currency", "unit_price"], [
+        ("E_DECIMAL_FORMAT", "unit_price", f"unit_price <> '' AND ({_sql_number('unit_price')}) IS NULL"),
+        ("E_FIELD_INVALID", "unit_price", "currency <> '' AND regexp_matches(unit_price, '^[A-Z]{3} +.') AND unit_price[1:3] <> currency")], [
+        ("E_KEY_MISSING", "po_number", "po_number = ''"), ("E_KEY_MISSING", "line_no", "line_no = ''"), *_sql_closed("uom", "('EA','PCE','CTN','KG','G','L','M','STK','STD','PAU','M2','H','TON','PAL')", "E_UOM_UNKNOWN"),
+        *_sql_closed("currency", _CUR, "E_CURRENCY_UNKNOWN"), ("E_MONEY_SCALE", "unit_price", "regexp_matches(unit_price, '[.,][0-9]{7,}')")]),
+    _sql_rules("fx_rates", "fx_rate_id", "(SELECT *, '.' AS dec, chr(39) AS tho FROM fx_rates)", ["base", "quote", "valid_from", "valid_to", "rate_type", "rate", "status"], [
+        _sql_no_date("valid_from"), _sql_no_date("valid_to"), ("E_DECIMAL_FORMAT", "rate", f"rate <> '' AND ({_sql_number('rate')}) IS NULL")], [
+        *[("E_KEY_MISSING", c, f"{c} = ''") for c in ("base", "quote", "valid_from", "rate_type")], *[("E_CURRENCY_UNKNOWN", c, f"{c} <> '' AND {c} NOT IN {_CUR}") for c in ("base", "quote")],
+        ("E_ENUM_UNKNOWN", "rate_type", "rate_type NOT IN ('', 'DAILY', 'MONTHLY_AVG')"), _RANGE, *_sql_closed("status", "('ACTIVE', 'DELETED')"),
+        ("E_FIELD_INVALID", "rate_factor", "coalesce(rate_factor, 0) <= 0"), ("E_FIELD_INVALID", "rate", "rate = '' OR NOT regexp_matches(rate, '[1-9]') OR regexp_matches(rate, '^([A-Z]{3} +)?[-(]|[0-9]-$')"), ("E_FIELD_INVALID", "sequence", "sequence < 0")]),
+    _sql_rules("postings", "posting_id", "postings", ["proposal_id", "erp_status", "erp_document_number"], [], [
+        ("E_KEY_MISSING", "proposal_id", "proposal_id = ''"), ("E_FIELD_REQUIRED", "erp_document_number", "erp_status = 'posted' AND erp_document_number = ''"), *_sql_closed("erp_status", "('posted', 'rejected', 'failed', 'skipped')")]),
+])
+
+
+@query(_RULES)
+def rule_findings(spark, sf):  # VAL-01..05, VAL-07, VAL-08, PRJ-02; texts are trimmed, null is empty
+    text = lambda c: F.coalesce(trim_ws(F.col(c)), F.lit(""))
+    key = lambda c: V.required(c, text(c), True)
+    need = lambda c: V.required(c, text(c))
+    date = lambda c: V.calendar_date(c, text(c))
+    company, money = V.closed("company_code", text("company_code"), ["CH10", "CH20"]), V.closed("currency", text("currency"), CURRENCY_SCALE, "E_CURRENCY_UNKNOWN")
+    span = ("E_FIELD_INVALID", "valid_to", (text("valid_from") != "") & (text("valid_to") != "") & (text("valid_from") >= text("valid_to")))
+    unread = lambda c, canonical: ("E_DECIMAL_FORMAT", c, (text(c) != "") & (canonical == ""))
+    price, rate = canonical_number(text("unit_price"), F.col("decimal_separator"), F.col("thousands_separator")), canonical_number(text("rate"), F.lit("."), F.lit("'"))
+    other = (text("currency") != "") & text("unit_price").rlike("^[A-Z]{3} +.") & (F.left(text("unit_price"), F.lit(3)) != text("currency"))
+    lines = table(spark, sf, "purchase_order_lines").join(dialects(table(spark, sf, "file_receipts")).select("batch_id", "path", "decimal_separator", "thousands_separator"), ["batch_id", "path"], "left")
+    sets = [
+        ("suppliers", None, "change_id", [], [
+            key("supplier_number"), need("name"), *money, ("E_COUNTRY_FORMAT", "country", ~text("country").rlike("^(?:[A-Z]{2})?$")), ("E_FIELD_INVALID", "payment_terms_days", F.col("payment_terms_days") < 0)]),
+        ("cost_centers", None, "cc_row_id", [date("valid_from"), date("valid_to")], [key("code"), need("name"), *company, need("valid_from"), span]),
+        ("purchase_orders", None, "po_row_id", [date("order_date")], [
+            key("po_number"), need("supplier_number"), *company, *money, *V.closed("status", text("status"), ["OPEN", "CLOSED", "CANCELLED"]), need("order_date")]),
+        ("purchase_order_lines", lines, "line_id", [unread("unit_price", price), ("E_FIELD_INVALID", "unit_price", other)], [
+            key("po_number"), key("line_no"), *V.closed("uom", text("uom"), UNITS, "E_UOM_UNKNOWN"), *money, V.max_scale("unit_price", text("unit_price"), 6)]),
+        ("fx_rates", None, "fx_rate_id", [date("valid_from"), date("valid_to"), unread("rate", rate)], [
+            *map(key, ("base", "quote", "valid_from", "rate_type")), *[V.closed(c, text(c), CURRENCY_SCALE, "E_CURRENCY_UNKNOWN")[1] for c in ("base", "quote")],
+            V.closed("rate_type", text("rate_type"), ["DAILY", "MONTHLY_AVG"])[1], span, *V.closed("status", text("status"), ["ACTIVE", "DELETED"]),
+            ("E_FIELD_INVALID", "rate_factor", F.coalesce("rate_factor", F.lit(0)) <= 0), V.positive("rate", rate), ("E_FIELD_INVALID", "sequence", F.col("sequence") < 0)]),
+        ("postings", None, "posting_id", [], [
+            key("proposal_id"), ("E_FIELD_REQUIRED", "erp_document_number", (text("erp_status") == "posted") & (text("erp_document_number") == "")), *V.closed("erp_status", text("erp_status"), ["posted", "rejected", "failed", "skipped"])]),
+    ]
+    out = None
+    for name, rows, row_id, syntax, rules in sets:
+        d = V.record_findings(table(spark, sf, name) if rows is None else rows, syntax, rules)
+        d = d.select(F.lit(name).alias("dataset"), F.col(row_id).alias("row_id"), F.explode("findings").alias("f")).select("dataset", "row_id", "f.code", "f.field")
+        out = d if out is None else out.unionByName(d)
+    return out

@@ -185,6 +185,63 @@ def test_hashes(spark):
     assert H.state_digest(h.repartition(3), "g", "h").collect() == H.state_digest(h.orderBy(F.desc("id")), "g", "h").collect()
 
 
+def test_rule_findings_of_every_rule(spark, tmp_path):
+    from ledgerloom.plans import pipelines
+
+    good = {
+        "suppliers": ("change_id", dict(supplier_number="07", name="N", currency="CHF", country="CH", payment_terms_days=0), "payment_terms_days int"),
+        "cost_centers": ("cc_row_id", dict(code="1", name="N", company_code="CH10", valid_from="2025-01-01", valid_to=None), ""),
+        "purchase_orders": ("po_row_id", dict(po_number="1", supplier_number="2", company_code="CH20", currency="EUR", status="CANCELLED", order_date="2025-01-01"), ""),
+        "purchase_order_lines": ("line_id", dict(batch_id="b", path="dot", po_number="1", line_no="00010", uom="KG", currency="CHF", unit_price="1.123456"), ""),
+        "fx_rates": ("fx_rate_id", dict(base="USD", quote="CHF", valid_from="2025-01-01", valid_to="2025-01-02", rate_type="DAILY", rate="0.9", rate_factor=1, sequence=None, status="DELETED"), "rate_factor bigint, sequence int"),
+        "postings": ("posting_id", dict(proposal_id="p", erp_status="posted", erp_document_number="d"), ""),
+        "file_receipts": ("receipt_id", dict(batch_id="b", path="dot", delimiter=";", decimal_separator=".", thousands_separator="'", date_format="", header_line="x"), ""),
+    }
+    K, R, C, E, D, I = "E_KEY_MISSING", "E_FIELD_REQUIRED", "E_CURRENCY_UNKNOWN", "E_ENUM_UNKNOWN", "E_DATE_FORMAT", "E_FIELD_INVALID"
+    cases = [  # table, changes, findings
+        *[(t, {}, []) for t in good if t != "file_receipts"],
+        ("suppliers", dict(supplier_number=" ", name=None, currency="XXX", country="ch", payment_terms_days=-1), [(K, "supplier_number"), (R, "name"), (C, "currency"), ("E_COUNTRY_FORMAT", "country"), (I, "payment_terms_days")]),
+        ("suppliers", dict(currency=None, country=None, payment_terms_days=None), [(R, "currency")]),
+        ("cost_centers", dict(code="", name=" ", company_code="CH30", valid_to="2025-01-01"), [(K, "code"), (R, "name"), (E, "company_code"), (I, "valid_to")]),
+        ("cost_centers", dict(company_code=None, valid_from=None), [(R, "company_code"), (R, "valid_from")]),
+        ("cost_centers", dict(name="", valid_from="2025-02-30", valid_to="1.1.2025"), [(D, "valid_from"), (D, "valid_to")]),
+        ("purchase_orders", dict(po_number=None, supplier_number="", company_code="", currency=None, status=None, order_date=None), [(K, "po_number"), *[(R, f) for f in ("supplier_number", "company_code", "currency", "status", "order_date")]]),
+        ("purchase_orders", dict(company_code="X", currency="chf", status="open"), [(E, "company_code"), (C, "currency"), (E, "status")]),
+        ("purchase_orders", dict(status=None, order_date="2025-13-01"), [(D, "order_date")]),
+        ("purchase_order_lines", dict(po_number=" ", line_no=None, uom=None, currency=None, unit_price="1.1234567"), [(K, "po_number"), (K, "line_no"), (R, "uom"), (R, "currency"), ("E_MONEY_SCALE", "unit_price")]),
+        ("purchase_order_lines", dict(uom="kg", currency="ABC", unit_price=None), [("E_UOM_UNKNOWN", "uom"), (C, "currency")]),
+        ("purchase_order_lines", dict(uom="kg", unit_price="12..3"), [("E_DECIMAL_FORMAT", "unit_price")]),
+        ("purchase_order_lines", dict(uom="kg", unit_price="EUR 12.30"), [(I, "unit_price")]),
+        ("purchase_order_lines", dict(unit_price="CHF 1'234.50"), []),
+        ("purchase_order_lines", dict(unit_price="1,5"), [("E_DECIMAL_FORMAT", "unit_price")]),
+        ("purchase_order_lines", dict(path="comma", unit_price="1,5"), []),
+        ("fx_rates", dict(base="", quote=None, rate_type="", valid_from="", valid_to=None), [(K, f) for f in ("base", "quote", "valid_from", "rate_type")]),
+        ("fx_rates", dict(base="A", quote="B", rate_type="X", valid_to="2025-01-01", status=None, rate_factor=0, rate="-0.9", sequence=-1), [(C, "base"), (C, "quote"), (E, "rate_type"), (I, "valid_to"), (R, "status"), (I, "rate_factor"), (I, "rate"), (I, "sequence")]),
+        ("fx_rates", dict(status="X", rate_factor=None, rate="0.000"), [(E, "status"), (I, "rate_factor"), (I, "rate")]),
+        ("fx_rates", dict(rate=None), [(I, "rate")]),
+        ("fx_rates", dict(rate="1.-"), []),
+        ("fx_rates", dict(rate="(1.5)"), [(I, "rate")]),
+        ("fx_rates", dict(rate="x", rate_factor=0, valid_from="2025"), [(D, "valid_from"), ("E_DECIMAL_FORMAT", "rate")]),
+        ("postings", dict(proposal_id=None, erp_status="posted", erp_document_number=""), [(K, "proposal_id"), (R, "erp_document_number")]),
+        ("postings", dict(erp_status="rejected", erp_document_number=None), []),
+        ("postings", dict(erp_status=None), [(R, "erp_status")]),
+        ("postings", dict(erp_status="done"), [(E, "erp_status")]),
+        ("file_receipts", {}, None),
+        ("file_receipts", dict(path="comma", decimal_separator=",", thousands_separator="."), None),
+    ]
+    want = sorted((t, i, *f) for i, (t, _, found) in enumerate(cases) for f in found or [])
+    for t, (key, row, kinds) in good.items():
+        kind = {x.split()[0]: x for x in kinds.split(", ") if x}
+        schema = ", ".join([f"{key} bigint", *[kind.get(c, f"{c} string") for c in row]])
+        spark.createDataFrame([(i, *(row | ch).values()) for i, (u, ch, _) in enumerate(cases) if u == t], schema).write.parquet(f"{tmp_path}/{t}.parquet")
+    assert sorted(map(tuple, pipelines.rule_findings(spark, str(tmp_path)).select("dataset", "row_id", "code", "field").collect())) == want
+    duckdb = pytest.importorskip("duckdb")
+    con = duckdb.connect()
+    for t in good:
+        con.execute(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
+    assert sorted(con.execute(f"select dataset, row_id, code, field from ({pipelines.SQL['rule_findings']})").fetchall()) == want
+
+
 def test_composed_texts_of_any_script(spark, tmp_path):
     from ledgerloom.plans import inventory
 
