@@ -104,6 +104,22 @@ def test_mixture_meets_targets_and_caps(spark):
     s.unpersist()
 
 
+@needs_files
+def test_corpus_budget_is_not_set_by_the_first_source_to_run_out(spark, tmp_path):
+    from ledgerloom.llm import queries
+
+    docs = [(i, "mail", "a few words of mail " * 5) for i in range(60)] + [(100 + i, "web", "other words here " * 5) for i in range(60)] + [(200, "tiny", "ten small words")]
+    spark.createDataFrame(docs, "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    goals = [("mail", 0.5, 2), ("web", 0.45, 2), ("tiny", 0.05, 2)]
+    spark.createDataFrame(goals, "source string, target_share double, max_repeats int").write.parquet(f"{tmp_path}/mix_targets.parquet")
+    got = {r.source: r for r in queries.p9_corpus_shares(spark, str(tmp_path)).collect()}
+    have, used = sum(r.source_tokens for r in got.values()), sum(r.tokens for r in got.values())
+    longest = max(r.tokens // max(1, r.documents) for r in got.values())
+    assert have - longest <= used <= have
+    assert got["tiny"].uses == 2 and got["tiny"].tokens == 2 * got["tiny"].source_tokens and got["tiny"].reached_share < 0.01
+    assert queries.p9_corpus_mixture(spark, str(tmp_path)).count() == sum(r.documents for r in got.values())
+
+
 def test_mixture_of_nothing(spark):
     goals = spark.createDataFrame([("a", 0.5, 1)], "source string, target_share double, max_repeats int")
     s = mix.sized_documents(sized(spark, []), goals)
