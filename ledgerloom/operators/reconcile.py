@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import trim_ws
+
 
 def symmetric_difference(left: DataFrame, right: DataFrame, names: tuple[str, str] = ("missing", "extra")) -> DataFrame:
     """Rows in one set only: side says which (first: in left only). Null equals null."""
@@ -46,12 +48,32 @@ def bijection_violations(pairs: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def needle_hits(texts: DataFrame, id_col: str, text: Column, shape: str, needles: DataFrame, needle: str) -> DataFrame:
-    """(id, needle) for each full needle that occurs in a text. Candidates are cut out of the text by
-    the needles' shape and joined by equality, so needles and texts may both be large."""
+    """(id, needle) for each needle that is a match of ``shape`` in a text. Candidates are cut out of the
+    text by the needles' shape and joined by equality, so needles and texts may both be large."""
     cand = texts.select(F.col(id_col), F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(shape), F.lit(0)))).alias(needle))
     return cand.join(needles.select(needle).distinct(), needle, "left_semi").select(id_col, needle)
 
 
+def occurrences(texts: DataFrame, id_col: str, text: Column, needles: DataFrame, needle: str) -> DataFrame:
+    """(id, needle) once for each trimmed, not empty needle that occurs anywhere in a text. The longest runs of
+    characters that needles hold are cut into substrings of each length that occurs, joined by equality.
+    The driver gets the needles' lengths and characters only."""
+    n = needles.select(trim_ws(F.col(needle)).alias(needle)).where(f"{needle} <> ''").distinct()
+    chars = n.select(F.length(needle).alias("k"), F.explode(F.split(needle, "")).alias("c")).where("c <> ''")
+    lengths, alphabet = chars.agg(F.sort_array(F.collect_set("k")), F.sort_array(F.collect_set("c"))).first()
+    if not lengths:
+        return texts.select(id_col).join(n, F.lit(False))
+    shape = "[" + "".join(f"\\x{{{ord(c):x}}}" for c in alphabet) + f"]{{{lengths[0]},}}"
+    runs = texts.select(F.col(id_col), F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(shape), F.lit(0)))).alias("run"))
+
+    def parts(k: int) -> Column:
+        last = F.length("run") - (k - 1)
+        return F.when(last > 0, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.substr(F.col("run"), i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
+
+    cand = runs.select(id_col, F.explode(F.array_distinct(F.concat(*map(parts, lengths)))).alias(needle))
+    return cand.join(n, needle, "left_semi").select(id_col, needle).distinct()
+
+
 def capped_rollup(scores: DataFrame, group: str, earned: str, possible: str, cap: dict[str, int]) -> DataFrame:
     """Earned and possible points by group, both cut at the group's budget (null budget: no cut)."""
     budget = F.lit(None).cast("bigint")

@@ -369,10 +369,17 @@ def counter_crosscheck(spark, sf):  # CMP-05
 
 @query("""WITH c AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '[0-9]{10}'))) AS supplier_number FROM documents)
 SELECT DISTINCT doc_id, supplier_number FROM c WHERE supplier_number IN (SELECT supplier_number FROM suppliers)""")
-def needle_scan(spark, sf):  # CMP-06, FLT-02
+def needle_scan(spark, sf):  # runs of ten digits only; needle_scan_all finds every number
     return R.needle_hits(table(spark, sf, "documents"), "doc_id", F.col("text"), "[0-9]{10}", table(spark, sf, "suppliers"), "supplier_number")
 
 
+@query(f"""WITH n AS (SELECT DISTINCT {sql_trim('supplier_number')} AS n FROM suppliers), l AS (SELECT DISTINCT length(n) AS k FROM n WHERE n <> ''),
+t AS (SELECT doc_id, text, k FROM documents, l), s AS (SELECT doc_id, unnest(list_distinct(list_transform(range(1, length(text) - k + 2), lambda i: text[i:i + k - 1]))) AS supplier_number FROM t)
+SELECT DISTINCT doc_id, supplier_number FROM s WHERE supplier_number IN (SELECT n FROM n)""")
+def needle_scan_all(spark, sf):  # CMP-06, FLT-02
+    return R.occurrences(table(spark, sf, "documents"), "doc_id", F.col("text"), table(spark, sf, "suppliers"), "supplier_number")
+
+
 @query("""WITH s AS (SELECT dataset, coalesce(accepted,0) AS e, coalesce(seen,0) AS p FROM file_receipts)
 SELECT dataset, CAST(CASE WHEN dataset='supplier' THEN least(sum(e), 500) ELSE sum(e) END AS BIGINT) AS earned, CAST(CASE WHEN dataset='supplier' THEN least(sum(p), 500) ELSE sum(p) END AS BIGINT) AS possible FROM s GROUP BY 1""")
 def capped_rollup(spark, sf):  # CMP-17, CMP-16

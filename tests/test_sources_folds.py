@@ -166,6 +166,17 @@ def test_lookup_and_reconcile_edges(spark):
     assert got == {(1, "g", None, "z"), (2, "f", "b", None), (2, "g", "c", None), (3, "g", None, "q")}
 
 
+def test_needles_of_any_length_and_place(spark):
+    rnd = random.Random(3)
+    needles = ["0000001234", " 1234567 ", "7654321", "12345678", "123456789", "LF-77", "LF-77", "", None]
+    texts = ["no 1234567.", "x0000001234", "990000001234", "00000012345678901", "12345678", "7654321-LF-77", "lf-77", "", None, "LF-7", *("".join(rnd.choice("1234567 LF-") for _ in range(300)) for _ in range(20))]
+    want = {(i, n.strip()) for i, t in enumerate(texts) for n in needles if t and n and n.strip() in t}
+    T, n = spark.createDataFrame(list(enumerate(texts)), "id int, t string"), spark.createDataFrame([(n,) for n in needles], "n string")
+    got = [tuple(r) for r in reconcile.occurrences(T, "id", F.col("t"), n, "n").collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) >= 9
+    assert reconcile.occurrences(T, "id", F.col("t"), n.where("false"), "n").collect() == []
+
+
 def test_validation_paths(spark):
     df = spark.createDataFrame([(1, [("XX", "")]), (2, [("EUR", "a"), ("CHF", None)]), (3, None)], "id int, lines array<struct<cur:string,no:string>>")
     got = {r.id: [(f.code, f.field) for f in r.findings or []] for r in validate.element_findings(df, "lines", lambda e: [validate.currency("cur", e["cur"]), validate.required("no", e["no"], True)]).collect()}
