@@ -85,7 +85,7 @@ def record_history(spark, sf):  # SRC-22: point get, a pushed-down filter
     return table(spark, sf, "proposals").where(F.col("proposal_id") == "prp_000000001").select("revision_id", "seq", "status")
 
 
-# -- paging, limits, numbering: LIM-01..06, SRT-01, RUL-05, STR-03, GEN-01, GEN-08, WIN-07, WIN-10 ----
+# -- paging, limits, numbering: LIM-01..06, SRT-01, RUL-05, STR-03, GEN-08, WIN-07, WIN-10 ----
 @query("""SELECT change_seq, po_row_id, (SELECT count(*) > 250 FROM purchase_orders WHERE change_seq > 500100) AS has_more FROM purchase_orders WHERE change_seq > 500100 ORDER BY change_seq, po_row_id LIMIT 250""")
 def keyset_page(spark, sf):  # LIM-01, FLT-03, SRC-19, STR-01: 250 rows is the page size
     o = table(spark, sf, "purchase_orders").where(F.col("change_seq") > 500100).select("change_seq", "po_row_id")
@@ -262,7 +262,7 @@ def rate_supersession(spark, sf):  # AGG-10
 
 
 @query("""SELECT part, CAST(count(*) AS BIGINT) AS n FROM (SELECT unnest(string_split(idempotency_key, ':')) AS part FROM postings WHERE idempotency_key IS NOT NULL) GROUP BY 1""")
-def attempts_per_reference(spark, sf):  # AGG-11, GEN-11
+def attempts_per_reference(spark, sf):  # AGG-11
     return table(spark, sf, "postings").where("idempotency_key is not null").select(F.explode(F.split("idempotency_key", ":")).alias("part")).groupBy("part").agg(_n())
 
 
@@ -297,7 +297,7 @@ def state_digest(spark, sf):  # AGG-16, HSH-02, HSH-03
 
 
 @query("""SELECT event_type, CAST(count(*) AS BIGINT) AS n, CAST(count(*)*1000 // count(DISTINCT user_id) AS BIGINT) AS per_user_milli FROM events GROUP BY 1""")
-def request_ratio(spark, sf):  # AGG-17, CMP-08, STR-06
+def request_ratio(spark, sf):  # AGG-17, CMP-08
     g = table(spark, sf, "events").groupBy("event_type").agg(_n(), F.countDistinct("user_id").alias("u"))
     return g.select("event_type", "n", F.expr("n * 1000 div u").alias("per_user_milli"))
 
@@ -382,20 +382,20 @@ def needle_scan_all(spark, sf):  # CMP-06, FLT-02
 
 @query("""WITH s AS (SELECT dataset, coalesce(accepted,0) AS e, coalesce(seen,0) AS p FROM file_receipts)
 SELECT dataset, CAST(CASE WHEN dataset='supplier' THEN least(sum(e), 500) ELSE sum(e) END AS BIGINT) AS earned, CAST(CASE WHEN dataset='supplier' THEN least(sum(p), 500) ELSE sum(p) END AS BIGINT) AS possible FROM s GROUP BY 1""")
-def capped_rollup(spark, sf):  # CMP-17, CMP-16
+def capped_rollup(spark, sf):  # CMP-17
     s = table(spark, sf, "file_receipts").select("dataset", F.coalesce("accepted", F.lit(0)).alias("e"), F.coalesce("seen", F.lit(0)).alias("p"))
     return R.capped_rollup(s, "dataset", "e", "p", {"supplier": 500})
 
 
 @query("""SELECT CAST(count(DISTINCT n) AS BIGINT) AS templates FROM (SELECT regexp_replace(text, '[0-9]+', '#', 'g') AS n FROM documents WHERE text IS NOT NULL)""")
-def normalised_texts(spark, sf):  # CMP-11, GEN-06
+def normalised_texts(spark, sf):  # CMP-11
     return table(spark, sf, "documents").where("text is not null").select(F.regexp_replace("text", "[0-9]+", "#").alias("n")).distinct().agg(F.count("*").alias("templates"))
 
 
-# -- deliveries: UPD-04, UPD-06, UPD-08, STR-02, RUL-12, RUL-13, CMP-14, SNK-03 ---------------------------
+# -- deliveries: UPD-04, UPD-06, STR-02, RUL-12, RUL-13, CMP-14, SNK-03 ---------------------------
 @query("""WITH f AS (SELECT *, first_value(sha256) OVER (PARTITION BY batch_id, path ORDER BY received_at, receipt_id) AS h0, row_number() OVER (PARTITION BY batch_id, path ORDER BY received_at, receipt_id) AS rn FROM file_receipts)
 SELECT receipt_id, CASE WHEN rn=1 THEN 'first' WHEN sha256 IS NOT DISTINCT FROM h0 THEN 'replay' ELSE 'conflict' END AS outcome FROM f""")
-def delivery_replays(spark, sf):  # UPD-06, UPD-08
+def delivery_replays(spark, sf):  # UPD-06
     f = table(spark, sf, "file_receipts").select("batch_id", "path", "receipt_id", "received_at", "sha256")
     first = f.groupBy("batch_id", "path").agg(F.min(F.struct("received_at", "receipt_id", "sha256")).alias("x"))
     j = f.join(first, ["batch_id", "path"])
@@ -431,7 +431,7 @@ def outbox_rows(spark, sf):  # PRJ-03, FN-13
     return p.join(q, "proposal_id", "left").select("proposal_id", X.key_part(F.col("invoice_key"), 0).alias("supplier_number"), X.key_part(F.col("invoice_key"), 1).alias("invoice_number"), "postings")
 
 
-# -- functions: FN-01..24, HSH-01..04, STR-05, GEN-09, GEN-10 ------------------------------------------------
+# -- functions: FN-01..24, HSH-01..04, STR-05, GEN-10 ------------------------------------------------
 @query("""SELECT revision_id, CASE WHEN fx_rate_factor > 0 THEN CAST((CASE WHEN (source_amount_minor<0) <> (r<0) THEN -1 ELSE 1 END) * ((abs(CAST(source_amount_minor AS HUGEINT)*r) + (CAST(fx_rate_factor AS HUGEINT)*1000000)//2) // (CAST(fx_rate_factor AS HUGEINT)*1000000)) AS DECIMAL(22,0)) / 100 END::DECIMAL(22,2) AS amount
 FROM (SELECT *, CAST(CAST(fx_rate_used AS DECIMAL(18,6))*1000000 AS HUGEINT) AS r FROM proposals WHERE fx_rate_used IS NOT NULL)""")
 def converted_amounts(spark, sf):  # FN-06, FN-07, FN-08, FN-09
@@ -471,7 +471,7 @@ def short_dates(spark, sf):  # FN-04, FN-05, FN-23
 
 
 @query("""SELECT fx_rate_id, CAST(replace(replace(replace(rate, '.', '#'), ',', '.'), '#', ',') AS VARCHAR) AS literal, CAST(rate AS DECIMAL(38,6)) AS value FROM fx_rates""")
-def host_rates(spark, sf):  # FN-03, SRC-18
+def host_rates(spark, sf):  # FN-03
     r = table(spark, sf, "fx_rates").withColumn("literal", F.translate("rate", ".", ","))
     return r.select("fx_rate_id", "literal", N.host_number(F.col("literal")).alias("value"))
 
@@ -488,7 +488,7 @@ def canonical_payloads(spark, sf):  # HSH-01, FN-21
 
 
 @query()
-def fault_picks(spark, sf):  # STR-05, GEN-07: FNV-1a has no SQL form here
+def fault_picks(spark, sf):  # STR-05: FNV-1a has no SQL form here
     return table(spark, sf, "events").select("event_id", H.fnv1a64_mod(23)(F.concat("event_type", F.lit(":"), F.col("event_id").cast("string"))).alias("bucket"))
 
 

@@ -42,7 +42,7 @@ def _orders(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(_ORDERS)
-def source_csv(spark, sf):  # SRC-01, SRC-03, SRC-04, SRC-13, SRC-14
+def source_csv(spark, sf):  # SRC-01, SRC-03, SRC-04, SRC-13
     path = shared_dir(spark, "csv")
     _orders(spark, sf).write.option("header", True).option("quoteAll", True).option("emptyValue", "").option("nullValue", "").option("sep", ";").csv(path)
     return S.typed(S.read_files(spark, path, "csv", delimiter=";", glob="*.csv"), _COLS)
@@ -169,7 +169,7 @@ def incremental_drain(spark, sf):  # STR-01, AGG-09, LIM-01: two drains, nothing
 
 # -- ordered folds -----------------------------------------------------------------------------------
 @query()
-def token_bucket(spark, sf):  # WIN-08, STR-04: checked against brute force in the tests
+def token_bucket(spark, sf):  # WIN-08: checked against brute force in the tests
     e = table(spark, sf, "events").select("event_id", "user_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"))
     return folds.bucket_levels(e, "user_id", ["event_id"], ["event_id", "user_id"], "ms", 3, 3_600_000)
 
