@@ -81,10 +81,16 @@ def dataset_counts(spark, sf):  # AGG-01, CMP-10
 
 
 @query(f"""SELECT revision_id, seq, status FROM proposals WHERE proposal_id = 'prp_000000001'""")
-def record_history(spark, sf):  # SRC-22: point get, a pushed-down filter
+def record_history(spark, sf):  # one key of record_histories: point get, a pushed-down filter
     return table(spark, sf, "proposals").where(F.col("proposal_id") == "prp_000000001").select("revision_id", "seq", "status")
 
 
+@query("""SELECT proposal_id, revision_id, seq, status, CAST(row_number() OVER (PARTITION BY proposal_id ORDER BY seq NULLS FIRST, revision_id) AS BIGINT) AS revision FROM proposals""")
+def record_histories(spark, sf):  # SRC-22: every proposal
+    p = table(spark, sf, "proposals").select("proposal_id", "revision_id", "seq", "status")
+    return O.running(p, ["proposal_id"], "seq", F.lit(1).cast("bigint"), "revision", tie=["revision_id"])
+
+
 # -- paging, limits, numbering: LIM-01..06, SRT-01, RUL-05, STR-03, GEN-08, WIN-07, WIN-10 ----
 @query("""SELECT change_seq, po_row_id, (SELECT count(*) > 250 FROM purchase_orders WHERE change_seq > 500100) AS has_more FROM purchase_orders WHERE change_seq > 500100 ORDER BY change_seq, po_row_id LIMIT 250""")
 def keyset_page(spark, sf):  # LIM-01, FLT-03, SRC-19, STR-01: 250 rows is the page size

@@ -196,6 +196,15 @@ def test_hashes(spark):
     assert H.state_digest(h.repartition(3), "g", "h").collect() == H.state_digest(h.orderBy(F.desc("id")), "g", "h").collect()
 
 
+def test_histories_of_every_proposal(spark, tmp_path):
+    from ledgerloom.plans import inventory
+
+    rows = [("x", 4, 9, "c"), ("x", 1, 2, "a"), ("x", 3, 2, "b"), ("y", 2, 5_000_000, "d"), ("y", 5, 1, "e"), (None, 6, None, "f")]
+    spark.createDataFrame(rows, "proposal_id string, revision_id bigint, seq bigint, status string").write.parquet(f"{tmp_path}/proposals.parquet")
+    got = {(r.proposal_id, r.revision): (r.revision_id, r.seq, r.status) for r in inventory.record_histories(spark, str(tmp_path)).collect()}
+    assert got == {("x", 1): (1, 2, "a"), ("x", 2): (3, 2, "b"), ("x", 3): (4, 9, "c"), ("y", 1): (5, 1, "e"), ("y", 2): (2, 5_000_000, "d"), (None, 1): (6, None, "f")}
+
+
 def test_rule_findings_of_every_rule(spark, tmp_path):
     from ledgerloom.plans import pipelines
 
