@@ -15,6 +15,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -75,9 +77,10 @@ def _by_changes(child: DataFrame, changes: DataFrame) -> DataFrame:
     return j.select("record_key", "key", "t", reason.alias("reason"))
 
 
-def orphans(nodes: list[Node], edges: list[Edge], max_rounds: int = 1000) -> DataFrame:
+def orphans(nodes: list[Node], edges: list[Edge], max_rounds: int | None = None) -> DataFrame:
     """child_table, record_key, kind (direct, inherited), reason (of inherited: the parent table),
-    at: the time of the reference, round."""
+    at: the time of the reference, round. Ends when a round finds nothing: a row is found once.
+    Orphans left beyond max_rounds are an error."""
     by = {n.name: n for n in nodes}
 
     def refs(e: Edge) -> DataFrame:
@@ -91,7 +94,7 @@ def orphans(nodes: list[Node], edges: list[Edge], max_rounds: int = 1000) -> Dat
         found = one if found is None else found.unionByName(one)
     rounds = [written(found, "orphans-direct")]
     tables = {e.child for e in edges}
-    for k in range(1, max_rounds + 1):
+    for k in count(1):
         step = None
         for e in edges:
             parent = by[e.parent]
@@ -110,6 +113,8 @@ def orphans(nodes: list[Node], edges: list[Edge], max_rounds: int = 1000) -> Dat
         tables = {r[0] for r in step.select("child_table").distinct().collect()}  # at most one per table
         if not tables:
             break
+        if max_rounds is not None and k > max_rounds:
+            raise RuntimeError(f"orphans are left after {max_rounds} rounds")
         rounds.append(step)
         if not any(e.parent in tables and by[e.parent].own_key is not None for e in edges):
             break

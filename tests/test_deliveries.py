@@ -3,6 +3,7 @@
 import random
 from datetime import date, datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.text import trim_ws
@@ -181,6 +182,17 @@ def test_orphans_direct_inherited_and_cycles(spark):
     assert none.count() == 0
 
 
+def test_orphans_are_not_cut_by_the_number_of_rounds(spark):
+    rows = [(f"r{i}", f"K{i}", "gone" if i == 0 else f"K{i - 1}", at(5)) for i in range(5)]
+    a = spark.createDataFrame(rows, "rid string, own string, up string, t timestamp_ntz")
+    span = existence_spans(a.withColumn("del", F.lit(None).cast("timestamp_ntz")), F.col("own"), "t", "del")
+    nodes, edges = [Node("a", a, F.col("rid"), F.col("own"))], [Edge("a", "a", F.col("up"), F.col("t"), spans=span)]
+    for bound in (None, 4):
+        assert {(r.record_key, r["round"]) for r in orphans(nodes, edges, bound).collect()} == {(f"r{i}", i) for i in range(5)}
+    with pytest.raises(RuntimeError):
+        orphans(nodes, edges, 2)
+
+
 def test_orphan_reasons_over_time(spark):
     orders = spark.createDataFrame([("o1", "S", at(5)), ("o2", "S", at(15)), ("o3", "S", at(25)), ("o4", "none", at(5)), ("o5", "S", None)], "rid string, sup string, t timestamp_ntz")
     log = spark.createDataFrame([("S", at(10), (1, False)), ("S", at(20), (2, True)), ("S", at(22), (0, False))], "key string, t timestamp_ntz, value struct<seq:int,gone:boolean>")
