@@ -1,24 +1,25 @@
 """Messages delivered more than once: a partitioned store that keeps one row per message.
 
-Layout below the store's folder::
+Layout below the store's folder (``a`` is one attempt to write, see session.Versioned)::
 
-    rows/commit=<n>/kept=1/part=p<period>/*.parquet   winners that arrived in the period
-    rows/commit=<n>/kept=0/part=p<period>/*.parquet   rows that lost in that commit
-    index/commit=<n>/part=p<period>/*.parquet         64-bit hashes of the kept identifiers
-    _manifests/<commit>.json                         which commit holds the valid version of each p
+    rows/attempt=a/kept=1/part=p<period>/*.parquet   winners that arrived in the period
+    rows/attempt=a/kept=0/part=p<period>/*.parquet   rows that lost in that commit
+    index/attempt=a/bucket=<b>/*.parquet             (hash of an identifier, part of a row kept for it)
+    _manifests/<commit>.json                    the valid attempt of each part, those of each bucket
 
-``ingest`` looks the incoming identifiers up in the index, reads only the historical
-partitions that hold one of them, combines both, recomputes one winner per
-identifier and replaces just those partitions. Readers follow the manifest, which is
-published by one rename, so they see all of a commit or nothing.
+``ingest`` reads only the index buckets its identifiers fall in, looks them up, reads only the
+historical partitions that hold one, combines both, recomputes one winner per identifier and
+replaces just those partitions. The index grows by the winners among the arriving rows, so a batch
+writes and reads in proportion to itself; entries of rows that lost later only cost a look. Readers
+follow the manifest, which is published by one rename: they see all of a commit or nothing.
 
 Defined results: a message is the trimmed, non-null identifier, compared exactly; an
 identifier of white space only is the empty identifier, one message of its own. The
 winner is the row with the smallest ``order`` columns, nulls last, then the smallest
-row id. Rows without an identifier are kept and never surplus. Row ids are unique; a batch
-is ingested once (a stream keeps its batch ids, see streaming.feeds). Extra columns pass
-through; names starting with ``_msg_`` and the names ``commit``, ``kept`` and ``part`` are
-reserved.
+row id. Rows without an identifier are kept and never surplus. A row id stands for one row: of
+rows that repeat one, in a batch or in the store, one is kept. A batch given again with its number is
+skipped. Extra columns pass through; names starting with ``_msg_`` and the names ``attempt``,
+``kept``, ``part`` and ``bucket`` are reserved.
 """
 
 from __future__ import annotations
@@ -28,7 +29,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import trim_ws
-from ..session import SharedFiles, read_manifest, write_manifest
+from ..session import Versioned, written
+
+DELTAS = 16
 
 
 def winner_order(order: list[str], row_id: str) -> Column:
@@ -45,85 +48,114 @@ def winner_ids(rows: DataFrame, key: str, order: list[str], row_id: str) -> Data
     return rows.groupBy(key).agg(F.min(winner_order(order, row_id)).alias("_msg_w")).select(F.col("_msg_w.id").alias(row_id))
 
 
-class MessageStore:
-    def __init__(self, spark: SparkSession, path: str, *, key: str, row_id: str, order: list[str], period: Column):
-        """period: maps a row to its partition; it should have few values (months, days)."""
-        self.spark, self.path = spark, path
-        self.key, self.row_id, self.order, self.period = key, row_id, order, period
-        self.files = SharedFiles(spark, path)
-
-    def _dir(self, kind: str, commit: int) -> str:
-        return f"{self.path}/index/commit={commit}" if kind == "index" else f"{self.path}/rows/commit={commit}/kept={int(kind == 'data')}"
+class MessageStore(Versioned):
+    def __init__(self, spark: SparkSession, path: str, *, key: str, row_id: str, order: list[str], period: Column, buckets: int = 64, deltas: int = DELTAS):
+        """period: maps a row to its partition, by values of the row alone; it should have few values
+        (months, days). buckets: of the identifier index; about a million identifiers each are good.
+        deltas: index files of a bucket that are merged into one."""
+        super().__init__(spark, path)
+        self.key, self.row_id, self.order, self.period, self.buckets, self.deltas = key, row_id, order, period, buckets, deltas
 
     # -- reading -------------------------------------------------------------
-    def _read(self, kind: str, manifest: dict, parts: list[str] | None = None) -> DataFrame | None:
-        held = manifest.get("index" if kind == "index" else "parts", {})
-        chosen = [(p, c) for p, c in sorted(held.items()) if parts is None or p in parts]
-        if not chosen:
-            return None
-        return self._load(kind, [f"{self._dir(kind, c)}/part={p}" for p, c in chosen]).withColumnRenamed("part", "_msg_part")
+    def _rows(self, kept: int, places: list[tuple[str, str]]) -> DataFrame | None:
+        """places: (attempt, part)."""
+        dirs = [f"{self.path}/rows/{a}/kept={kept}/part={p}" for a, p in sorted(places)]
+        return self.spark.read.option("basePath", f"{self.path}/rows").parquet(*dirs).drop("attempt", "kept") if dirs else None
+
+    def _kept(self, manifest: dict, parts: list[str] | None = None) -> DataFrame | None:
+        return self._rows(1, [(a, p) for p, a in manifest.get("parts", {}).items() if parts is None or p in parts])
 
-    def _load(self, kind: str, paths: list[str]) -> DataFrame:
-        root = f"{self.path}/{'index' if kind == 'index' else 'rows'}"
-        return self.spark.read.option("basePath", root).parquet(*paths).drop("commit", "kept")
+    def _lost(self, manifest: dict, parts: list[str] | None = None) -> DataFrame | None:
+        return self._rows(0, [(a, p) for a, held in manifest.get("surplus", {}).items() for p in held if parts is None or p in parts])
+
+    def _index(self, manifest: dict, buckets: list[int]) -> DataFrame | None:
+        dirs = [f"{self.path}/index/{a}/bucket={b}" for b in sorted(buckets) for a in manifest.get("index", {}).get(str(b), [])]
+        return self.spark.read.option("basePath", f"{self.path}/index").schema("h bigint, part string, attempt string, bucket int").parquet(*dirs).drop("attempt") if dirs else None
 
     def messages(self) -> DataFrame | None:
         """The kept rows, one per message, with all columns; None before the first batch."""
-        _, m = read_manifest(self.files)
-        df = self._read("data", m)
-        return self._none(m) if df is None else df.drop("_msg_part", "_msg_key")
+        return self._public(self._kept)
 
     def surplus(self) -> DataFrame | None:
         """Rows that are not kept, of all commits; None before the first batch."""
-        _, m = read_manifest(self.files)
-        dirs = [self._dir("surplus", c) for c in m.get("with_surplus", [])]
-        return self._load("surplus", dirs).drop("part", "_msg_key") if dirs else self._none(m)
+        return self._public(self._lost)
 
-    def _none(self, manifest: dict) -> DataFrame | None:
-        return self.spark.createDataFrame([], T.StructType.fromJson(manifest["schema"])) if "schema" in manifest else None
+    def _public(self, read) -> DataFrame | None:
+        _, m = self.manifest()
+        df = read(m)
+        if df is None:
+            return self.spark.createDataFrame([], T.StructType.fromJson(m["schema"])) if "schema" in m else None
+        return df.drop("part", "_msg_key", "_msg_new")
 
     # -- writing -------------------------------------------------------------
-    def ingest(self, incoming: DataFrame) -> dict:
-        number, manifest = read_manifest(self.files)
-        new = number + 1
-        rows = incoming.withColumn("_msg_key", trim_ws(F.col(self.key))).withColumn("_msg_part", F.concat(F.lit("p"), F.coalesce(self.period, F.lit(""))))
-
-        affected: list[str] = []
-        index = self._read("index", manifest)
+    def ingest(self, incoming: DataFrame, batch: tuple[str, int] | None = None) -> dict:
+        """batch: (stream, number); a number of the stream already applied is skipped."""
+        rows = incoming.withColumn("_msg_key", trim_ws(F.col(self.key))).withColumn("part", F.concat(F.lit("p"), F.coalesce(self.period, F.lit(""))))
+        return self.commit(lambda m: self._build(incoming, rows, m), batch)
+
+    def _hashed(self, rows: DataFrame, *more: str) -> DataFrame:
+        h = rows.where("_msg_key is not null").select(F.xxhash64("_msg_key").alias("h"), *more)
+        return h.withColumn("bucket", F.pmod("h", F.lit(self.buckets)).cast("int"))
+
+    def _unrepeated(self, rows: DataFrame, history: DataFrame | None, lost: DataFrame | None) -> DataFrame:
+        """The arriving rows whose id is neither stored nor given twice. A stored copy has the same
+        period, so it lies in the parts that are read anyway. Ids only are compared; the rows move
+        only where some are repeated."""
+        ids = rows.select(self.row_id)
+        again = ids.groupBy(self.row_id).agg(F.count("*").alias("n")).where("n > 1").select(self.row_id, F.lit(False).alias("stored"))
+        for held in (history, lost):
+            if held is not None:
+                again = again.unionByName(ids.join(held.select(self.row_id), self.row_id, "left_semi").select(self.row_id, F.lit(True).alias("stored")))
+        again = again.groupBy(self.row_id).agg(F.max("stored").alias("stored"))
+        if again.isEmpty():
+            return rows
+        again = written(again, "repeated-ids")
+        once = rows.join(again.where("not stored"), self.row_id, "left_semi").dropDuplicates([self.row_id])
+        return rows.join(again, self.row_id, "left_anti").unionByName(once)
+
+    def _build(self, incoming: DataFrame, rows: DataFrame, manifest: dict) -> tuple[dict, dict]:
+        new = self.attempt()
+        bucket = F.pmod(F.xxhash64("_msg_key"), F.lit(self.buckets)).cast("int")
+        # one row per part and bucket at most: bounded by their numbers, not by the rows
+        met = rows.select("part", F.when(F.col("_msg_key").isNotNull(), bucket).alias("b")).distinct().collect()
+        own, looked = sorted({r[0] for r in met}), sorted({r[1] for r in met if r[1] is not None})
+        affected = set(own)
+        index = self._index(manifest, looked)
         if index is not None:
-            arriving = rows.where(F.col("_msg_key").isNotNull()).select(F.xxhash64("_msg_key").alias("h")).distinct()
-            hit = index.join(arriving, "h", "left_semi").select("_msg_part")
-            touched = hit.union(rows.select("_msg_part")).distinct()
-            # one row per period at most: bounded by the number of partitions, not of rows
-            affected = [r[0] for r in touched.collect()]
-        history = self._read("data", manifest, affected)
-        both = rows if history is None else history.unionByName(rows)
-
-        # decided on three narrow columns, by the unique row id, never by joining on the message key
-        narrow = both.where(F.col("_msg_key").isNotNull()).select("_msg_key", self.row_id, *self.order)
-        winners = winner_ids(narrow, "_msg_key", self.order, self.row_id)
-        lost = narrow.select(self.row_id).join(winners, self.row_id, "left_anti").withColumn("_msg_lost", F.lit(True))
-        # the wide rows move once, unless the lost ids are few enough for AQE to broadcast
-        tagged = both.join(lost, self.row_id, "left").withColumn("kept", F.when(F.col("_msg_lost"), 0).otherwise(1))
-        tagged = tagged.drop("_msg_lost").withColumnRenamed("_msg_part", "part")
+            arriving = self._hashed(rows).distinct()
+            affected |= {r[0] for r in index.join(arriving, ["h", "bucket"], "left_semi").select("part").distinct().collect()}
+        history = self._kept(manifest, sorted(affected))
+        rows = self._unrepeated(rows, history, self._lost(manifest, own))
+        both = rows.withColumn("_msg_new", F.lit(True))
+        if history is not None:
+            both = history.withColumn("_msg_new", F.lit(False)).unionByName(both)
+
+        # decided on narrow columns and joined by the unique row id, never by the message key
+        narrow = both.where("_msg_key is not null").select("_msg_key", self.row_id, *self.order)
+        winners = winner_ids(narrow, "_msg_key", self.order, self.row_id).withColumn("_msg_won", F.lit(True))
+        tagged = both.join(winners, self.row_id, "left")
+        tagged = tagged.withColumn("kept", F.when(F.col("_msg_key").isNull() | F.col("_msg_won"), 1).otherwise(0)).drop("_msg_won")
         # AQE sizes the files of each partition, splitting large and joining small ones
-        tagged.hint("rebalance", "kept", "part").write.partitionBy("kept", "part").parquet(f"{self.path}/rows/commit={new}")
-        written = [n[5:] for n in self.files.names(f"rows/commit={new}/kept=1") if n.startswith("part=")]
-        if written:
-            now = self._load("data", [self._dir("data", new)])
-            hashes = now.where(F.col("_msg_key").isNotNull()).select(F.xxhash64("_msg_key").alias("h"), "part")
-            hashes.write.partitionBy("part").parquet(self._dir("index", new))
-        indexed = [n[5:] for n in self.files.names(f"index/commit={new}") if n.startswith("part=")]
-
-        parts, index = dict(manifest.get("parts", {})), dict(manifest.get("index", {}))
-        for p in affected:
-            parts.pop(p, None)
-            index.pop(p, None)
-        parts |= {p: new for p in written}
-        index |= {p: new for p in indexed}
-        surplus = [*manifest.get("with_surplus", []), *([new] if self.files.exists(f"rows/commit={new}/kept=0") else [])]
-        write_manifest(self.files, new, {"parts": parts, "index": index, "with_surplus": surplus, "schema": incoming.schema.jsonValue()})
-        return {"commit": new, "read_partitions": sorted(affected), "written_partitions": sorted(written)}
+        tagged.hint("rebalance", "kept", "part").write.partitionBy("kept", "part").parquet(f"{self.path}/rows/{new}")
+        at = {k: [n[5:] for n in self.files.names(f"rows/{new}/kept={k}") if n.startswith("part=")] for k in (0, 1)}
+
+        index = {b: list(a) for b, a in manifest.get("index", {}).items()}
+        fresh = self._rows(1, [(new, p) for p in at[1]])
+        if fresh is not None:
+            entries = self._hashed(fresh.where("_msg_new"), "part").distinct()
+            full = [int(b) for b, a in index.items() if len(a) >= self.deltas]
+            old = self._index(manifest, full)
+            if old is not None:
+                entries = entries.unionByName(old.select("h", "part", "bucket")).distinct()
+            entries.repartition("bucket").sortWithinPartitions("bucket", "h").write.partitionBy("bucket").parquet(f"{self.path}/index/{new}")
+            for n in self.files.names(f"index/{new}"):
+                if n.startswith("bucket="):
+                    index[n[7:]] = [new] if int(n[7:]) in full else [*index.get(n[7:], []), new]
+
+        parts = {p: a for p, a in manifest.get("parts", {}).items() if p not in affected} | {p: new for p in at[1]}
+        surplus = manifest.get("surplus", {}) | ({new: at[0]} if at[0] else {})
+        content = {"parts": parts, "index": index, "surplus": surplus, "schema": incoming.schema.jsonValue()}
+        return content, {"read_partitions": sorted(affected), "written_partitions": sorted(at[1]), "read_buckets": looked}
 
 
 def arrival_waves(df: DataFrame, at: str, waves: int = 2) -> list[DataFrame]:

@@ -26,7 +26,7 @@ def sql_trim(c: str) -> str:
 def posting_store(spark: SparkSession, sf: str) -> MessageStore:
     store = MessageStore(
         spark, shared_dir(spark, "postings"), key="idempotency_key", row_id="posting_id", order=["received_at"],
-        period=F.date_format("received_at", "yyyy-MM"),
+        period=F.date_format("received_at", "yyyy-MM"), buckets=max(8, int(spark.conf.get("spark.sql.shuffle.partitions")) // 4),
     )
     for wave in arrival_waves(table(spark, sf, "postings"), "received_at"):
         store.ingest(wave)

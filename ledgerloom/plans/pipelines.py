@@ -158,13 +158,11 @@ def stream_dedup(spark, sf):  # STR-02: identifiers seen on a stream, once each
 @query("SELECT po_row_id, change_seq FROM purchase_orders")
 def incremental_drain(spark, sf):  # STR-01, AGG-09, LIM-01: two drains, nothing lost at the bound
     o = table(spark, sf, "purchase_orders").select("po_row_id", "change_seq")
-    root = shared_dir(spark, "drain")
-    marks = feeds.WatermarkTable(spark, root)
-    o.where("false").write.parquet(f"{root}/rows")
+    log = feeds.DrainedLog(spark, shared_dir(spark, "drain"))
     half = o.agg(F.expr("percentile_approx(change_seq, 0.5)")).first()[0]
     for part in (o.where(F.col("change_seq") <= half), o, o):
-        marks.drain(part, "orders", "change_seq", lambda d: d.write.mode("append").parquet(f"{root}/rows"))
-    return spark.read.schema(o.schema).parquet(f"{root}/rows")
+        log.drain(part, "orders", "change_seq")
+    return log.rows("orders", o.schema)
 
 
 # -- ordered folds -----------------------------------------------------------------------------------

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import tempfile
+import time
 import uuid
 import zipfile
 
@@ -106,25 +107,80 @@ class SharedFiles:
         return json.loads(text)
 
     def commit_json(self, rel: str, value: dict) -> None:
-        """Atomic publish: write aside, then rename; fails if ``rel`` exists already."""
+        """Atomic publish: write aside, then give the file its name, which fails if the name is taken.
+
+        On a local disk the name is given by a hard link, elsewhere by the file system's rename, which
+        on HDFS refuses an existing target. The loser of a race gets :class:`LostRace`."""
         aside = f"{rel}.{uuid.uuid4().hex}.tmp"
         out = self._fs.create(self._path(aside), False)
         try:
             out.write(bytearray(json.dumps(value, sort_keys=True).encode()))
         finally:
             out.close()
-        if self.exists(rel) or not self._fs.rename(self._path(aside), self._path(rel)):
+        try:
+            if self._fs.getScheme() == "file":
+                local = [self._path(x).toUri().getPath() for x in (aside, rel)]
+                os.link(*local)
+            elif self.exists(rel) or not self._fs.rename(self._path(aside), self._path(rel)):
+                raise FileExistsError(rel)
+        except FileExistsError:
+            raise LostRace(f"lost the race to commit {rel}") from None
+        finally:
             self._fs.delete(self._path(aside), False)
-            raise RuntimeError(f"lost the race to commit {rel}")
-
-
-def read_manifest(files: SharedFiles) -> tuple[int, dict]:
-    """Latest committed manifest: (number, content); (0, {}) for a new store."""
-    done = [n for n in files.names("_manifests") if n.endswith(".json")]
-    if not done:
-        return 0, {}
-    return int(done[-1][:-5]), files.read_json(f"_manifests/{done[-1]}")
-
 
-def write_manifest(files: SharedFiles, number: int, content: dict) -> None:
-    files.commit_json(f"_manifests/{number:012d}.json", content)
+    def age_hours(self, rel: str) -> float:
+        return (time.time() * 1000 - self._fs.getFileStatus(self._path(rel)).getModificationTime()) / 3_600_000
+
+
+class LostRace(RuntimeError):
+    """Another writer committed first."""
+
+
+class Versioned:
+    """A folder whose valid content is what its newest manifest lists.
+
+    Every attempt to write uses a folder name of its own (:meth:`attempt`), so neither a crashed
+    attempt nor a second writer is ever in the way; what no manifest lists does not exist for readers.
+    The manifest also holds, per stream of batches, the highest batch applied: a batch that is given
+    again is skipped, and its rows and its mark are published by the same rename."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path, self.files = spark, path, SharedFiles(spark, path)
+
+    def manifest(self) -> tuple[int, dict]:
+        """Latest committed manifest: (number, content); (0, {}) for a new folder."""
+        done = [n for n in self.files.names("_manifests") if n.endswith(".json")]
+        return (int(done[-1][:-5]), self.files.read_json(f"_manifests/{done[-1]}")) if done else (0, {})
+
+    def attempt(self) -> str:
+        return f"attempt=a{uuid.uuid4().hex}"
+
+    def commit(self, build, batch: tuple[str, int] | None = None, tries: int = 5) -> dict:
+        """``build(manifest)`` writes its files and returns (new manifest, info). If another writer was
+        first, it is built again on that one's manifest. batch: (stream, number), numbers rising."""
+        for left in reversed(range(tries)):
+            number, old = self.manifest()
+            if batch is not None and old.get("batches", {}).get(batch[0], -1) >= batch[1]:
+                return {"commit": number, "skipped": True}
+            new, info = build(old)
+            new["batches"] = old.get("batches", {}) | ({batch[0]: batch[1]} if batch else {})
+            try:
+                self.files.commit_json(f"_manifests/{number + 1:012d}.json", new)
+            except LostRace:
+                if not left:
+                    raise
+                continue
+            return {"commit": number + 1, "skipped": False, **info}
+        raise ValueError("tries must be positive")
+
+    def vacuum(self, kinds: list[str], older_than_hours: float = 24.0) -> int:
+        """Deletes attempt folders and manifests that the newest manifest does not need. Younger ones
+        stay: they may belong to a writer at work or a reader of the version before."""
+        number, now = self.manifest()
+        held = json.dumps(now)
+        gone = [f"{k}/{n}" for k in kinds for n in self.files.names(k) if n not in held]
+        gone += [f"_manifests/{n}" for n in self.files.names("_manifests") if n != f"{number:012d}.json"]
+        gone = [g for g in gone if self.files.age_hours(g) >= older_than_hours]
+        for g in gone:
+            self.files.delete(g)
+        return len(gone)

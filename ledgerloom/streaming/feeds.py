@@ -1,7 +1,7 @@
 """Incremental loads: file streams into the stores, watermarks, windows.
 
-A micro-batch may run twice after a failure. The batch id is part of the stores' commit, so the
-second run is recognised and skipped.
+A micro-batch may run twice after a failure. Its number goes into the same manifest as its rows
+(session.Versioned), so the second run finds it there and is skipped.
 """
 
 from __future__ import annotations
@@ -9,31 +9,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import SharedFiles, shared_dir
-
-
-class ProcessedBatches:
-    """Which micro-batches of a query were applied; one small file each, published by rename."""
-
-    def __init__(self, spark: SparkSession, path: str):
-        self.files = SharedFiles(spark, path)
-
-    def once(self, batch_id: int, action) -> bool:
-        name = f"batches/{batch_id:012d}.json"
-        if self.files.exists(name):
-            return False
-        action()
-        self.files.commit_json(name, {"batch": batch_id})
-        return True
+from ..session import Versioned, shared_dir
 
 
 def stream_into(source: DataFrame, apply, checkpoint: str, query: str = "feed") -> None:
-    """Drains a streaming source: ``apply(df)`` once per micro-batch, all that is available now.
-    ``apply`` must itself be idempotent or atomic; both stores' ``apply``/``ingest`` are."""
-    done = ProcessedBatches(source.sparkSession, checkpoint)
-
-    def each(df: DataFrame, batch_id: int) -> None:
-        done.once(batch_id, lambda: apply(df))
+    """Drains a streaming source: ``apply(df, batch=(query, number))`` per micro-batch, all that is
+    available now. ``query`` names the stream in the store, which skips numbers it has."""
+    def each(df: DataFrame, number: int) -> None:
+        apply(df, batch=(query, number))
 
     q = source.writeStream.foreachBatch(each).option("checkpointLocation", f"{checkpoint}/query").queryName(query).trigger(availableNow=True).start()
     q.awaitTermination()
@@ -46,25 +29,31 @@ def file_stream(spark: SparkSession, path: str, like: DataFrame, per_batch: int
     return spark.readStream.schema(like.schema).option("maxFilesPerTrigger", per_batch).parquet(path)
 
 
-class WatermarkTable:
-    """High-water mark per dataset; advances only after a whole drain."""
+class DrainedLog(Versioned):
+    """Rows drained from growing tables, and per dataset the mark up to which they are: one manifest
+    publishes both, so a crash between the two is not possible."""
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.files = SharedFiles(spark, path)
+    def mark(self, dataset: str) -> int:
+        return self.manifest()[1].get("marks", {}).get(dataset, 0)
 
-    def get(self, dataset: str) -> int:
-        done = [int(n[:-5]) for n in self.files.names(f"marks/{dataset}") if n.endswith(".json")]
-        return max(done, default=0)
-
-    def drain(self, df: DataFrame, dataset: str, seq: str, apply) -> int:
-        """Applies the rows above the mark and moves it to the maximum of the whole collection."""
-        mark = self.get(dataset)
+    def drain(self, df: DataFrame, dataset: str, seq: str) -> int:
+        """Appends the rows above the mark and moves it to the maximum of the whole collection. Returns
+        the mark."""
         top = df.agg(F.max(seq)).first()[0]
-        if top is not None and top > mark:
-            apply(df.where(F.col(seq) > mark))
-            self.files.commit_json(f"marks/{dataset}/{top:020d}.json", {})
-            return top
-        return mark
+
+        def build(manifest: dict) -> tuple[dict, dict]:
+            marks, held, mark = manifest.get("marks", {}), manifest.get("held", {}), manifest.get("marks", {}).get(dataset, 0)
+            if top is None or top <= mark:
+                return {"marks": marks, "held": held}, {"mark": mark}
+            new = self.attempt()
+            df.where((F.col(seq) > mark) & (F.col(seq) <= top)).write.parquet(f"{self.path}/rows/{new}")
+            return {"marks": marks | {dataset: top}, "held": held | {dataset: [*held.get(dataset, []), new]}}, {"mark": top}
+
+        return self.commit(build)["mark"]
+
+    def rows(self, dataset: str, schema) -> DataFrame:
+        dirs = [f"{self.path}/rows/{a}" for a in self.manifest()[1].get("held", {}).get(dataset, [])]
+        return self.spark.read.schema(schema).parquet(*dirs) if dirs else self.spark.createDataFrame([], schema)
 
 
 def windowed_counts(events: DataFrame, time: str, by: str, length: str, late: str) -> DataFrame:

@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions.text import trim_ws
 from ledgerloom.operators.as_of import Facts, as_known_join, latest_before
-from ledgerloom.operators.cow_table import CowTable, change_effects, present_state
+from ledgerloom.operators.cow_table import CowTable, _blocks, change_effects, present_state
 from ledgerloom.operators.message_store import MessageStore, arrival_waves
 from ledgerloom.operators.references import Edge, Node, existence_spans, orphans
-from ledgerloom.session import shared_dir
+from ledgerloom.session import SharedFiles, shared_dir
 
 T0 = datetime(2025, 1, 1)
 
@@ -25,7 +25,7 @@ MSG = "id long, key string, t timestamp_ntz, period string, extra string"
 
 
 def store(spark):
-    return MessageStore(spark, shared_dir(spark, "t-msg"), key="key", row_id="id", order=["t"], period=F.col("period"))
+    return MessageStore(spark, shared_dir(spark, "t-msg"), key="key", row_id="id", order=["t"], period=F.col("period"), buckets=4)
 
 
 def test_messages_match_brute_force_over_batches(spark):
@@ -67,6 +67,63 @@ def test_empty_batches_and_waves(spark):
     assert sum(w.count() for w in waves) == 11 and len(waves) == 3
 
 
+def crash(monkeypatch, write):
+    """Runs ``write`` with a failure after all its files are written, before the manifest."""
+    with monkeypatch.context() as m:
+        m.setattr(SharedFiles, "commit_json", lambda *a: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            write()
+
+
+def kept_and_lost(s):
+    return sorted(r.id for r in s.messages().collect()), sorted(r.id for r in s.surplus().collect())
+
+
+def test_messages_given_again_are_stored_once(spark, monkeypatch):
+    s = store(spark)
+    one = spark.createDataFrame([(1, "a", at(1), "p", "e"), (2, "b", at(2), "p", "e"), (3, "a", at(3), "q", "e"), (4, None, at(3), "q", "e"), (4, None, at(3), "q", "e")], MSG)
+    crash(monkeypatch, lambda: s.ingest(one, ("feed", 0)))
+    assert s.messages() is None
+    assert not s.ingest(one, ("feed", 0))["skipped"]
+    assert s.ingest(one, ("feed", 0))["skipped"]
+    want = ([1, 2, 4], [3])
+    assert kept_and_lost(s) == want
+    s.ingest(one)  # without a number the row ids tell
+    assert kept_and_lost(s) == want
+    two = spark.createDataFrame([(5, "b", at(1), "q", "e"), (3, "a", at(3), "q", "e")], MSG)
+    crash(monkeypatch, lambda: s.ingest(two, ("feed", 1)))
+    assert kept_and_lost(s) == want
+    s.ingest(two, ("feed", 1))
+    assert kept_and_lost(s) == ([1, 4, 5], [2, 3])
+    assert s.vacuum(["rows", "index"], 0) > 0 and kept_and_lost(s) == ([1, 4, 5], [2, 3])
+
+
+def test_a_writer_that_loses_the_race_builds_again(spark, monkeypatch):
+    path = shared_dir(spark, "t-race")
+    a, b = (MessageStore(spark, path, key="key", row_id="id", order=["t"], period=F.col("period"), buckets=4) for _ in range(2))
+    real, seen = SharedFiles.commit_json, []
+
+    def late(self, rel, value):
+        if not seen:
+            seen.append(rel)
+            b.ingest(spark.createDataFrame([(2, "a", at(1), "p", "e")], MSG))
+        real(self, rel, value)
+
+    monkeypatch.setattr(SharedFiles, "commit_json", late)
+    assert a.ingest(spark.createDataFrame([(1, "a", at(5), "p", "e")], MSG))["commit"] == 2
+    assert kept_and_lost(a) == ([2], [1])
+
+
+def test_a_late_batch_reads_its_index_buckets_only(spark):
+    s = MessageStore(spark, shared_dir(spark, "t-msg"), key="key", row_id="id", order=["t"], period=F.col("period"), buckets=16, deltas=2)
+    for lo in range(0, 400, 100):  # more commits than an index bucket may have files
+        s.ingest(spark.createDataFrame([(i, f"k{i}", at(i), f"p{i % 5}", "e") for i in range(lo, lo + 100)], MSG))
+    info = s.ingest(spark.createDataFrame([(1000, "k7", at(999), "p9", "e")], MSG))
+    assert len(info["read_buckets"]) == 1 and info["read_partitions"] == ["pp2", "pp9"]
+    assert max(map(len, s.manifest()[1]["index"].values())) <= 3
+    assert s.messages().count() == 400 and [r.id for r in s.surplus().collect()] == [1000]
+
+
 # -- change feeds ----------------------------------------------------------------
 CHG = "id long, op string, key string, seq long, name string, n int, rec timestamp_ntz"
 
@@ -116,6 +173,41 @@ def test_only_touched_buckets_are_replaced(spark):
     assert t.current().count() == 40
 
 
+def test_a_crash_or_a_replay_changes_nothing(spark, monkeypatch):
+    rows = changes(60, 9)
+    one, two = (spark.createDataFrame(rows[i::2], CHG) for i in range(2))
+    t = cow(spark)
+    crash(monkeypatch, lambda: t.apply(one, ("feed", 0)))
+    assert t.current() is None
+    t.apply(one, ("feed", 0))
+    crash(monkeypatch, lambda: t.apply(two, ("feed", 1)))
+    t.apply(two, ("feed", 1))
+    assert t.apply(two, ("feed", 1))["skipped"]
+    t.apply(one)
+    assert {r.key: r.seq for r in t.current().collect()} == brute_state(rows)
+
+
+def test_compaction_keeps_the_state_and_refuses_what_is_older(spark):
+    rows = [r for r in changes(120, 11) if r[3] is not None]
+    old, new = [r for r in rows if r[3] <= 180], [r for r in rows if r[3] > 180]
+    t = cow(spark)
+    t.apply(spark.createDataFrame(old, CHG))
+    before = t.log().count()
+    t.compact(180)
+    assert t.log().count() < before and {r.key: r.seq for r in t.current().collect()} == brute_state(old)
+    t.apply(spark.createDataFrame(new, CHG))
+    assert {r.key: r.seq for r in t.current().collect()} == brute_state(rows)
+    late = spark.createDataFrame([(9999, "U", "a", 180, "late", 1, at(1))], CHG)
+    assert t.too_late(late).count() == 1 and t.apply(late)["buckets_written"] == []
+    assert {r.key: r.seq for r in t.current().collect()} == brute_state(rows)
+
+
+def test_sparse_numbers_do_not_make_a_span_a_row(spark):
+    log = spark.createDataFrame([("hot", i * 10**9, (False, str(i // 50))) for i in range(1000)], "key string, seq long, state struct<gone:boolean,name:string>")
+    assert _blocks(log, 100).select("b").distinct().count() <= 11
+    assert [(r.seq, r.state.name) for r in present_state(log, 100).collect()] == [(950 * 10**9, "19")]
+
+
 def test_empty_feed_and_effects(spark):
     t = cow(spark)
     assert t.current() is None
