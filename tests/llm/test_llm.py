@@ -157,8 +157,8 @@ def test_damage_is_found_and_restored(spark):
 def test_partial_damage_and_shortcut_agree():
     c = enc.Counter()
     for s in SENTENCES * 30:
-        enc.count_runs(s, None, c, "t")
-    m = enc.Emissions({k[1:]: v for k, v in enc.count_characters(c, True).items()})
+        enc.count_text(s, [], True, c, "t")
+    m = enc.Emissions({k[1:]: v for k, v in c.items()})
     text = "Die Prüfung für März. " + damaged("Die Prüfung für März ist fällig", "utf-8", "cp1252") + " über die Änderung"
     path = enc.spans(text, m)
     assert enc.restored(text, path) == "Die Prüfung für März. Die Prüfung für März ist fällig über die Änderung"
@@ -212,3 +212,38 @@ def test_statistics_edge_cases(spark):
     assert got[1].n_words == 0 and got[1].mean_word_length is None and got[2].symbol_ratio is None
     assert got[3].n_words == 4 and got[3].punctuated_lines == 1.0 and got[3].common_words == 0.5
     assert got[4].symbol_ratio == 1.0
+
+
+WORDS = "Müller Über Straße für Prüfung Änderung Größe Wälchli Köln été déjà hôtel élève façade naïve garçon niño señor año corazón città perché più però".split()
+
+
+def garbled(word, pair):
+    written_in, read_in = pair
+    if read_in == "twice":
+        return garbled(garbled(word, ("utf-8", "cp1252")) or "", ("utf-8", "cp1252"))
+    try:
+        got = word.encode(written_in).decode(read_in)
+    except UnicodeError:
+        return None
+    return got if got != word else None
+
+
+@pytest.mark.parametrize("pair", [p for p in enc.PAIRS if p[1] != "utf-8"], ids="-".join)
+def test_damage_of_each_pair_is_found_and_restored(pair):
+    c = enc.Counter()
+    for w in WORDS * 300:
+        enc.count_text(f"der {w} und", None, False, c, "t")
+    damaged = [(w, g) for w in WORDS if (g := garbled(w, pair))]
+    for _, g in damaged:
+        enc.count_text(f"der {g} und", None, False, c, "t")
+    first = enc.Emissions({k[1:]: v for k, v in c.items()})
+    texts = [f"der {w} und" for w in WORDS * 300] + [f"der {g} und" for _, g in damaged]
+    c = enc.Counter()
+    for t in texts:
+        enc.count_text(t, enc.spans(t, first), True, c, "t")
+    m = enc.Emissions({k[1:]: v for k, v in c.items()})
+    paths = [(f"der {w} und", f"der {g} und", enc.spans(f"der {g} und", m)) for w, g in damaged]
+    found = [enc.restored(t, path) == want for want, t, path in paths if any(u[2] for u in path)]
+    assert not any(u[2] for w in WORDS for u in enc.spans(f"der {w} und", m))
+    assert len(found) >= 0.9 * len(damaged), (pair, len(found), len(damaged))
+    assert sum(found) >= 0.7 * len(found), (pair, sum(found), len(found))
