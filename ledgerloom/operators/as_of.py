@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import written
+from .cells import after_last, day_cells, span_cells
 
 #: Above this many snapshot and log rows the event join shuffles instead of broadcasting.
 BROADCAST_ROWS = 200_000
@@ -67,20 +68,28 @@ def standing_intervals(facts: DataFrame, f: Facts) -> DataFrame:
 
 
 def snapshots_and_changes(facts: DataFrame, f: Facts, until: Column, last_date: Column) -> DataFrame:
-    """(period, bin, entity, kind, ...): for each month of knowledge the facts standing at its
-    start (kind snapshot) and those that became known within it (kind change), repeated for
-    each month of dates they hold for. until, last_date: the latest event time and date."""
+    """(period, unit, start, entity, kind, ...): what is known about each calendar cell of dates in each
+    month of knowledge. A snapshot row per cell is the winner of the facts that stand all the month;
+    change rows are the facts that began or ceased to stand within it and that are not beaten by the
+    snapshot anyway. until, last_date: the latest event time and date."""
     s = standing_intervals(facts, f).where(~F.col("stands_for_nothing"))
     month = lambda c: F.trunc(c.cast("date"), "month")
+    end = F.least(F.coalesce(F.col("vt"), after_last(last_date)), after_last(last_date))
+    s = s.withColumn("rank", F.struct("sequence", (-F.datediff("vf", F.lit("1970-01-01").cast("date"))).alias("early"), (-F.col("row_id")).alias("tie")))
+    s = s.withColumn("cells", span_cells(F.col("vf"), end)).where(F.size("cells") > 0).drop("vf", "vt", "sequence", "stands_for_nothing")
     last = month(F.least(F.coalesce(F.col("beaten"), until), until))
-    first = F.add_months(month(F.col("known")), 1)
-    snap = s.where(last >= first).withColumn("period", F.explode(F.sequence(first, last, F.expr("interval 1 month")))).where(
-        F.col("beaten").isNull() | (F.col("beaten") > F.col("period").cast("timestamp_ntz"))
-    ).withColumn("kind", F.lit("snapshot"))
-    change = s.withColumn("period", month(F.col("known"))).withColumn("kind", F.lit("change"))
-    both = snap.unionByName(change.select(*snap.columns))
-    end = F.least(F.coalesce(F.date_sub("vt", 1), last_date), last_date)
-    return both.where(end >= F.col("vf")).withColumn("bin", F.explode(F.sequence(month(F.col("vf")), month(end), F.expr("interval 1 month"))))
+    s = s.where(month(F.col("known")) <= last).withColumn("period", F.explode(F.sequence(month(F.col("known")), last, F.expr("interval 1 month"))))
+    opens, closes = F.col("period").cast("timestamp_ntz"), F.add_months("period", 1).cast("timestamp_ntz")
+    s = s.where(F.col("beaten").isNull() | (F.col("beaten") > opens))
+    whole = (F.col("known") <= opens) & (F.col("beaten").isNull() | (F.col("beaten") >= closes))
+    s = s.withColumn("whole", whole).withColumn("cell", F.explode("cells")).select("entity", "period", "cell.unit", "cell.start", "rank", "row_id", "known", "beaten", "whole")
+    by = ["entity", "period", "unit", "start"]
+    snap = s.where("whole").groupBy(*by).agg(F.max("rank").alias("top"), F.max_by("row_id", "rank").alias("row_id"))
+    change = s.where("not whole").join(snap.select(*by, "top"), by, "left").where(F.col("top").isNull() | (F.col("rank") > F.col("top")))
+    none = F.lit(None).cast("timestamp_ntz")
+    return snap.select(*by, F.lit("snapshot").alias("kind"), F.col("top").alias("rank"), "row_id", none.alias("known"), none.alias("beaten")).unionByName(
+        change.select(*by, F.lit("change").alias("kind"), "rank", "row_id", "known", "beaten")
+    )
 
 
 def as_known_join(events: DataFrame, facts: DataFrame, f: Facts, *, event_id: str, entity: str, at: str, date: str, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -89,6 +98,9 @@ def as_known_join(events: DataFrame, facts: DataFrame, f: Facts, *, event_id: st
     (a withdrawal) takes its slot but never applies. Of several applicable facts the
     highest sequence wins, then the earliest valid_from. Events without entity, time or
     date, or without an applicable fact, give no row.
+
+    An event meets, in each of the three calendar cells of its date, one snapshot row of its month
+    and the changes of that month for that cell: no row of any other date or month.
     """
     e = events.select(F.col(event_id).alias("_id"), F.col(entity).alias("entity"), F.col(at).alias("_at"), F.col(date).cast("date").alias("_d"))
     e = e.where(F.col("entity").isNotNull() & F.col("_at").isNotNull() & F.col("_d").isNotNull())
@@ -99,11 +111,8 @@ def as_known_join(events: DataFrame, facts: DataFrame, f: Facts, *, event_id: st
     known = written(known, "as-known")
     if known.count() <= broadcast_rows:  # the size is measured on what was written, not assumed
         known = F.broadcast(known)
-    month = lambda c: F.trunc(c.cast("date"), "month")
-    e = e.withColumn("period", month(F.col("_at"))).withColumn("bin", month(F.col("_d")))
-    hit = e.join(known, ["entity", "period", "bin"]).where(
-        (F.col("known") <= F.col("_at")) & (F.col("beaten").isNull() | (F.col("_at") < F.col("beaten")))
-        & (F.col("vf") <= F.col("_d")) & (F.col("vt").isNull() | (F.col("_d") < F.col("vt")))
+    e = e.withColumn("period", F.trunc(F.col("_at").cast("date"), "month")).withColumn("cell", F.explode(day_cells(F.col("_d"))))
+    hit = e.select("_id", "_at", "entity", "period", "cell.unit", "cell.start").join(known, ["entity", "period", "unit", "start"]).where(
+        (F.col("known").isNull() | (F.col("known") <= F.col("_at"))) & (F.col("beaten").isNull() | (F.col("_at") < F.col("beaten")))
     )
-    best = F.max_by("row_id", F.struct(F.col("sequence"), (-F.datediff("vf", F.lit("1970-01-01").cast("date"))).alias("early"), (-F.col("row_id")).alias("tie")))
-    return hit.groupBy("_id").agg(best.alias(f.row_id)).withColumnRenamed("_id", event_id)
+    return hit.groupBy("_id").agg(F.max_by("row_id", "rank").alias(f.row_id)).withColumnRenamed("_id", event_id)

@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .cells import after_last, day_cells, span_cells
+
 
 def exact_else_canonical(left: DataFrame, ref: Column, right: DataFrame, key: str, canon, payload: list[str]) -> DataFrame:
     """Looks a reference up as spelled, else by its canonical form; of several parents with one
@@ -31,13 +33,13 @@ def specific_else_generic(left: DataFrame, special: str, general: str, table: Da
 def interval_lookup(events: DataFrame, event_id: str, entity: str, date: str, spans: DataFrame, lo: str, hi: str, rank: Column, value: str) -> DataFrame:
     """event -> the ``value`` of the span of its entity with lo <= date < hi of the highest rank.
 
-    The spans are repeated for each month they touch, so the join is on (entity, month) and an
-    event meets the spans of its month only; an open end runs to the last event's month."""
-    month = lambda c: F.trunc(c.cast("date"), "month")
-    e = events.select(F.col(event_id).alias("_id"), F.col(entity).alias("_e"), F.col(date).cast("date").alias("_d")).withColumn("_m", month(F.col("_d")))
-    last = events.agg(F.max(F.col(date).cast("date"))).first()[0]
+    The spans are cut into calendar cells and each (entity, cell) keeps its winner only, so the join is
+    on equality and an event meets at most three rows."""
+    e = events.select(F.col(event_id).alias("_id"), F.col(entity).alias("_e"), F.col(date).cast("date").alias("_d"))
+    last = F.lit(events.agg(F.max(F.col(date).cast("date"))).first()[0]).cast("date")
     s = spans.select(F.col(entity).alias("_e"), F.col(lo).cast("date").alias("_lo"), F.col(hi).cast("date").alias("_hi"), rank.alias("_rank"), F.col(value).alias(value))
-    end = F.least(F.coalesce(F.date_sub("_hi", 1), F.lit(last)), F.lit(last))
-    s = s.where(end >= F.col("_lo")).withColumn("_m", F.explode(F.sequence(month(F.col("_lo")), month(end), F.expr("interval 1 month"))))
-    hit = e.join(s, ["_e", "_m"]).where((F.col("_lo") <= F.col("_d")) & (F.col("_hi").isNull() | (F.col("_d") < F.col("_hi"))))
-    return hit.groupBy("_id").agg(F.max_by(value, "_rank").alias(value)).withColumnRenamed("_id", event_id)
+    end = F.least(F.coalesce(F.col("_hi"), after_last(last)), after_last(last))
+    s = s.where("_lo is not null").withColumn("_c", F.explode(span_cells(F.col("_lo"), end)))
+    best = s.groupBy("_e", F.col("_c.unit").alias("_u"), F.col("_c.start").alias("_s")).agg(F.max("_rank").alias("_rank"), F.max_by(value, "_rank").alias(value))
+    e = e.withColumn("_c", F.explode(day_cells(F.col("_d")))).select("_id", "_e", F.col("_c.unit").alias("_u"), F.col("_c.start").alias("_s"))
+    return e.join(best, ["_e", "_u", "_s"]).groupBy("_id").agg(F.max_by(value, "_rank").alias(value)).withColumnRenamed("_id", event_id)

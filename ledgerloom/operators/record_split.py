@@ -4,7 +4,9 @@ Tokens come from one possessive regular expression (JVM, no stack growth on long
 fields). The cells are exploded to (row, column, value), joined with a rule table,
 validated, errors aggregated per row, and the clean rows anti-joined.
 
-Defined results: reasons in this order: ``quoting``, ``column_count``, ``value``. A field is quoted
+Defined results: reasons in this order: ``quoting``, ``column_count``, ``value``; with ``ranges`` also
+``range``: the value is well formed, but its column's type cannot hold it (digits beyond bigint, a number
+beyond decimal(38,12)), so no typed row is rounded or emptied in silence. A field is quoted
 if its first character is the quote; it must close right before the delimiter or the
 end. A null text is one empty field. A text whose file has no receipt takes the
 dataset's default header and a comma. An unknown dataset has no rules, only framing.
@@ -66,11 +68,19 @@ def dialects(receipts: DataFrame) -> DataFrame:
     return receipts.groupBy("batch_id", "path").agg(F.min(F.struct("receipt_id", *cols)).alias("x")).select("batch_id", "path", *[f"x.{c}" for c in cols])
 
 
+def _literal(text: Column) -> Column:
+    """A regular expression for the text as it stands."""
+    return F.concat(F.lit("\\Q"), F.replace(text, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
+
+
 def fields(text: Column, delimiter: Column) -> Column:
-    """Fields of a record as written. Works for one-character delimiters; a field that opens
+    """Fields of a record as written. The delimiter may be several characters long. A field that opens
     a quote and does not close right before a delimiter ends at the next delimiter."""
     at = F.concat(F.lit("["), F.when(delimiter.isin("\\", "^", "]", "["), F.concat(F.lit("\\"), delimiter)).otherwise(delimiter), F.lit("]"))
     other = F.concat(F.lit("[^"), F.substring(at, 2, 9))
+    quoted = _literal(delimiter)
+    long = F.length(delimiter) > 1
+    at, other = F.when(long, quoted).otherwise(at), F.when(long, F.concat(F.lit("(?:(?!"), quoted, F.lit(")[\\s\\S])"))).otherwise(other)
     pattern = F.concat(F.lit('("(?:[^"]++|"")*+"|'), other, F.lit("*+)"), at)
     return F.regexp_extract_all(F.concat(F.coalesce(text, F.lit("")), delimiter), pattern, F.lit(1))
 
@@ -89,7 +99,7 @@ def framed(records: DataFrame, receipts: DataFrame) -> DataFrame:
     r = records.select("record_id", "batch_id", F.col("file").alias("path"), "line", "dataset", "raw_text")
     # the header is split once per file, before the join: per record it would be split per field
     d = dialects(receipts).withColumn("delimiter", F.coalesce(F.when(F.col("delimiter") != "", F.col("delimiter")), F.lit(",")))
-    names = F.split("header_line", F.concat(F.lit("\\Q"), F.col("delimiter"), F.lit("\\E")))
+    names = F.split("header_line", _literal(F.col("delimiter")))
     d = d.withColumn("header", F.transform(names, lambda h: trim_ws(h))).drop("header_line")
     j = r.join(d, ["batch_id", "path"], "left")
     delim = F.coalesce("delimiter", F.lit(","))
@@ -119,39 +129,52 @@ def valid(check: Column, v: Column, dec: Column, tho: Column, dotted: Column) ->
     )
 
 
-def rejects(frames: DataFrame) -> DataFrame:
+def fits(check: Column, v: Column, dec: Column, tho: Column) -> Column:
+    """Whether the column's type holds a valid value without loss."""
+    return F.when(check == "digits", v.try_cast("bigint").isNotNull()).when(check == "number", number_value(canonical_number(v, dec, tho)).isNotNull()).otherwise(True)
+
+
+def rejects(frames: DataFrame, ranges: bool = False) -> DataFrame:
     """record_id, line, outcome, reason, code, field (of the first finding, null for framing)."""
     rules = F.broadcast(rule_table(frames.sparkSession))
     cells = frames.select("record_id", "line", "dataset", "decimal_separator", "thousands_separator", "dotted", (F.col("n_cells") != F.coalesce("n_header", F.lit(-1))).alias("miscounted"), F.explode("cells").alias("c"))
     cells = cells.select("*", "c.pos", "c.name", "c.raw").drop("c").withColumn("v", trim_ws(unquoted(F.col("raw"))))
     j = cells.join(rules, ["dataset", "name"], "left")
-    ok = valid(F.col("check"), F.col("v"), F.col("decimal_separator"), F.col("thousands_separator"), F.col("dotted"))
+    dialect = F.col("decimal_separator"), F.col("thousands_separator")
+    ok = valid(F.col("check"), F.col("v"), *dialect, F.col("dotted"))
     # closed, but followed by something: the field is wrong; never closed: the record is
     torn = F.when(F.col("raw").rlike('^"(?:[^"]++|"")*+"(?!")'), "E_FIELD_INVALID").otherwise("E_MALFORMED_DOCUMENT")
     rank = F.when(bad_quoting(F.col("raw")), 1).when(F.col("miscounted"), 2).when(F.col("check").isNotNull() & ~F.coalesce(ok, F.lit(False)), 3)
+    if ranges:
+        rank = rank.when(~F.coalesce(fits(F.col("check"), F.col("v"), *dialect), F.lit(True)), 4)
     bad = j.withColumn("rank", rank).where("rank is not null")
     first = bad.groupBy("record_id").agg(F.min(F.struct("rank", "pos", "line", "name", F.when(F.col("rank") == 1, torn).otherwise(F.col("code")).alias("code"))).alias("x"))
     r = F.col("x.rank")
     return first.select(
         "record_id", F.col("x.line").alias("line"), F.lit("rejected").alias("outcome"),
-        F.when(r == 1, "quoting").when(r == 2, "column_count").otherwise("value").alias("reason"),
+        F.when(r == 1, "quoting").when(r == 2, "column_count").when(r == 3, "value").otherwise("range").alias("reason"),
         F.when(r == 2, "E_FIELD_INVALID").otherwise(F.col("x.code")).alias("code"),
-        F.when(r == 3, F.col("x.name")).alias("field"),
+        F.when(r >= 3, F.col("x.name")).alias("field"),
     )
 
 
+def _named(name: str):
+    return lambda c: c["name"] == name
+
+
 def typed_rows(frames: DataFrame, bad: DataFrame, dataset: str) -> DataFrame:
-    """Clean rows of a dataset: the frames anti-joined with the rejects, columns typed by the rules."""
+    """Clean rows of a dataset: the frames anti-joined with the rejects (with ``ranges``, else a value its
+    type cannot hold is null), columns typed by the rules."""
     clean = frames.where(F.col("dataset") == dataset).join(bad.select("record_id"), "record_id", "left_anti")
-    by_name = F.map_from_entries(F.transform("cells", lambda c: F.struct(F.coalesce(c["name"], F.lit("")), trim_ws(unquoted(c["raw"])))))
-    clean = clean.withColumn("m", by_name)
     kinds = {n: k for d, n, k, _ in RULES if d == dataset}
     out = [F.col("record_id"), F.col("line")]
     for n in HEADERS[dataset]:
-        v = F.col("m")[n]
+        # the first cell of the name: a header that repeats one is no error here
+        cell = F.get(F.filter("cells", _named(n)), F.lit(0))
+        v = trim_ws(unquoted(cell["raw"]))
         k = kinds.get(n)
         if k == "number":
-            v = number_value(canonical_number(v, F.col("decimal_separator"), F.col("thousands_separator"))).cast("decimal(38,6)")
+            v = number_value(canonical_number(v, F.col("decimal_separator"), F.col("thousands_separator")))
         elif k == "digits":
             v = v.try_cast("bigint")
         elif k == "flag":

@@ -14,7 +14,7 @@ if it is no direct orphan of that edge's child table.
 from __future__ import annotations
 
 from dataclasses import dataclass
-
+from functools import reduce
 from itertools import count
 
 from pyspark.sql import Column, DataFrame
@@ -95,7 +95,7 @@ def orphans(nodes: list[Node], edges: list[Edge], max_rounds: int | None = None)
     rounds = [written(found, "orphans-direct")]
     tables = {e.child for e in edges}
     for k in count(1):
-        step = None
+        step, seen = None, reduce(DataFrame.unionByName, rounds)
         for e in edges:
             parent = by[e.parent]
             if e.parent not in tables or parent.own_key is None:
@@ -103,8 +103,7 @@ def orphans(nodes: list[Node], edges: list[Edge], max_rounds: int | None = None)
             bad = rounds[-1].where(F.col("child_table") == e.parent).select("record_key")
             keys = parent.rows.select(parent.record_key.alias("record_key"), parent.own_key.alias("key")).join(bad, "record_key", "left_semi").select("key").distinct()
             hit = refs(e).join(keys, "key", "left_semi")
-            for done in rounds:
-                hit = hit.join(done.where(F.col("child_table") == e.child).select("record_key"), "record_key", "left_anti")
+            hit = hit.join(seen.where(F.col("child_table") == e.child).select("record_key"), "record_key", "left_anti")
             hit = hit.select(F.lit(e.child).alias("child_table"), "record_key", F.lit("inherited").alias("kind"), F.lit(e.parent).alias("reason"), F.col("t").alias("at"), F.lit(k).alias("round"))
             step = hit if step is None else step.unionByName(hit)
         if step is None:
@@ -118,10 +117,7 @@ def orphans(nodes: list[Node], edges: list[Edge], max_rounds: int | None = None)
         rounds.append(step)
         if not any(e.parent in tables and by[e.parent].own_key is not None for e in edges):
             break
-    out = rounds[0]
-    for r in rounds[1:]:
-        out = out.unionByName(r)
-    return out
+    return reduce(DataFrame.unionByName, rounds)
 
 
 def orphan_report(found: DataFrame) -> DataFrame:

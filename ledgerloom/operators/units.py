@@ -8,13 +8,15 @@ metre and not a prefix without a root, ``h`` an hour and not hecto, ``qm`` a squ
 metre, because those are the only or the heaviest full segmentations.
 
 Defined results: case, a closing point and white space do not matter; a text with no
-full segmentation, or one that means a unit without a code (ml, mm), has no unit.
+full segmentation, or one that means a unit without a code (ml, mm), has no unit. Numbers are exact
+whatever their digits: those beyond 12 after the point or 26 before it are reckoned as fractions.
 """
 
 from __future__ import annotations
 
 import math
 import unicodedata
+from fractions import Fraction
 from functools import lru_cache
 
 import pandas as pd
@@ -86,9 +88,6 @@ class UnitSegmenter:
     """prefix? root ending* exponent?  States: 0 start, 1 after a prefix, 2 after a square word,
     3 after the root, 4 after the exponent."""
 
-    #: no unit text is longer; longer ones have no unit
-    LONGEST = 40
-
     def __init__(self, priors: dict[str, float] | None = None):
         self.priors = priors or QUANTITY_PRIORS
         self.roots = Trie({w: (dim, base, math.log(p), si) for words, dim, base, p, si in ROOTS for w in words})
@@ -100,7 +99,7 @@ class UnitSegmenter:
     def segment(self, text: str) -> tuple[str, str, int, int] | None:
         """(dimension, base unit, power of ten, exponent) of the best segmentation."""
         t = " ".join(unicodedata.normalize("NFKC", text).casefold().replace("m²", "m2").split())
-        if not t or len(t) > self.LONGEST:
+        if not t:
             return None
         # best[i]: {(state, power, exponent, dimension, base, may take a prefix): score}
         best: list[dict] = [{} for _ in range(len(t) + 1)]
@@ -145,6 +144,10 @@ class UnitSegmenter:
         return CODES.get(found[1:]) if found else None
 
 
+#: a longer text is segmented each time, so the memory of a worker does not follow its texts
+REMEMBERED = 64
+
+
 @lru_cache(maxsize=1)
 def _segmenter() -> UnitSegmenter:
     return UnitSegmenter()
@@ -157,8 +160,8 @@ def _code(text: str) -> str | None:
 
 @pandas_udf(T.StringType())
 def unit_code(text: pd.Series) -> pd.Series:
-    """Unit code of a text; each distinct text is segmented once per worker."""
-    return text.map(lambda x: _code(x) if isinstance(x, str) and len(x) <= UnitSegmenter.LONGEST * 4 else None)
+    """Unit code of a text of any length; each distinct short text is segmented once per worker."""
+    return text.map(lambda x: None if not isinstance(x, str) else _code(x) if len(x) <= REMEMBERED else _segmenter().code(x))
 
 
 #: how a description states the unit of the quantity
@@ -182,6 +185,20 @@ def split_quantity(quantity: Column) -> tuple[Column, Column]:
     return number, F.when(has, blank_to_null(F.regexp_extract(q, shape, 2)))
 
 
+@pandas_udf(T.LongType())
+def exact_milli(canonical: pd.Series, numerator: pd.Series, denominator: pd.Series) -> pd.Series:
+    """Thousandths of canonical number * numerator / denominator; null if that is no bigint."""
+    def one(c, n, d):
+        if c is None or n is None or d is None:
+            return None
+        t = c.replace("'", "").replace(".-", "")
+        sign = -1 if t[0] in "-(" or t[-1] == "-" else 1
+        v = sign * Fraction(t.strip("-()")) * int(n) * 1000 / int(d)
+        return int(v) if v.denominator == 1 and -(2**63) <= v < 2**63 else None
+
+    return pd.Series([one(*x) for x in zip(canonical, numerator, denominator)], dtype="Int64")
+
+
 def base_quantities(lines: DataFrame, receipts: DataFrame, conversions: DataFrame, max_broadcast: int = 50_000) -> DataFrame:
     """line_id, unit, base_uom, base_milli, plain for every line with a known unit, a conversion and an
     exact base quantity at three decimals. A conversion row of the material goes before
@@ -190,20 +207,25 @@ def base_quantities(lines: DataFrame, receipts: DataFrame, conversions: DataFram
     x = lines.select("line_id", "batch_id", "path", trim_ws(F.col("material")).alias("material"), F.col("uom").alias("raw_uom"), F.col("quantity").alias("raw_quantity"), number.alias("number"),
                      F.coalesce(blank_to_null(F.col("uom")), in_quantity, stated_unit(F.col("description"))).alias("unit_text"))
     x = x.where("unit_text is not null and number is not null").join(dialects(receipts), ["batch_id", "path"], "left")
-    value = number_value(canonical_number(F.col("number"), F.col("decimal_separator"), F.col("thousands_separator")))
     plain = (
         F.col("raw_uom").isin("EA", "KG", "L", "M", "STD", "PAU", "M2") & F.col("raw_quantity").rlike(r"^[0-9]+(?:\.[0-9]+)?$")
         & F.coalesce(F.col("decimal_separator") == ".", F.lit(True))
     )
-    x = x.select("line_id", "material", unit_code(F.col("unit_text")).alias("unit"), value.alias("value"), F.coalesce(plain, F.lit(False)).alias("plain")).where("unit is not null and value is not null")
+    canonical = canonical_number(F.col("number"), F.col("decimal_separator"), F.col("thousands_separator"))
+    x = x.select("line_id", "material", unit_code(F.col("unit_text")).alias("unit"), canonical.alias("canonical"), F.coalesce(plain, F.lit(False)).alias("plain")).where("unit is not null and canonical <> ''")
     conv = conversions.select(F.coalesce(trim_ws(F.col("material")), F.lit("")).alias("cm"), trim_ws(F.col("alt_uom")).alias("unit"), "numerator", "denominator", "base_uom")
     conv = conv.where((F.col("denominator") > 0)).groupBy("cm", "unit").agg(F.min(F.struct("numerator", "denominator", "base_uom")).alias("c"))
     generic, special = conv.where("cm = ''").select("unit", F.col("c").alias("g")), conv.where("cm <> ''").select(F.col("cm").alias("material"), "unit", F.col("c").alias("s"))
     if conversions.count() <= max_broadcast:  # measured, from the file footers
         generic, special = F.broadcast(generic), F.broadcast(special)
     x = x.join(special, ["material", "unit"], "left").join(generic, "unit", "left").withColumn("c", F.coalesce("s", "g")).where("c is not null")
-    scaled = (F.col("value").cast(f"decimal(38,{SCALE})") * F.lit(10**SCALE).cast("decimal(13,0)")).try_cast("decimal(38,0)")
-    top = F.try_multiply(scaled, (F.col("c.numerator") * 1000).cast("decimal(18,0)")).try_cast("decimal(38,0)")
-    den = F.try_multiply(F.col("c.denominator").cast("decimal(18,0)"), F.lit(10**SCALE).cast("decimal(13,0)")).try_cast("decimal(38,0)")
-    x = x.withColumn("top", top).withColumn("den", den).where((F.col("top") % F.col("den")) == 0)
-    return x.select("line_id", "unit", F.col("c.base_uom").alias("base_uom"), (F.col("top") / F.col("den")).try_cast("bigint").alias("base_milli"), "plain").where("base_milli is not null")
+    x = x.withColumn("value", number_value(F.col("canonical")))
+    scaled = F.try_multiply(F.col("value").cast(f"decimal(38,{SCALE})"), F.lit(10**SCALE).cast("decimal(13,0)")).try_cast("decimal(38,0)")
+    top = F.try_multiply(scaled, (F.col("c.numerator").cast("decimal(19,0)") * 1000).cast("decimal(23,0)")).try_cast("decimal(38,0)")
+    den = F.try_multiply(F.col("c.denominator").cast("decimal(19,0)"), F.lit(10**SCALE).cast("decimal(13,0)")).try_cast("decimal(38,0)")
+    x = x.withColumn("top", top).withColumn("den", den)
+    # numbers that decimals cannot hold are rare: only they reach the fractions, the others as nulls
+    wide = F.when(F.col("top").isNull() | F.col("den").isNull(), F.col("canonical"))
+    x = x.withColumn("exact", exact_milli(wide, F.col("c.numerator"), F.col("c.denominator")))
+    milli = F.when((F.col("top") % F.col("den")) == 0, (F.col("top") / F.col("den")).try_cast("bigint"))
+    return x.select("line_id", "unit", F.col("c.base_uom").alias("base_uom"), F.coalesce(milli, "exact").alias("base_milli"), "plain").where("base_milli is not null")

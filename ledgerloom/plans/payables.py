@@ -9,7 +9,7 @@ from ..functions.text import WHITE_SPACE, canonical_order_number, trim_ws
 from ..operators.as_of import Facts, as_known_join
 from ..operators.cow_table import CowTable
 from ..operators.message_store import MessageStore, arrival_waves
-from ..operators.record_split import HEADERS, framed, rejects, typed_rows
+from ..operators.record_split import HEADERS, RULES, framed, rejects, typed_rows
 from ..operators.references import Edge, Node, existence_spans, orphan_report, orphans
 from ..operators.units import base_quantities
 from ..session import shared_dir, table
@@ -127,13 +127,13 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
 
 def p3_rejects(spark: SparkSession, sf: str) -> DataFrame:
     """All rejected rows, also of judged files, with line, outcome, code and field."""
-    return rejects(_frames(spark, sf, True)).select("record_id", "line", "outcome", "reason", "code", "field")
+    return rejects(_frames(spark, sf, True), ranges=True).select("record_id", "line", "outcome", "reason", "code", "field")
 
 
 def _p3_typed(dataset: str):
     def q(spark: SparkSession, sf: str) -> DataFrame:
         frames = _frames(spark, sf, True)
-        return typed_rows(frames, rejects(frames), dataset)
+        return typed_rows(frames, rejects(frames, ranges=True), dataset)
 
     return q
 
@@ -250,13 +250,13 @@ def _sql_number(v: str, dec: str = "dec", tho: str = "tho") -> str:
 _DIALECT = """(SELECT batch_id, path, min_by(struct_pack(delimiter, decimal_separator, thousands_separator, date_format, header_line), receipt_id) AS x FROM file_receipts GROUP BY ALL)"""
 _CUR = "('CHF','EUR','USD','GBP','SEK','DKK','NOK','HUF','IDR','JPY')"
 _DATE = """((regexp_full_match(v, '[0-9]{4}-[0-9]{2}-[0-9]{2}') AND try_cast(v AS DATE) IS NOT NULL) OR (dotted AND regexp_full_match(v, '[0-9]{2}\\.[0-9]{2}\\.[0-9]{4}') AND try_strptime(v, '%d.%m.%Y') IS NOT NULL))"""
-SQL["p3_found"] = f"""WITH r AS (SELECT record_id, dataset, raw_text, coalesce(x.delimiter, ',') AS d, coalesce(x.decimal_separator, '.') AS dec, x.thousands_separator AS tho,
-  coalesce(x.date_format = 'DD.MM.YYYY', false) AS dotted, x.header_line AS h FROM records LEFT JOIN {_DIALECT} f ON f.batch_id = records.batch_id AND f.path = records.file WHERE outcome IS NULL),
+_P3 = f"""WITH r AS (SELECT record_id, line, outcome, dataset, raw_text, coalesce(x.delimiter, ',') AS d, coalesce(x.decimal_separator, '.') AS dec, x.thousands_separator AS tho,
+  coalesce(x.date_format = 'DD.MM.YYYY', false) AS dotted, x.header_line AS h FROM records LEFT JOIN {_DIALECT} f ON f.batch_id = records.batch_id AND f.path = records.file),
 t AS (SELECT *, string_split(h, d) AS names, regexp_extract_all(coalesce(raw_text, '') || d, CASE d WHEN ';' THEN '("(?:[^"]|"")*"|[^;]*);' WHEN ',' THEN '("(?:[^"]|"")*"|[^,]*),' ELSE '("(?:[^"]|"")*"|[^|]*)[|]' END, 1) AS cells FROM r),
-c AS (SELECT record_id, dataset, dec, tho, dotted, len(cells) <> len(names) AS off, unnest(cells) AS raw, unnest(list_transform(range(1, len(cells) + 1), lambda i: names[i])) AS name FROM t),
+c AS (SELECT record_id, line, outcome, dataset, dec, tho, dotted, len(cells) <> len(names) AS off, unnest(cells) AS raw, unnest(range(len(cells))) AS pos, unnest(list_transform(range(1, len(cells) + 1), lambda i: names[i])) AS name FROM t),
 v AS (SELECT *, starts_with(raw, '"') AND NOT regexp_full_match(raw, '(?s)"(?:[^"]|"")*"') AS torn,
   {sql_trim("CASE WHEN starts_with(raw, '\"') THEN replace(raw[2:-2], '\"\"', '\"') ELSE raw END")} AS v FROM c),
-k AS (SELECT record_id, torn, off, CASE
+k AS (SELECT *, CASE
   WHEN (dataset, name) IN (('supplier','supplier_number'),('supplier','name'),('purchase_order_line','po_number'),('purchase_order_line','line_no')) THEN v <> ''
   WHEN (dataset, name) IN (('supplier','currency'),('purchase_order_line','currency'),('fx_rate','base'),('fx_rate','quote')) THEN v IN {_CUR}
   WHEN (dataset, name) = ('supplier','country') THEN regexp_full_match(v, '([A-Z]{{2}})?')
@@ -266,7 +266,31 @@ k AS (SELECT record_id, torn, off, CASE
   WHEN (dataset, name) = ('fx_rate','rate_type') THEN v IN ('DAILY','MONTHLY_AVG') WHEN (dataset, name) = ('fx_rate','status') THEN v IN ('ACTIVE','DELETED')
   WHEN (dataset, name) = ('fx_rate','valid_from') THEN {_DATE} WHEN (dataset, name) = ('fx_rate','valid_to') THEN v = '' OR {_DATE}
   WHEN (dataset, name) IN (('purchase_order_line','quantity'),('purchase_order_line','unit_price'),('fx_rate','rate')) THEN ({_sql_number('v')}) IS NOT NULL ELSE true END AS ok FROM v)
-SELECT record_id, CASE WHEN bool_or(torn) THEN 'quoting' WHEN bool_or(off) THEN 'column_count' ELSE 'value' END AS reason FROM k GROUP BY record_id HAVING bool_or(torn) OR bool_or(off) OR bool_or(NOT ok)"""
+"""
+SQL["p3_found"] = _P3 + "SELECT record_id, CASE WHEN bool_or(torn) THEN 'quoting' WHEN bool_or(off) THEN 'column_count' ELSE 'value' END AS reason FROM k WHERE outcome IS NULL GROUP BY record_id HAVING bool_or(torn) OR bool_or(off) OR bool_or(NOT ok)"
+_KINDS = {kind: "(" + ", ".join(f"('{d}', '{n}')" for d, n, k, _ in RULES if k == kind) + ")" for kind in ("digits", "number", "flag")}
+_CODE = "CASE " + " ".join(f"WHEN (dataset, name) = ('{d}', '{n}') THEN '{code}'" for d, n, _, code in RULES) + " END"
+_DIGITS = f"regexp_replace(regexp_replace({_sql_number('v')}, '[''()-]', '', 'g'), '(\\.[0-9]*?)0+$', '\\1')"
+_P3_BAD = f""", g AS (SELECT *, CASE WHEN (dataset, name) IN {_KINDS['digits']} THEN try_cast(v AS BIGINT) IS NULL
+  WHEN (dataset, name) IN {_KINDS['number']} THEN length(ltrim(split_part({_DIGITS}, '.', 1), '0')) > 26 OR length(split_part({_DIGITS}, '.', 2)) > 12 ELSE false END AS wide FROM k),
+n AS (SELECT *, CASE WHEN torn THEN 1 WHEN off THEN 2 WHEN NOT ok THEN 3 WHEN wide THEN 4 END AS rk FROM g),
+b AS (SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY rk, pos) AS one FROM n WHERE rk IS NOT NULL)
+"""
+SQL["p3_rejects"] = _P3 + _P3_BAD + f"""SELECT record_id, line, 'rejected' AS outcome, CASE rk WHEN 1 THEN 'quoting' WHEN 2 THEN 'column_count' WHEN 3 THEN 'value' ELSE 'range' END AS reason,
+  CASE rk WHEN 1 THEN CASE WHEN regexp_matches(raw, '(?s)^"(?:[^"]|"")*"[^"]') THEN 'E_FIELD_INVALID' ELSE 'E_MALFORMED_DOCUMENT' END WHEN 2 THEN 'E_FIELD_INVALID' ELSE {_CODE} END AS code,
+  CASE WHEN rk >= 3 THEN name END AS field FROM b WHERE one = 1"""
+
+
+def _p3_typed_sql(dataset: str) -> str:
+    kinds = {n: k for d, n, k, _ in RULES if d == dataset}
+    number = f"(CASE WHEN starts_with(num, '-') OR starts_with(num, '(') OR (ends_with(num, '-') AND NOT ends_with(num, '.-')) THEN -1 ELSE 1 END) * CAST({_DIGITS} AS DECIMAL(38,12))"
+    forms = {"digits": "CAST(v AS BIGINT)", "number": f"CAST({number} AS DECIMAL(38,12))", "flag": "lower(v) IN ('true', '1')"}
+    day = "coalesce(try_strptime(v, '%Y-%m-%d'), CASE WHEN dotted THEN try_strptime(v, '%d.%m.%Y') END)::DATE"
+    cols = ", ".join(f"max(CASE WHEN name = '{n}' THEN {forms.get(kinds.get(n), day if kinds.get(n) in ('date', 'date_or_empty') else 'v')} END) AS {n}" for n in HEADERS[dataset])
+    return _P3 + _P3_BAD + f"SELECT record_id, line, {cols} FROM (SELECT *, {_sql_number('v')} AS num FROM k WHERE dataset = '{dataset}' AND record_id NOT IN (SELECT record_id FROM b)) GROUP BY record_id, line"
+
+
+SQL |= {f"p3_typed_{d}": _p3_typed_sql(d) for d in HEADERS}
 
 #: the unit words of the sending systems, for the SQL only; the operator segments them
 _WORDS = {

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions.text import trim_ws
 from ledgerloom.operators.as_of import Facts, as_known_join, latest_before
+from ledgerloom.operators.cells import day_cells, span_cells
 from ledgerloom.operators.cow_table import CowTable, _blocks, change_effects, present_state
 from ledgerloom.operators.message_store import MessageStore, arrival_waves
 from ledgerloom.operators.references import Edge, Node, existence_spans, orphans
@@ -261,6 +262,17 @@ def test_as_known_join_matches_brute_force(spark):
     assert as_known_join(Ed, Fd.where("false"), FACT, event_id="eid", entity="base", at="t", date="d").count() == 0
 
 
+def test_calendar_cells_cover_each_day_once(spark):
+    rnd = random.Random(4)
+    spans = [(i, date(2024, 11, 5) + timedelta(days=a), date(2024, 11, 5) + timedelta(days=a + n)) for i, (a, n) in enumerate([(0, 0), (0, 1), (26, 31), (57, 365), (57, 366), (3, 900)] + [(rnd.randrange(900), rnd.randrange(700)) for _ in range(40)])]
+    days = [date(2024, 11, 1) + timedelta(days=i) for i in range(1500)]
+    S = spark.createDataFrame(spans, "id int, lo date, hi date").select("id", F.explode(span_cells(F.col("lo"), F.col("hi"))).alias("c"))
+    D = spark.createDataFrame([(d,) for d in days], "d date").select("d", F.explode(day_cells(F.col("d"))).alias("c"))
+    got = sorted((r.id, r.d) for r in S.join(D, "c").collect())
+    assert got == [(i, d) for i, lo, hi in spans for d in days if lo <= d < hi]
+    assert S.groupBy("id").count().agg(F.max("count")).first()[0] <= 2 * 30 + 2 * 11 + 3
+
+
 # -- references ------------------------------------------------------------------
 def test_orphans_direct_inherited_and_cycles(spark):
     a = spark.createDataFrame([("a1", "A", None, at(5)), ("a2", "B", "Z", at(5)), ("a3", "C", "B", at(5))], "rid string, own string, up string, t timestamp_ntz")

@@ -76,6 +76,24 @@ def test_framing_reasons_come_in_order(spark):
     assert [r.record_id for r in rows] == [0, 1, 15] and rows[0].rate == Decimal("1.05") and rows[0].valid_to is None and rows[2].base == "EUR"
 
 
+def test_values_the_types_cannot_hold_are_rejected_not_rounded(spark):
+    texts = [GOOD.replace("1.05", "0.93123456789"), GOOD.replace(";3;", ";99999999999999999999;"), GOOD.replace("1.05", "0.1234567890123"), GOOD.replace("1.05", "1" * 27)]
+    recs = spark.createDataFrame([(i, "b", "f", i + 2, i + 1, "fx_rate", t, None, None, "x") for i, t in enumerate(texts)], REC)
+    frames = S.framed(recs, spark.createDataFrame([(1, "b", "f", ";", ".", None, None, FXH)], RCP))
+    assert S.rejects(frames).count() == 0
+    bad = S.rejects(frames, ranges=True)
+    assert {(r.record_id, r.reason, r.code, r.field) for r in bad.collect()} == {(1, "range", "E_NUMBER_FORMAT", "sequence"), (2, "range", "E_DECIMAL_FORMAT", "rate"), (3, "range", "E_DECIMAL_FORMAT", "rate")}
+    rows = S.typed_rows(frames, bad, "fx_rate").collect()
+    assert [(r.record_id, r.rate) for r in rows] == [(0, Decimal("0.931234567890"))]
+
+
+def test_delimiters_of_several_characters(spark):
+    for d in ("||", "\t;", "\\E.", "a+"):
+        texts = [GOOD.replace(";", d), GOOD.replace("EUR", '"EUR"').replace(";", d), GOOD.replace("ACTIVE", "ACTIVE;").replace(";", d)]
+        got, rows = split(spark, texts, header=FXH.replace(";", d), delim=d)
+        assert got == {2: "column_count"} and [r.record_id for r in rows] == [0, 1] and rows[1].base == "EUR"
+
+
 def test_dialects_unknown_files_and_empty_tables(spark):
     assert split(spark, [GOOD.replace(";", "|").replace("1.05", "1,05").replace("2025-01-01", "01.02.2025")], header=FXH.replace(";", "|"), delim="|", dec=",", fmt="DD.MM.YYYY")[0] == {}
     assert split(spark, [GOOD.replace("2025-01-01", "01.02.2025")])[0] == {0: "value"}
@@ -98,18 +116,19 @@ def test_unit_segmentation():
 
 
 def test_base_quantities_match_fractions(spark):
-    conv = [(None, "KG", 1, 1, "KG"), (None, "G", 1, 1000, "KG"), (None, "STK", 1, 1, "EA"), ("M1", "STK", 1000, 3, "EA"), ("M2", "STK", 1, 8, "EA"), (None, "EA", 1, 1, "EA")]
+    conv = [(None, "KG", 1, 1, "KG"), (None, "G", 1, 1000, "KG"), (None, "STK", 1, 1, "EA"), ("M1", "STK", 1000, 3, "EA"), ("M2", "STK", 1, 8, "EA"), (None, "EA", 1, 1, "EA"), ("M3", "KG", 1024, 1, "KG"), (None, "PAU", 1, 1, "EA"), ("M4", "KG", 2**62, 2**62, "KG")]
     lines = [
         (1, "M0", "5 kg", None, "x"), (2, "M0", "1'250,5", "g", "x"), (3, "M1", "3", "Stk", "x"), (4, "M1", "1", "Stk", "x"), (5, "M2", "(3)", "STK", "x"), (6, "M0", "7", " ", "Rohr, Menge in Stück"),
         (7, "M0", "7", None, "Rohr 12 kg Gebinde"), (8, "M0", "12", "EA", "x"), (9, "M0", None, "KG", "x"), (10, None, "2.-", "KG", "[g] y"), (11, "M0", "9", "SET", "x"), (12, "M0", "4-", None, "[kg] z"), (13, "M0", "99999999999999999999", "KG", "x"), (14, "M0", "1.5", "KG", None),
+        (15, "M3", "0.0000009765625", "KG", "x"), (16, "M0", "0.0000000000001", "KG", "x"), (17, "M0", "3", "lump" + " " * 300 + "sum", "x"), (18, "M4", "-7.25", "KG", "x"), (19, "M0", "(" + "0" * 40 + "5)", "KG", "x"),
     ]
     L = spark.createDataFrame([(i, "b", "c" if "," in (q or "") else "p", m, d, q, u, "clash") for i, m, q, u, d in lines], "line_id long, batch_id string, path string, material string, description string, quantity string, uom string, unit string")
     R = spark.createDataFrame([(1, "b", "p", ";", ".", None, None, None), (2, "b", "c", ";", ",", ".", None, None), (3, "b", "c", ";", ",", ".", None, None)], RCP)
     C = spark.createDataFrame(conv, "material string, alt_uom string, numerator long, denominator long, base_uom string")
-    want = {1: ("KG", 5000), 3: ("EA", int(Fraction(3) * 1000 / 3 * 1000)), 5: ("EA", -375), 6: ("EA", 7000), 8: ("EA", 12000), 10: ("KG", 2000), 12: ("KG", -4000), 14: ("KG", 1500)}
+    want = {1: ("KG", 5000), 3: ("EA", int(Fraction(3) * 1000 / 3 * 1000)), 5: ("EA", -375), 6: ("EA", 7000), 8: ("EA", 12000), 10: ("KG", 2000), 12: ("KG", -4000), 14: ("KG", 1500), 15: ("KG", 1), 17: ("EA", 3000), 18: ("KG", -7250), 19: ("KG", -5000)}
     for limit in (50_000, 0):
         got = {r.line_id: (r.base_uom, r.base_milli) for r in base_quantities(L, R, C, limit).collect()}
         assert got == want  # 2: 1.2505 kg has four decimals
     plain = {r.line_id for r in base_quantities(L, R, C).where("plain").collect()}
-    assert plain == {8, 14}
+    assert plain == {8, 14, 15}
     assert base_quantities(L.where("false"), R, C).count() == 0 and base_quantities(L, R, C.where("false")).count() == 0
