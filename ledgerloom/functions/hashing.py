@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import unicodedata
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,6 +31,18 @@ def compose_marks(text: str) -> str:
     return "".join(out)
 
 
+def _once(pairs: list[tuple[str, object]]) -> dict:
+    out = dict(pairs)
+    if len(out) < len(pairs):
+        raise ValueError("a key is repeated")
+    return out
+
+
+def parse_json(text: str) -> object:
+    """JSON with each key of an object once; a repeated key is an error."""
+    return json.loads(text, object_pairs_hook=_once)
+
+
 def canonical_json(value: object) -> str:
     """Sorted keys, no white space, composed and trimmed strings; floats are refused."""
     def norm(v):
@@ -38,7 +51,7 @@ def canonical_json(value: object) -> str:
         if isinstance(v, str):
             return compose_marks(v).strip()
         if isinstance(v, dict):
-            return {compose_marks(k).strip(): norm(x) for k, x in v.items()}
+            return _once([(compose_marks(k).strip(), norm(x)) for k, x in v.items()])
         if isinstance(v, (list, tuple)):
             return [norm(x) for x in v]
         return v
@@ -49,10 +62,10 @@ def canonical_json(value: object) -> str:
 
 @pandas_udf(T.StringType())
 def canonical_json_udf(payload: pd.Series) -> pd.Series:
-    """Canonical form of a JSON text; null for text that is no JSON or holds a float."""
+    """Canonical form of a JSON text; null for text that is no JSON, holds a float or repeats a key."""
     def one(x):
         try:
-            return None if x is None else canonical_json(json.loads(x))
+            return None if x is None else canonical_json(parse_json(x))
         except ValueError:
             return None
 
@@ -60,10 +73,15 @@ def canonical_json_udf(payload: pd.Series) -> pd.Series:
 
 
 @pandas_udf(T.StringType())
-def compose_marks_udf(text: pd.Series) -> pd.Series:
+def _compose(text: pd.Series) -> pd.Series:
     return text.map(lambda x: None if x is None else compose_marks(x))
 
 
+def compose_marks_udf(text: Column) -> Column:
+    """Composed text. Texts without one of the marks reach Python as nulls and stay as they are."""
+    return F.coalesce(_compose(F.when(text.rlike(f"[{MARKS}]"), text)), text)
+
+
 def fnv1a64(data: bytes) -> int:
     h = 0xCBF29CE484222325
     for b in data:
@@ -71,11 +89,27 @@ def fnv1a64(data: bytes) -> int:
     return h
 
 
+def fnv1a64_all(texts: list[bytes]) -> np.ndarray:
+    """FNV-1a of many byte strings: one byte position of all of them at a time, longest first."""
+    lens = np.fromiter(map(len, texts), np.int64, len(texts))
+    order = np.argsort(-lens, kind="stable")
+    starts = (np.cumsum(lens) - lens)[order]
+    sizes, raw = lens[order], np.frombuffer(b"".join(texts), np.uint8)
+    h = np.full(len(texts), 0xCBF29CE484222325, np.uint64)
+    live = len(texts) - np.searchsorted(sizes[::-1], np.arange(int(sizes[0]) if len(texts) else 0), side="right")
+    for i, n in enumerate(live.tolist()):
+        h[:n] = (h[:n] ^ raw[starts[:n] + i]) * np.uint64(0x100000001B3)
+    out = np.empty_like(h)
+    out[order] = h
+    return out
+
+
 def fnv1a64_mod(m: int):
     """pandas UDF: FNV-1a of the UTF-8 text modulo m."""
     @pandas_udf(T.LongType())
     def f(text: pd.Series) -> pd.Series:
-        return text.map(lambda x: None if x is None else fnv1a64(x.encode()) % m).astype("Int64")
+        got = (fnv1a64_all([x.encode() if isinstance(x, str) else b"" for x in text]) % np.uint64(m)).astype(np.int64)
+        return pd.Series(got, dtype="Int64").mask(text.isna().to_numpy())
 
     return f
 
@@ -91,7 +125,8 @@ def twin_id(domain: str, dataset: Column, key: Column) -> Column:
 
 def state_digest(hashes: DataFrame, group: str, h: str) -> DataFrame:
     """One digest per group, independent of layout: the sorted hashes of each of 65,536 prefixes are
-    hashed, then those of each of 256 prefixes, then all; no task holds more than one prefix."""
+    hashed, then those of each of 256 prefixes, then all; no task holds more than one prefix. For
+    groups beyond some 10^9 rows, where a prefix gets long, there is :func:`set_digest`."""
     d = hashes.select(group, F.left(h, F.lit(4)).alias("p"), F.lit("").alias("old"), F.col(h).alias("h"))
     for shorter in (2, 0, None):
         listed = F.transform(F.sort_array(F.collect_list(F.struct("old", "h"))), lambda x: x["h"])
@@ -99,3 +134,11 @@ def state_digest(hashes: DataFrame, group: str, h: str) -> DataFrame:
         if shorter is not None:
             d = d.select(group, F.left("p", F.lit(shorter)).alias("p"), F.col("p").alias("old"), "h")
     return d.select(group, F.col("h").alias("digest"))
+
+
+def set_digest(hashes: DataFrame, group: str, h: str) -> DataFrame:
+    """One digest per group that no order enters: the eight 32-bit words of the SHA-256 texts are added
+    up, and sums and count are hashed. It combines before the shuffle and holds nine numbers a group."""
+    words = [F.conv(F.substring(h, 1 + 8 * i, 8), 16, 10).cast("decimal(10,0)") for i in range(8)]
+    g = hashes.groupBy(group).agg(*[F.sum(w).alias(f"w{i}") for i, w in enumerate(words)], F.count("*").alias("n"))
+    return g.select(group, F.sha2(F.concat_ws(":", F.col("n").cast("string"), *[F.col(f"w{i}").cast("string") for i in range(8)]), 256).alias("digest"))

@@ -45,23 +45,33 @@ def running(df: DataFrame, key: list[str], order: str, value: Column, name: str,
     return j.withColumn(name, out).drop("_v", "_b", "_i", "_c")
 
 
-def dense_number(df: DataFrame, order: list[str], name: str = "n", partitions: int | None = None) -> DataFrame:
-    """1, 2, 3, ... in the order of the columns (unique together), without a global window: the
-    rows are range partitioned and written, each range is counted, and the counts of the
-    ranges before (one row per range, in the driver) are added."""
+#: rows of a range of a global order
+RANGE_ROWS = 1_000_000
+
+
+def ranged(df: DataFrame, order: list[str], rows: int, size: Column | None = None, range_rows: int = RANGE_ROWS) -> tuple[DataFrame, DataFrame]:
+    """The rows, range partitioned by the columns into about rows / range_rows ranges and written with
+    their range ``_r``; and per range (``_r``, ``_o``) the sum of ``size`` (default: the number of rows)
+    in the ranges before. The driver adds up one number per range."""
     from ..session import written
 
     spark = df.sparkSession
-    k = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = written(df.repartitionByRange(k, *order).withColumn("_r", F.spark_partition_id()), "ranges")
-    counts = sorted((r["_r"], r["count"]) for r in ranged.groupBy("_r").count().collect())
+    k = max(1, -(-rows // range_rows))
+    out = written(df.repartitionByRange(k, *order).withColumn("_r", F.spark_partition_id()), "ranges")
+    sums = sorted((r["_r"], int(r["s"] or 0)) for r in out.groupBy("_r").agg((F.count("*") if size is None else F.sum(size)).alias("s")).collect())
     before, at = [], 0
-    for r, c in counts:
+    for r, s in sums:
         before.append((r, at))
-        at += c
-    offs = spark.createDataFrame(before or [(0, 0)], "_r int, _o bigint")
-    d = ranged.withColumn("_k", F.row_number().over(Window.partitionBy("_r").orderBy(*order)))
-    return d.join(F.broadcast(offs), "_r").withColumn(name, F.col("_k") + F.col("_o")).drop("_r", "_k", "_o")
+        at += s
+    return out, spark.createDataFrame(before or [(0, 0)], "_r int, _o bigint")
+
+
+def dense_number(df: DataFrame, order: list[str], name: str = "n", range_rows: int = RANGE_ROWS) -> DataFrame:
+    """1, 2, 3, ... in the order of the columns (unique together), without a global window: rows are
+    numbered inside ranges of about ``range_rows``, and the sizes of the ranges before are added."""
+    d, offs = ranged(df, order, df.count(), range_rows=range_rows)
+    d = d.withColumn("_k", F.row_number().over(Window.partitionBy("_r").orderBy(*order)))
+    return d.join(F.broadcast(offs), "_r").withColumn(name, F.col("_k") + F.col("_o")).drop("_r", "_k", "_o")  # one row per range
 
 
 def keyset_page(df: DataFrame, order: list[str], after: tuple | None, size: int) -> DataFrame:

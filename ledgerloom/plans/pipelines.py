@@ -10,6 +10,7 @@ from ..functions.numbers import CURRENCY_SCALE, canonical_number
 from ..functions.text import trim_ws
 from ..operators import folds, validate as V
 from ..operators.cow_table import CowTable
+from ..operators.message_store import MessageStore
 from ..operators.record_split import UNITS, dialects
 from ..session import shared_dir, table
 from ..sources import files as S
@@ -60,7 +61,7 @@ def source_json(spark, sf):  # SRC-06: arrays of at most 5,000 records a file
     path = shared_dir(spark, "json")
     o = _orders(spark, sf).withColumn("f", F.pmod(F.xxhash64("change_seq"), F.ceil(F.lit(_orders(spark, sf).count() / 5000 + 0.001)).cast("bigint")))
     docs = o.groupBy("f").agg(F.to_json(F.collect_list(F.struct(*_COLS))).alias("value")).select("value")
-    docs.repartition(8).write.option("maxRecordsPerFile", 1).text(path)
+    docs.write.option("maxRecordsPerFile", 1).text(path)
     return S.typed(S.read_files(spark, path, "json", glob="*.txt"), _COLS)
 
 
@@ -79,7 +80,8 @@ def source_export(spark, sf):  # SRC-08..12, SNK-08, WIN-06, PRJ-01
     p = p.withColumn("invoice_number", F.concat_ws("-", "supplier_number", "proposal_id"))
     docs = p.select("supplier_number", "invoice_number", "gross", F.lit("CHF").alias("currency"), F.lit(0).cast("decimal(24,2)").alias("vat"))
     text = sinks.export_lines(docs, p.select("supplier_number", "invoice_number", F.lit("00010").alias("line_no"), F.col("gross").alias("amount")))
-    body = text.repartition(4, "supplier_number", "invoice_number").sortWithinPartitions("supplier_number", "invoice_number", "line_no").select("value")
+    files = max(1, -(-p.count() // 20_000))  # a file is one task's work when it is read
+    body = text.repartition(files, "supplier_number", "invoice_number").sortWithinPartitions("supplier_number", "invoice_number", "line_no").select("value")
 
     def framed(batches):  # each file opens with the header record
         import pyarrow as pa
@@ -148,11 +150,12 @@ def window_counts(spark, sf):  # tumbling event-time windows; the same plan runs
 
 
 @query(f"SELECT DISTINCT {sql_trim('idempotency_key')} AS k FROM postings WHERE idempotency_key IS NOT NULL")
-def stream_dedup(spark, sf):  # STR-02: identifiers seen on a stream, once each
-    p = table(spark, sf, "postings")
-    src = feeds.file_stream(spark, f"{sf}/postings.parque*", p, 4).where("idempotency_key is not null")
-    src = src.select(trim_ws(F.col("idempotency_key")).alias("k"), F.col("received_at").cast("timestamp").alias("t"))
-    return feeds.collect_stream(feeds.deduplicated(src, "k", "t", "3650 days").select("k"), "k string")
+def stream_dedup(spark, sf):  # STR-02: identifiers seen on a stream, once each; the state is the store's index on disk
+    p = table(spark, sf, "postings").select("posting_id", "idempotency_key", "received_at")
+    store = MessageStore(spark, shared_dir(spark, "stream-postings"), key="idempotency_key", row_id="posting_id", order=["received_at"], period=F.date_format("received_at", "yyyy-MM"), buckets=8)
+    store.ingest(p.where("false"))  # an empty stream leaves an empty store
+    feeds.stream_into(feeds.file_stream(spark, f"{sf}/postings.parque*", p, 4), store.ingest, shared_dir(spark, "stream-check"), "postings")
+    return store.messages().where("idempotency_key is not null").select(trim_ws(F.col("idempotency_key")).alias("k"))
 
 
 @query("SELECT po_row_id, change_seq FROM purchase_orders")

@@ -9,22 +9,29 @@ from ..operators.ordered import dense_number
 from ..session import SharedFiles
 
 
+#: pages of one folder of an outbox
+FOLDER = 1_000
+
+
 def write_outbox(df: DataFrame, path: str, order: list[str], fmt: str = "json", page: int = 500) -> int:
-    """Pages of ``page`` rows in key order, one folder each, then _DONE. fmt: csv, json, xml, parquet.
-    Returns the number of pages. The marker comes last, so a reader that waits for it never
-    sees half an outbox; a second write to the same path fails."""
+    """Pages of ``page`` rows in key order, one file each, ``FOLDER`` of them a folder, then _DONE. fmt:
+    csv, json, xml, parquet. Returns the number of pages. The marker comes last, so a reader that waits
+    for it never sees half an outbox; a second write to the same path fails."""
     files = SharedFiles(df.sparkSession, path)
     numbered = dense_number(df, order, "_n").withColumn("page", F.floor((F.col("_n") - 1) / page).cast("int")).drop("_n")
-    w = numbered.repartition("page").sortWithinPartitions("page", *order).write.partitionBy("page")
+    numbered = numbered.withColumn("folder", F.floor(F.col("page") / FOLDER).cast("int"))
+    # a task writes whole folders page by page: rows are in page order and each file holds ``page`` rows
+    w = numbered.repartition("folder").sortWithinPartitions("folder", "page", *order).write.partitionBy("folder").option("maxRecordsPerFile", page)
     if fmt == "xml":
         w.format("xml").option("rowTag", "record").save(path)
     elif fmt == "csv":
         w.option("header", True).csv(path)
     else:
         w.format(fmt).save(path)
-    n = len([x for x in files.names("") if x.startswith("page=")])
-    files.commit_json("_DONE", {"pages": n, "format": fmt})
-    return n
+    n = numbered.agg(F.max("page")).first()[0]
+    pages = 0 if n is None else n + 1
+    files.commit_json("_DONE", {"pages": pages, "format": fmt})
+    return pages
 
 
 def write_receipt(records: DataFrame, path: str, key: str = "record_id") -> dict:

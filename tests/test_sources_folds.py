@@ -140,6 +140,7 @@ def test_ordered_blocks_match_python(spark, block):
 def test_dense_numbers_pages_and_latest(spark):
     df = spark.createDataFrame([(i, (i * 7) % 101) for i in range(101)], "i int, o int")
     assert sorted((r.o, r.n) for r in ordered.dense_number(df, ["o"]).collect()) == [(i, i + 1) for i in range(101)]
+    assert sorted((r.o, r.n) for r in ordered.dense_number(df, ["o"], range_rows=9).collect()) == [(i, i + 1) for i in range(101)]
     assert ordered.dense_number(df.where("false"), ["o"]).count() == 0
     seen, after = [], None
     while True:
@@ -190,9 +191,18 @@ def test_hashes(spark):
         H.canonical_json({"a": 1.5})
     assert H.compose_marks("é ü q̈ ́ ç") == "é ü q̈ ́ ç"
     assert H.fnv1a64(b"") == 0xCBF29CE484222325 and H.fnv1a64(b"a") == 0xAF63DC4C8601EC8C
+    rnd = random.Random(1)
+    many = [bytes(rnd.randrange(256) for _ in range(rnd.choice([0, 1, 7, 300]))) for _ in range(60)]
+    assert H.fnv1a64_all(many).tolist() == [H.fnv1a64(x) for x in many] and H.fnv1a64_all([]).tolist() == []
+    texts = spark.createDataFrame([("a",), (None,), ("",), ("é" * 99,)], "t string")
+    assert [r[0] for r in texts.select(H.fnv1a64_mod(23)("t")).collect()] == [H.fnv1a64(b"a") % 23, None, H.fnv1a64(b"") % 23, H.fnv1a64(("é" * 99).encode()) % 23]
+    j = spark.createDataFrame([('{"b":1,"a":2}',), ('{"a":1,"a":2}',), ('{"x":{"a":1," a":2}}',), ('{"a":1.5}',), (None,)], "j string")
+    assert [r[0] for r in j.select(H.canonical_json_udf("j")).collect()] == ['{"a":2,"b":1}', None, None, None, None]
     df = spark.createDataFrame([("a", "b"), ("ab", ""), ("ab", None)], "x string, y string")
     assert len({r[0] for r in df.select(H.content_hash(F.col("x"), F.col("y"))).collect()}) == 3
     h = spark.range(500).select(F.lit("g").alias("g"), F.sha2(F.col("id").cast("string"), 256).alias("h"))
+    digests = [r.digest for d in (h.repartition(3), h.where("id < 499"), h.union(h.limit(1))) for r in H.set_digest(d, "g", "h").collect()]
+    assert len(set(digests)) == 3 and H.set_digest(h.orderBy(F.desc("id")), "g", "h").first().digest == digests[0]
     assert H.state_digest(h.repartition(3), "g", "h").collect() == H.state_digest(h.orderBy(F.desc("id")), "g", "h").collect()
 
 
