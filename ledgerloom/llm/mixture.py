@@ -6,8 +6,9 @@ finish time serves each source in proportion to its weight; a source is run thro
 again (a new round behind the last) at most ``max_repeats`` times in all. The sorted
 sequence is cut at the total budget.
 
-Both running sums are two-level: sums per range bucket, offsets over the few bucket
-sums, then a sum inside each bucket. No task holds a source or the whole order.
+Both running sums are two-level: inside a source by hash ranges, whose sums are chained; over the whole
+mixture by a range sort, whose ranges' sums the driver adds up (one number per range of about
+``bucket_rows`` uses). No task holds a source or the whole order.
 
 Defined results: source names are compared without case and surrounding white space;
 documents without a source, of a source without target, or without tokens stay out; a
@@ -26,10 +27,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import trim_ws
+from ..operators.ordered import ranged
 from ..session import written
 
-#: documents per range bucket aimed at
-BUCKET_ROWS = 50_000
+#: uses of documents per range aimed at
+BUCKET_ROWS = 200_000
 
 
 @dataclass
@@ -98,14 +100,12 @@ def mixture(sized: DataFrame, plan: MixPlan, bucket_rows: int = BUCKET_ROWS) ->
     d = d.withColumn("cum", F.sum("n_tokens").over(inside)).join(offs, ["source", "b"]).withColumn("cum", F.col("cum") + F.col("off"))
     d = d.withColumn("repeat", F.explode(F.sequence(F.lit(1), F.col("max_repeats"))))
     d = d.withColumn("finish", (F.col("cum") + (F.col("repeat") - 1) * F.col("have")) / F.col("weight")).where(F.col("finish") <= plan.limit)
-    # level two: global order by finish time, bucketed into equal ranges of virtual time
-    step = max(plan.limit, 1.0) / k
-    d = written(d.select("doc_id", "source", "repeat", "n_tokens", "finish", F.floor(F.col("finish") / step).cast("int").alias("f")), "mix-order")
-    prior = Window.orderBy("f").rowsBetween(Window.unboundedPreceding, -1)
-    # k sums in one window: k grows by one for each bucket_rows documents
-    foff = d.groupBy("f").agg(F.sum("n_tokens").alias("t")).select("f", F.coalesce(F.sum("t").over(prior), F.lit(0)).alias("off"))
-    run = Window.partitionBy("f").orderBy("finish", "source", "doc_id", "repeat").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    d = d.withColumn("cum", F.sum("n_tokens").over(run)).join(foff, "f").withColumn("stop", F.col("cum") + F.col("off"))
+    # level two: one global range sort by finish time, cut at the budget
+    d = written(d.select("doc_id", "source", "repeat", "n_tokens", "finish"), "mix-order")
+    order = ["finish", "source", "doc_id", "repeat"]
+    d, offs = ranged(d, order, d.count(), F.col("n_tokens"), bucket_rows)
+    run = Window.partitionBy("_r").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    d = d.withColumn("cum", F.sum("n_tokens").over(run)).join(F.broadcast(offs), "_r").withColumn("stop", F.col("cum") + F.col("_o"))  # one row per range
     return d.where(F.col("stop") <= plan.budget).select("doc_id", "source", "repeat", "n_tokens", (F.col("stop") - F.col("n_tokens")).alias("start"))
 
 
