@@ -197,11 +197,29 @@ def test_shapes_on_held_out_documents(spark):
     assert q.shapes(docs.where("false"), model).count() == 0
 
 
+def test_line_statistics_do_not_depend_on_the_chunk(monkeypatch):
+    rnd = random.Random(6)
+    lines = [x for _ in range(60) for x in q.pieces(make(rnd, rnd.choice(q.SHAPES)))] + ["  [x] Ünit  a  b", "１２３ 未払金 👍 ɑ", "a,b , c|d", "é", " - x", "\U00030000 \U000f0000"]
+    whole = q.observe(lines)
+    monkeypatch.setattr(q, "CHUNK", 50)
+    assert (q.observe(lines) == whole).all() and whole.shape == (len(lines), q.FEATURES) and whole.max() < q.BINS
+    words = ["the", "ab", "ba", "a", "b", "the"]
+    assert len({int(h) for h in q._word_hashes(*_spans(words))}) == 5
+    assert [int(x) for x in q.observe(["x", "x", "y"], __import__("numpy").array([True, True, False]))[:, -1]] == [0, 0, 0]
+
+
+def _spans(words):
+    import numpy as np
+
+    ends = np.cumsum([len(w) for w in words])
+    return np.array([ord(c) for w in words for c in w], np.uint64), ends - [len(w) for w in words], ends
+
+
 def test_batch_labels_equal_single_ones_and_empty_fit():
     rnd = random.Random(5)
     texts = [make(rnd, rnd.choice(q.SHAPES)) for _ in range(80)]
     model = q.fit([(t, "prose" if i % 2 else "junk") for i, t in enumerate(texts)])
-    obs = [q.observe(q.pieces(t)) for t in texts] + [[]]
+    obs = [q.observe(q.pieces(t)) for t in texts] + [q.observe([])]
     assert all((a == b).all() for a, b in zip(model.label_many(obs), [model.label(o) for o in obs]))
     assert q.fit([]).shares("some words") is not None
 
