@@ -114,6 +114,53 @@ def fnv1a64_mod(m: int):
     return f
 
 
+@pandas_udf(T.StructType([T.StructField("key", T.StringType()), T.StructField("flag", T.BooleanType()), T.StructField("code", T.StringType())]))
+def json_members(doc: pd.Series, key: pd.Series, flag: pd.Series) -> pd.DataFrame:
+    """A key and a boolean of a JSON object, by their JSON types: a key that is a number is
+    E_KEY_NOT_STRING, one that is missing, null or blank E_KEY_MISSING, a flag of another type than
+    boolean E_FIELD_INVALID; no object is E_MALFORMED_DOCUMENT."""
+    def one(text, k, b):
+        try:
+            d = parse_json(text or "")
+        except ValueError:
+            d = None
+        if not isinstance(d, dict):
+            return None, None, "E_MALFORMED_DOCUMENT"
+        v, f = d.get(k), d.get(b)
+        if v is None or (isinstance(v, str) and not v.strip()):
+            code = "E_KEY_MISSING"
+        elif not isinstance(v, str):
+            code = "E_KEY_NOT_STRING"
+        else:
+            code = None if f is None or isinstance(f, bool) else "E_FIELD_INVALID"
+        return v.strip() if isinstance(v, str) and v.strip() else None, f if isinstance(f, bool) else None, code
+
+    return pd.DataFrame([one(*x) for x in zip(doc, key, flag)], columns=["key", "flag", "code"])
+
+
+@pandas_udf(T.MapType(T.StringType(), T.StringType()))
+def flat_json(doc: pd.Series) -> pd.Series:
+    """path -> text of every value of a JSON document; numbers keep their digits; null for no JSON."""
+    def walk(v, at: str, out: dict) -> dict:
+        if isinstance(v, dict):
+            for k, x in v.items():
+                walk(x, f"{at}.{k}" if at else k, out)
+        elif isinstance(v, list):
+            for i, x in enumerate(v):
+                walk(x, f"{at}[{i}]", out)
+        else:
+            out[at] = None if v is None else ("true" if v else "false") if isinstance(v, bool) else str(v)
+        return out
+
+    def one(text):
+        try:
+            return None if text is None else walk(json.loads(text, parse_float=str, parse_int=str), "", {})
+        except ValueError:
+            return None
+
+    return doc.map(one)
+
+
 def content_hash(*cols: Column) -> Column:
     """SHA-256 of the columns; null and empty differ, and so do shifted values."""
     return F.sha2(F.concat_ws(UNIT_SEPARATOR, *[F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit("-")) for c in cols]), 256)

@@ -107,3 +107,29 @@ def minor_units(v: Column, currency: Column) -> Column:
         x = F.when(currency == code, v * (10**k))
         out = x if out is None else F.coalesce(out, x)
     return F.when(out == F.floor(out), out.try_cast("bigint"))
+
+
+#: The date patterns a file may declare.
+DATE_PATTERNS = ["yyyy-MM-dd", "dd.MM.yyyy", "yyyyMMdd", "dd/MM/yyyy", "ddMMyy"]
+
+
+def declared_date(text: Column, pattern: Column) -> Column:
+    """DATE by the declared pattern, digit for digit; null if it is none, or no real date."""
+    out = F.lit(None).cast("date")
+    for p in DATE_PATTERNS:
+        shape = "^" + "".join("[0-9]" if c.isalpha() else "\\" + c if c in ".-/" else c for c in p) + "$"
+        read = short_date(text) if p == "ddMMyy" else F.try_to_date(text, p)
+        out = F.when((pattern == p) & text.rlike(shape), read).otherwise(out)
+    return out
+
+
+def short_stamp(text: Column) -> Column:
+    """DDMMYYhhmm, years as in short_date."""
+    day = short_date(F.left(text, F.lit(6)))
+    at = F.concat(F.date_format(day, "yyyy-MM-dd"), F.lit(" "), F.substring(text, 7, 2), F.lit(":"), F.substring(text, 9, 2), F.lit(":00"))
+    return F.when(text.rlike("^[0-9]{10}$"), at.try_cast("timestamp_ntz"))
+
+
+def posting_day(text: Column) -> Column:
+    """The date itself if the text is a plain date, the date in Zurich if it is an instant."""
+    return F.when(text.contains("T"), zurich_date(text.try_cast("timestamp"))).otherwise(text.try_cast("date"))

@@ -65,3 +65,20 @@ def contains_any_case(q: str, *cols: Column) -> Column:
     for c in cols:
         out = out | F.coalesce(F.contains(F.lower(c), F.lit(q.lower())), F.lit(False))
     return out
+
+
+def company_code(client: Column) -> Column:
+    """Company code of a sender's client number; a company code stays, anything else is null."""
+    return F.when(client == "0100", "CH10").when(client == "0200", "CH20").when(client.isin("CH10", "CH20"), client)
+
+
+def signed_cursor(body: Column, secret: str) -> Column:
+    """Base64 of the body, a point, and the first 32 digits of a keyed SHA-256."""
+    b = F.base64(F.encode(body, "UTF-8"))
+    return F.concat(b, F.lit("."), F.left(F.sha2(F.concat(F.lit(secret), b), 256), F.lit(32)))
+
+
+def cursor_valid(cursor: Column, secret: str) -> Column:
+    """Whether the signature fits; false for anything that is no cursor, null for null."""
+    b = F.substring_index(cursor, ".", 1)
+    return F.concat(b, F.lit("."), F.left(F.sha2(F.concat(F.lit(secret), b), 256), F.lit(32))) == cursor

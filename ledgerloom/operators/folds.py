@@ -66,3 +66,42 @@ def versioned_puts(puts: DataFrame, key: str, order: list[str], if_version: str,
         return (version + 1, new), "applied"
 
     return ordered_fold(puts, key, order, [if_version, content], step, (0, None), "outcome", pa.string(), keep)
+
+
+def governed(requests: DataFrame, key: str, order: list[str], keep: list[str], time: str, *, quota: int, strikes: int, capacity: int, per_ms: int) -> DataFrame:
+    """Admission per request, first that holds: ``quota`` (so many were admitted), ``quarantine`` (so
+    many were refused by the bucket), ``refused`` (no token left), ``admitted``."""
+    def step(state, t):
+        used, struck, level, since = (0, 0, capacity, t) if state is None else state
+        if used >= quota:
+            return (used, struck, level, since), "quota"
+        if struck >= strikes:
+            return (used, struck, level, since), "quarantine"
+        back = (t - since) // per_ms
+        level, since = min(capacity, level + back), since + back * per_ms
+        if level >= capacity:
+            since = t
+        return ((used + 1, struck, level - 1, since), "admitted") if level > 0 else ((used, struck + 1, level, since), "refused")
+
+    return ordered_fold(requests, key, order, [time], step, None, "admission", pa.string(), keep)
+
+
+def chunk_outcomes(chunks: DataFrame, stream: str, order: list[str], keep: list[str], ordinal: str, key: str, digest: str, remembered: int = 4_096) -> DataFrame:
+    """Chunks of a stream with strictly rising ordinals: ``applied`` (the next one), ``replayed`` (a key
+    that was applied, with its digest), ``conflict`` (with another), ``gap`` (too high an ordinal),
+    ``stale`` (a new key at an ordinal that is past). The latest ``remembered`` keys are known, older
+    ones are forgotten first in, first out, so the state is bounded."""
+    def step(state, n, k, h):
+        at, seen = (0, {}) if state is None else state
+        if k in seen:
+            return (at, seen), "replayed" if seen[k] == h else "conflict"
+        if n is None or n > at + 1:
+            return (at, seen), "gap"
+        if n <= at:
+            return (at, seen), "stale"
+        if len(seen) >= remembered:
+            seen.pop(next(iter(seen)))
+        seen[k] = h
+        return (n, seen), "applied"
+
+    return ordered_fold(chunks, stream, order, [ordinal, key, digest], step, None, "outcome", pa.string(), keep)

@@ -4,6 +4,6 @@ from __future__ import annotations
 
 
 def modules() -> list:
-    from . import inventory, payables, pipelines
+    from . import inventory, ledger, payables, pipelines
 
-    return [payables, inventory, pipelines]
+    return [payables, inventory, ledger, pipelines]
