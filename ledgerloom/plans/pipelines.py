@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.numbers import CURRENCY_SCALE, canonical_number
+from ..functions.numbers import CURRENCY_SCALE, canonical_number, host_number
 from ..functions.text import trim_ws
 from ..operators import folds, validate as V
 from ..operators.cow_table import CowTable
@@ -50,7 +50,7 @@ def source_csv(spark, sf):  # SRC-01, SRC-03, SRC-04, SRC-13
 
 
 @query(_ORDERS)
-def source_ndjson(spark, sf):  # SRC-05, SRC-15, SRC-17
+def source_ndjson(spark, sf):  # SRC-05: lines split across tasks, with line and ordinal
     path = shared_dir(spark, "ndjson")
     _orders(spark, sf).write.json(path)
     return S.typed(S.read_ndjson(spark, path), _COLS)
@@ -72,27 +72,71 @@ def source_xml(spark, sf):  # SRC-07
     return S.typed(S.read_files(spark, path, "xml", glob="*.xml"), _COLS)
 
 
-@query("""SELECT supplier_number || '-' || proposal_id AS invoice_number, supplier_number, CAST(1 AS BIGINT) AS n_lines, CAST(amount_minor AS DECIMAL(18,2)) / 100 AS line_sum
-FROM (SELECT DISTINCT proposal_id, supplier_number, amount_minor FROM proposals WHERE amount_minor IS NOT NULL)""".replace("CAST(amount_minor AS DECIMAL(18,2)) / 100", "CAST(CAST(amount_minor AS DECIMAL(24,2)) / 100 AS DECIMAL(28,2))"))
-def source_export(spark, sf):  # SRC-08..12, SNK-08, WIN-06, PRJ-01
+def _export(spark, sf) -> DataFrame:
+    """The proposals written as files of the positional export and read again."""
     path = shared_dir(spark, "export")
     p = table(spark, sf, "proposals").where("amount_minor is not null").select("proposal_id", "supplier_number", (F.col("amount_minor").cast("decimal(20,2)") / 100).cast("decimal(24,2)").alias("gross")).distinct()
     p = p.withColumn("invoice_number", F.concat_ws("-", "supplier_number", "proposal_id"))
     docs = p.select("supplier_number", "invoice_number", "gross", F.lit("CHF").alias("currency"), F.lit(0).cast("decimal(24,2)").alias("vat"))
     text = sinks.export_lines(docs, p.select("supplier_number", "invoice_number", F.lit("00010").alias("line_no"), F.col("gross").alias("amount")))
-    files = max(1, -(-p.count() // 20_000))  # a file is one task's work when it is read
-    body = text.repartition(files, "supplier_number", "invoice_number").sortWithinPartitions("supplier_number", "invoice_number", "line_no").select("value")
+    sinks.export_files(text, path, "VORLAUF;2.1;0100;0101260000;CHF;A;B;P")
+    return S.read_files(spark, path, "export", encoding="windows-1252", glob="*.txt")
 
-    def framed(batches):  # each file opens with the header record
-        import pyarrow as pa
 
-        for i, b in enumerate(batches):
-            if not i:
-                yield pa.RecordBatch.from_arrays([pa.array(["VORLAUF;2.1;0100;0101260000;CHF;A;B;P"], b.schema.field(0).type)], schema=b.schema)
-            yield b
+@query("""SELECT supplier_number || '-' || proposal_id AS invoice_number, supplier_number, CAST(1 AS BIGINT) AS n_lines, CAST(amount_minor AS DECIMAL(18,2)) / 100 AS line_sum
+FROM (SELECT DISTINCT proposal_id, supplier_number, amount_minor FROM proposals WHERE amount_minor IS NOT NULL)""".replace("CAST(amount_minor AS DECIMAL(18,2)) / 100", "CAST(CAST(amount_minor AS DECIMAL(24,2)) / 100 AS DECIMAL(28,2))"))
+def source_export(spark, sf):  # SRC-08..12, SNK-08, WIN-06
+    return S.export_documents(_export(spark, sf)).select("invoice_number", "supplier_number", "n_lines", "line_sum")
+
+
+@query("""SELECT CAST(count(*) AS BIGINT) AS documents, CAST(count(*) AS BIGINT) AS declared_documents, CAST(count(*) AS BIGINT) AS lines, CAST(sum(v) AS DECIMAL(38,2)) AS gross, CAST(sum(v) AS DECIMAL(38,2)) AS declared_gross, CAST(sum(v) AS DECIMAL(38,2)) AS declared_line_sum, true AS verified
+FROM (SELECT DISTINCT proposal_id, supplier_number, CAST(CAST(amount_minor AS DECIMAL(24,2)) / 100 AS DECIMAL(28,2)) AS v FROM proposals WHERE amount_minor IS NOT NULL)""")
+def export_trailers(spark, sf):  # AGG-08, SNK-08: the trailers' counts and sums against what was read, over all files
+    t = S.export_totals(_export(spark, sf))
+    total = lambda c: F.sum(c).cast("decimal(38,2)").alias(c)
+    return t.agg(F.sum("documents").alias("documents"), F.sum("declared_documents").alias("declared_documents"), F.sum("lines").alias("lines"), total("gross"), total("declared_gross"), total("declared_line_sum"), F.bool_and("verified").alias("verified"))
+
+
+@query("SELECT base, quote, valid_from, nullif(valid_to, '') AS valid_to, rate_type, CAST(rate AS DECIMAL(38,6)) AS rate, rate_factor, sequence, status FROM fx_rates")
+def source_rates(spark, sf):  # SRC-18, FN-03: a rate table in XML, ISO-8859-1, decimal commas, nil ends, in no order
+    path = shared_dir(spark, "rates")
+    r = table(spark, sf, "fx_rates")
+    cell = lambda n, c: F.concat(F.lit(f"<{n}>"), c.cast("string"), F.lit(f"</{n}>"))
+    end = F.coalesce(cell("ValidTo", F.col("valid_to")), F.lit('<ValidTo xsi:nil="true"/>'))
+    rate = F.concat(F.lit("\n "), F.translate("rate", ".", ","), F.lit("\n"))
+    row = F.concat(F.lit("<Row>"), cell("Base", F.col("base")), cell("Quote", F.col("quote")), cell("ValidFrom", F.col("valid_from")), end, cell("RateType", F.col("rate_type")), cell("Rate", rate), cell("Factor", F.col("rate_factor")), cell("Sequence", F.col("sequence")), cell("Status", F.col("status")), F.lit("<Comment>g\u00fcltig</Comment></Row>"))
+    body = r.select(row.alias("value"), F.xxhash64("fx_rate_id").alias("h")).repartition(max(1, -(-r.count() // 20_000)), "h").sortWithinPartitions("h").select("value")
+
+    def framed(batches):
+        import pyarrow as pa
 
-    body.mapInArrow(framed, "value string").write.text(path)
-    return S.export_documents(S.read_files(spark, path, "export", encoding="windows-1252", glob="*.txt")).select("invoice_number", "supplier_number", "n_lines", "line_sum")
+        line = lambda t: pa.RecordBatch.from_arrays([pa.array([t])], names=["value"])
+        yield line('<?xml version="1.0"?><t:Rates xmlns:t="urn:rates" xmlns:xsi="http://www.w3.org/2001/XMLSchema-instance"><t:Table>')
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.string())], names=["value"])
+        yield line("</t:Table></t:Rates>")
+
+    body.mapInArrow(framed, "value string").write.option("encoding", "ISO-8859-1").text(path)
+    f = lambda n: F.col("fields")[n]
+    back = S.read_files(spark, path, "xml", encoding="ISO-8859-1", glob="*.txt", row="Row").where("code is null")
+    return back.select(f("Base").alias("base"), f("Quote").alias("quote"), f("ValidFrom").alias("valid_from"), f("ValidTo").alias("valid_to"), f("RateType").alias("rate_type"), host_number(f("Rate")).alias("rate"), f("Factor").try_cast("bigint").alias("rate_factor"), f("Sequence").try_cast("int").alias("sequence"), f("Status").alias("status"))
+
+
+@query(" UNION ALL ".join(f"SELECT '{k}' AS kind, * FROM ({_ORDERS}) WHERE change_seq % 4 = {i}" for i, k in enumerate(("csv", "json", "ndjson", "xml"))))
+def source_detected(spark, sf):  # SRC-14, SRC-15: files of four formats in one folder, each read by what it is
+    path = shared_dir(spark, "mixed")
+    o = _orders(spark, sf)
+    part = lambda i: o.where(F.col("change_seq") % 4 == i)
+    part(0).write.mode("append").option("header", True).option("quoteAll", True).option("emptyValue", "").option("nullValue", "").csv(f"{path}/a")
+    array = part(1).groupBy((F.xxhash64("change_seq") % 50).alias("f"), F.floor(F.col("change_seq") / 5000).alias("g")).agg(F.concat(F.lit("[ "), F.array_join(F.collect_list(F.to_json(F.struct(*_COLS))), ","), F.lit("]")).alias("value"))
+    array.select("value").write.option("maxRecordsPerFile", 1).text(f"{path}/b")  # at most 5,000 records a file
+    part(2).write.json(f"{path}/c")
+    part(3).write.format("xml").option("rootTag", "records").option("rowTag", "record").save(f"{path}/d")
+    records = S.read_files(spark, path, "detect")
+    kind = F.element_at(F.split("file", "/"), -2)
+    names = F.create_map(*[F.lit(x) for pair in zip("abcd", ("csv", "json", "ndjson", "xml")) for x in pair])
+    good = records.where("code is null").select(names[kind].alias("kind"), *[(F.nullif(F.col("fields")[n], F.lit("")) if t == "string" else F.col("fields")[n].try_cast(t)).alias(n) for n, t in _COLS.items()])
+    return good
 
 
 # -- sinks -----------------------------------------------------------------------------------
@@ -134,7 +178,7 @@ def sink_receipt(spark, sf):  # SNK-01, SNK-02, SNK-03
 
 # -- streams -------------------------------------------------------------------------------------
 @query(PAYABLES["p2_suppliers"])
-def stream_suppliers(spark, sf):  # UPD-01, UPD-03, STR-08, SRC-02: the feed as a file stream, one file a batch
+def stream_suppliers(spark, sf):  # UPD-01, UPD-03: the feed as a file stream, one file a batch
     f = FEEDS["suppliers"]
     t = CowTable(spark, shared_dir(spark, "stream-feed"), key=f["key"](), seq=f["seq"], op="op", content=f["content"], delivered=f["delivered"], buckets=8)
     src = feeds.file_stream(spark, f"{sf}/suppliers.parque*", table(spark, sf, "suppliers"), 4)

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -72,12 +76,36 @@ def export_lines(docs: DataFrame, lines: DataFrame) -> DataFrame:
         return F.when(c.rlike('[;"\r\n]'), F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(F.coalesce(c, F.lit("")))
 
     e = F.lit("")
+    zero = F.lit(None).cast("decimal(28,2)")
     head = docs.select(
-        "supplier_number", "invoice_number", e.alias("line_no"),
+        "supplier_number", "invoice_number", e.alias("line_no"), F.col("gross").cast("decimal(28,2)").alias("gross"), zero.alias("amount"),
         F.concat_ws(";", F.lit("KOPF"), q(F.col("invoice_number")), q(F.col("supplier_number")), F.lit("RE"), F.lit("010126"), F.lit("010126"), e, q(F.col("currency")), swiss_amount(F.col("gross")), swiss_amount(F.col("vat")), F.lit("V0"), F.lit("30"), e, e, e, e).alias("value"),
     )
     pos = lines.select(
-        "supplier_number", "invoice_number", "line_no",
+        "supplier_number", "invoice_number", "line_no", zero.alias("gross"), F.col("amount").cast("decimal(28,2)").alias("amount"),
         F.concat_ws(";", F.lit("POS"), q(F.col("invoice_number")), F.col("line_no"), F.lit("4000"), e, F.lit("1.000"), F.lit("STK"), swiss_amount(F.col("amount")), swiss_amount(F.col("amount")), e, e).alias("value"),
     )
     return head.unionByName(pos)
+
+
+def export_files(lines: DataFrame, path: str, header: str, rows_per_file: int = 40_000) -> None:
+    """Writes export lines as files: header record, documents with their lines in key order, and the
+    trailer with the counts and sums of what the file holds. A document is in one file."""
+    files = max(1, -(-lines.count() // rows_per_file))
+    body = lines.repartition(files, "supplier_number", "invoice_number").sortWithinPartitions("supplier_number", "invoice_number", "line_no").select("value", "gross", "amount")
+
+    def framed(batches):
+        heads = rows = 0
+        gross = amounts = Decimal("0.00")
+        for b in batches:
+            if not heads and not rows:
+                yield pa.RecordBatch.from_arrays([pa.array([header])], names=["value"])
+            value, g, a = b.column(0), b.column(1), b.column(2)
+            heads, rows = heads + len(g) - g.null_count, rows + len(a) - a.null_count
+            gross, amounts = gross + (pc.sum(g).as_py() or 0), amounts + (pc.sum(a).as_py() or 0)
+            yield pa.RecordBatch.from_arrays([value.cast(pa.string())], names=["value"])
+        if heads or rows:
+            swiss = lambda v: f"{v:,.2f}".replace(",", "'")
+            yield pa.RecordBatch.from_arrays([pa.array([f"NACHLAUF;{heads};{rows};{swiss(gross)};{swiss(amounts)}"])], names=["value"])
+
+    body.mapInArrow(framed, "value string").write.text(path)

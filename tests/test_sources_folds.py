@@ -27,6 +27,12 @@ def test_csv_records_track_lines_and_reject_rows():
     ]
     assert rows(S.csv_records("")) == [(1, 0, None, "E_MALFORMED_DOCUMENT")]
     assert rows(S.csv_records("a;b\n", ";")) == []
+    assert rows(S.csv_records("a|b\n 'x|''y' | NULL\n", "|", quote="'", trim="right", null_token=" NULL")) == [(2, 1, None, "E_MALFORMED_DOCUMENT")]
+    assert rows(S.csv_records("a|b\n'x|''y'| NULL \n", "|", quote="'", null_token="NULL")) == [(2, 1, {"a": "x|'y", "b": None}, None)]
+    assert rows(S.csv_records("a,b\n x , y \n", trim="left")) == [(2, 1, {"a": "x ", "b": "y "}, None)]
+    for bad in (dict(delimiter="||"), dict(delimiter='"'), dict(quote=""), dict(trim="all")):
+        assert rows(S.csv_records("a,b\n1,2\n", **bad)) == [(1, 0, None, "E_FIELD_INVALID")]
+    assert rows(S.csv_records("a,a\n1,2\n")) == [(1, 0, None, "E_FIELD_INVALID")]
 
 
 def test_json_and_xml_keep_digits_and_break_whole():
@@ -36,7 +42,11 @@ def test_json_and_xml_keep_digits_and_break_whole():
     got = rows(S.xml_records("<r><record><n> 0417 </n><l><x>1</x></l><l><x>2</x></l></record><supplier><n/></supplier></r>"))
     assert [g[2] for g in got] == [{"n": "0417", "l[0].x": "1", "l[1].x": "2"}, {"n": ""}]
     got = rows(S.xml_records("<r><record><n>1</n></record><record>"))
-    assert [g[3] for g in got] == [None, "E_MALFORMED_DOCUMENT"]
+    assert got == [(1, 2, None, "E_MALFORMED_DOCUMENT")]  # the break voids the file
+    got = rows(S.xml_records('<t:r xmlns:t="u" xmlns:xsi="x"><b><Row><t:A xsi:nil="true"/><B> 1,5\n</B></Row></b><Row><A/></Row></t:r>', "Row"))
+    assert [g[1:] for g in got] == [(1, {"A": None, "B": "1,5"}, None), (2, {"A": ""}, None)]
+    text = '{"a":1.50}\n\n{"records":[{"a":2},7]}\nnope\n'
+    assert rows(S.ndjson_records(text)) == [(1, 1, {"a": "1.50"}, None), (3, 2, {"a": "2"}, None), (3, 3, None, "E_MALFORMED_DOCUMENT"), (4, 4, None, "E_MALFORMED_DOCUMENT")]
 
 
 def test_export_binds_lines_by_position():
@@ -49,6 +59,31 @@ def test_export_binds_lines_by_position():
     assert rows(S.export_records("VORLAUF;1;1;1;1;1;1;1\nPOS;1;1;1;1;1;1;1;1;1;1"))[1][3] == "orphan_line"
 
 
+def test_export_faults_void_the_file_and_trailers_are_checked(spark, tmp_path):
+    head, trailer = "VORLAUF;2.1;0100;0102260845;CHF;A;B;P\n", "NACHLAUF;1;1;4'725.00;1'600.00\n"
+    body = "KOPF;1;7;RE;010226;030226;;;4'725.00;;V0;30;;;1;T\nPOS;1;00010;6400;;0.125;STK;1.0000;1'600.00;;x\n"
+    assert rows(S.export_records(head + 'KOPF;"x"y\n' + trailer)) == [(2, 0, None, "E_MALFORMED_DOCUMENT")]
+    assert rows(S.export_records("\ufeff" + head)) == [(1, 0, None, "E_ENCODING_BOM_PRESENT")] and rows(S.export_records(head + "KO\x01PF"))[0][:1] == (2,)
+    cases = {"good": head + body + trailer, "sum": head + body + trailer.replace("4'725", "4'726"), "none": head + body, "reject": head + body + "POS;1\n" + trailer}
+    for name, text in cases.items():
+        (tmp_path / f"{name}.txt").write_bytes(text.encode("cp1252"))
+    got = {r.file.rsplit("/", 1)[1][:-4]: (r.documents, r.lines, str(r.gross), r.verified) for r in S.export_totals(S.read_files(spark, str(tmp_path), "export", encoding="windows-1252")).collect()}
+    assert got == {"good": (1, 1, "4725.00", True), "sum": (1, 1, "4725.00", False), "none": (1, 1, "4725.00", False), "reject": (1, 1, "4725.00", False)}
+
+
+def test_lines_are_numbered_across_splits(spark, tmp_path):
+    n = 3000
+    (tmp_path / "a.ndjson").write_text("".join(f'{{"i":{i}}}\n' if i % 3 else "\n" for i in range(n)))
+    (tmp_path / "b.ndjson").write_text('{"records":[{"i":1},{"i":2}]}\n{"i":3}\n')
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        got = [(r.file[-8], r.line, r.ordinal, r.fields["i"]) for r in S.read_ndjson(spark, str(tmp_path)).collect()]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    kept = [i for i in range(n) if i % 3]
+    assert sorted(got) == sorted([("a", i + 1, k + 1, str(i)) for k, i in enumerate(kept)] + [("b", 1, 1, "1"), ("b", 1, 2, "2"), ("b", 2, 3, "3")])
+
+
 def test_decode_and_detect():
     assert S.decode(b"\xfc", "windows-1252") == ("ü", None) and S.decode(b"a\n\x81b", "windows-1252") == ("a\n", 2)
     assert S.decode(b"\xef\xbb\xbfx", "UTF-8-BOM") == ("x", None) and S.decode(b"\xff", "UTF-8")[1] == 1 and S.decode(b"x", "EBCDIC")[1] == 1
