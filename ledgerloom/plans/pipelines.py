@@ -14,9 +14,10 @@ from ..operators.message_store import MessageStore
 from ..operators.record_split import UNITS, dialects
 from ..session import shared_dir, table
 from ..sources import files as S
+from ..sources import intake as I
 from ..sources import sinks
 from ..streaming import feeds
-from .payables import _CUR, _DIALECT, _sql_number, FEEDS, SQL as PAYABLES, sql_trim
+from .payables import _CODE as CODE_OF_RULE, _CUR, _DIALECT, _P3 as P3, _sql_number, FEEDS, SQL as PAYABLES, sql_trim
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -139,6 +140,43 @@ def source_detected(spark, sf):  # SRC-14, SRC-15: files of four formats in one
     return good
 
 
+# -- intake of batches ---------------------------------------------------------------------------
+def _deliveries(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """The raw records put back into files, a manifest per batch. By their numbers of records, some files
+    have a wrong checksum or count, and some batches are to be aborted by one reject."""
+    r = table(spark, sf, "records").where("raw_text is not null and raw_text <> ''").select("batch_id", F.col("file").alias("path"), "dataset", "line", "record_id", "raw_text")
+    heads = dialects(table(spark, sf, "file_receipts")).where("header_line is not null")
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "record_id", "raw_text"))), lambda x: x["raw_text"]), "\n")  # a file is bounded
+    f = r.groupBy("batch_id", "path", "dataset").agg(body.alias("body"), F.count("*").alias("n")).join(heads, ["batch_id", "path"])
+    f = f.withColumn("content", F.encode(F.concat("header_line", F.lit("\n"), "body", F.lit("\n")), "UTF-8"))
+    sha = F.when(F.col("n") % 13 == 5, F.repeat(F.lit("0"), F.lit(64))).otherwise(F.sha2("content", 256))
+    entry = F.struct("path", "dataset", F.lit("UTF-8").alias("encoding"), "delimiter", "decimal_separator", "thousands_separator", "date_format", sha.alias("sha256"), (F.col("n") + (F.col("n") % 11 == 3).cast("int")).alias("record_count"))
+    m = f.select("batch_id", entry.alias("e")).groupBy("batch_id").agg(F.sort_array(F.collect_list("e")).alias("files"))
+    m = m.select(F.col("batch_id").alias("batch"), F.to_json(F.struct(F.lit("1").alias("manifest_version"), "batch_id", F.lit("upsert").alias("mode"), F.when(F.size("files") % 2 == 0, "abort_batch").otherwise("continue").alias("on_error"), "files")).alias("manifest"))
+    return m, f.select(F.col("batch_id").alias("batch"), "path", "content")
+
+
+CODE_OF = f"""CASE rk WHEN 1 THEN CASE WHEN regexp_matches(raw, '(?s)^"(?:[^"]|"")*"[^"]') THEN 'E_FIELD_INVALID' ELSE 'E_MALFORMED_DOCUMENT' END WHEN 2 THEN 'E_FIELD_INVALID' ELSE {CODE_OF_RULE} END"""
+_K = {d: " || chr(31) || ".join(f"coalesce(max(CASE WHEN name = '{p}' THEN v END), '')" for p in parts) for d, parts in I.KEYS.items()}
+_INTAKE = P3 + f""", fi AS (SELECT batch_id, file, count(*) AS n, CASE WHEN count(*) % 13 = 5 THEN 'E_CHECKSUM_MISMATCH' WHEN count(*) % 11 = 3 THEN 'E_COUNT_MISMATCH' END AS fault FROM records WHERE raw_text IS NOT NULL AND raw_text <> '' GROUP BY ALL),
+ba AS (SELECT batch_id, count(*) % 2 = 0 AS abort FROM fi GROUP BY 1),
+o AS (SELECT record_id, batch_id, file, line, row_number() OVER (PARTITION BY batch_id, file ORDER BY line, record_id) AS ordinal FROM records WHERE raw_text IS NOT NULL AND raw_text <> ''),
+q AS (SELECT *, CASE WHEN torn THEN 1 WHEN off THEN 2 WHEN NOT ok THEN 3 END AS rk FROM k),
+b AS (SELECT record_id, {CODE_OF} AS code, CASE WHEN rk = 3 THEN name END AS field FROM (SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY rk, pos) AS one FROM q WHERE rk IS NOT NULL) WHERE one = 1),
+w AS (SELECT record_id, dataset, CASE dataset {" ".join(f"WHEN '{d}' THEN {x}" for d, x in _K.items())} END AS natural_key, string_agg(name || '=' || v, chr(31) ORDER BY name || '=' || v) AS content FROM k GROUP BY record_id, dataset),
+j AS (SELECT o.*, fi.fault, ba.abort, coalesce(fi.fault, b.code) AS c1, CASE WHEN fi.fault IS NULL THEN b.field END AS f1 FROM o JOIN fi USING (batch_id, file) JOIN ba USING (batch_id) LEFT JOIN b USING (record_id)),
+z AS (SELECT *, CASE WHEN c1 IS NULL AND abort AND bool_or(c1 IS NOT NULL) OVER (PARTITION BY batch_id) THEN 'E_BATCH_ABORTED' ELSE c1 END AS c2 FROM j),
+cl AS (SELECT z.record_id, lag(content) OVER (PARTITION BY dataset, natural_key ORDER BY batch_id, file, ordinal) = content AS same FROM z JOIN w USING (record_id) WHERE c2 IS NULL)
+SELECT z.batch_id AS batch, file AS path, ordinal, CASE WHEN fault <> 'E_CHECKSUM_MISMATCH' OR fault IS NULL THEN w.dataset END AS dataset, CASE WHEN fault <> 'E_CHECKSUM_MISMATCH' OR fault IS NULL THEN w.natural_key END AS natural_key,
+CASE WHEN c2 IS NOT NULL THEN 'rejected' WHEN same THEN 'skipped_unchanged' ELSE 'accepted' END AS outcome, c2 AS code, f1 AS field FROM z JOIN w USING (record_id) LEFT JOIN cl USING (record_id) WHERE fault IS NULL OR fault <> 'E_CHECKSUM_MISMATCH'
+UNION ALL SELECT batch_id, file, 0, (SELECT min(dataset) FROM records r WHERE r.batch_id = fi.batch_id AND r.file = fi.file), NULL, 'rejected', fault, NULL FROM fi WHERE fault = 'E_CHECKSUM_MISMATCH'"""
+
+
+@query(_INTAKE)
+def intake_outcomes(spark, sf):  # SRC-02, VAL-09, PRJ-01, UPD-04, UPD-07, CMP-04: manifest to outcome, one row per record
+    return I.intake(*_deliveries(spark, sf)).select("batch", "path", "ordinal", "dataset", "natural_key", "outcome", "code", "field")
+
+
 # -- sinks -----------------------------------------------------------------------------------
 def _outbox(fmt: str):
     def q(spark, sf):

@@ -40,11 +40,17 @@ def decode(raw: bytes, encoding: str) -> tuple[str, int | None]:
 
 
 def csv_fields(text: str, delimiter: str, quote: str = '"') -> Iterator[tuple[int, list[str] | None]]:
-    """(first line, fields) per record; None for a record whose quoting is broken. Line ends inside
+    """(first line, fields) per record; None for a record whose quoting is broken."""
+    for first, fields, _, _ in csv_scan(text, delimiter, quote):
+        yield first, fields
+
+
+def csv_scan(text: str, delimiter: str, quote: str = '"') -> Iterator[tuple[int, list[str] | None, int, int]]:
+    """(first line, fields or None, start, end) per record, without its line end. Line ends inside
     quotes are data. After a broken quote the rest of its line is skipped."""
     i, n, line, twice = 0, len(text), 1, quote * 2
     while i < n:
-        first, fields, bad = line, [], False
+        first, fields, bad, begin = line, [], False, i
         while True:
             if i < n and text[i] == quote:
                 j = i + 1
@@ -71,12 +77,13 @@ def csv_fields(text: str, delimiter: str, quote: str = '"') -> Iterator[tuple[in
             if not bad and i < n and text[i] == delimiter:
                 i += 1
                 continue
+            stop = i
             if text[i : i + 2] == "\r\n":
                 i += 1
             i += 1
             line += 1
             break
-        yield first, None if bad else fields
+        yield first, None if bad else fields, begin, stop
 
 
 def csv_records(text: str, delimiter: str = ",", quote: str = '"', trim: str = "both", null_token: str | None = None) -> Iterator[Record]:
