@@ -109,6 +109,11 @@ def minor_units(v: Column, currency: Column) -> Column:
     return F.when(out == F.floor(out), out.try_cast("bigint"))
 
 
+def written_number(v: Column, scale: int, decimal_sep: Column, thousands_sep: Column) -> Column:
+    """The number with ``scale`` decimals, grouped in threes, in a file's separators."""
+    return F.call_function("translate", F.format_number(v, scale), F.lit(",."), F.concat(thousands_sep, decimal_sep))
+
+
 #: The date patterns a file may declare.
 DATE_PATTERNS = ["yyyy-MM-dd", "dd.MM.yyyy", "yyyyMMdd", "dd/MM/yyyy", "ddMMyy"]
 

@@ -3,7 +3,7 @@ semi. All equi joins; Catalyst and AQE choose broadcast or shuffle by measured s
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .cells import after_last, day_cells, span_cells
@@ -43,3 +43,16 @@ def interval_lookup(events: DataFrame, event_id: str, entity: str, date: str, sp
     best = s.groupBy("_e", F.col("_c.unit").alias("_u"), F.col("_c.start").alias("_s")).agg(F.max("_rank").alias("_rank"), F.max_by(value, "_rank").alias(value))
     e = e.withColumn("_c", F.explode(day_cells(F.col("_d")))).select("_id", "_e", F.col("_c.unit").alias("_u"), F.col("_c.start").alias("_s"))
     return e.join(best, ["_e", "_u", "_s"]).groupBy("_id").agg(F.max_by(value, "_rank").alias(value)).withColumnRenamed("_id", event_id)
+
+
+def embedded_else_separate(parents: DataFrame, array: str, separate: DataFrame, key: list[str], order: list[str]) -> DataFrame:
+    """The lines of each parent: those in its array if it has any, else the separate rows of its key, in
+    the order of the columns. key, the line's columns, place (from 1), embedded. A separate row whose
+    parent does not exist, or has lines of its own, is left out. Null keys match nothing."""
+    own = parents.where(F.size(array) > 0).select(*key, F.explode(array).alias("_l"))
+    names = [f.name for f in parents.schema[array].dataType.elementType.fields]
+    own = own.select(*key, *[F.col("_l")[n].alias(n) for n in names], F.lit(True).alias("embedded"))
+    without = parents.where(F.coalesce(F.size(array), F.lit(0)) <= 0).select(*key)
+    rest = separate.select(*key, *names).join(without, key, "left_semi").withColumn("embedded", F.lit(False))
+    w = Window.partitionBy(*key).orderBy(*[F.asc_nulls_first(c) for c in order])
+    return own.unionByName(rest).withColumn("place", F.row_number().over(w).cast("bigint"))

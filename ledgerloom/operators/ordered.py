@@ -74,6 +74,11 @@ def dense_number(df: DataFrame, order: list[str], name: str = "n", range_rows: i
     return d.join(F.broadcast(offs), "_r").withColumn(name, F.col("_k") + F.col("_o")).drop("_r", "_k", "_o")  # one row per range
 
 
+def page_size(asked: int | None, default: int = 100, most: int = 250) -> int:
+    """The page a request gets: the default for none, at least one, at most ``most``."""
+    return default if asked is None else max(1, min(asked, most))
+
+
 def keyset_page(df: DataFrame, order: list[str], after: tuple | None, size: int) -> DataFrame:
     """The next page behind ``after`` with ``has_more``; the bound is a predicate, so a table laid
     out in that order is read from there on. ``size`` is the page, the feature itself."""

@@ -35,7 +35,7 @@ def _n(c="*"):
     return F.count(c).alias("n")
 
 
-# -- revisions: UPD-01, UPD-03, WIN-01..05, SRC-21..23, AGG-01 -------------------------------
+# -- revisions ---------------------------------------------------------------------------------
 _SUP_STATE = ["name", "country", "currency", "iban", "vat_number", "payment_terms_days", "blocked"]
 _K = sql_trim("supplier_number")
 _SAME = " AND ".join(f"(CASE WHEN op<>'D' THEN {c} END) IS NOT DISTINCT FROM lag(CASE WHEN op<>'D' THEN {c} END) OVER w" for c in _SUP_STATE)
@@ -91,7 +91,7 @@ def record_histories(spark, sf):  # SRC-22: every proposal
     return O.running(p, ["proposal_id"], "seq", F.lit(1).cast("bigint"), "revision", tie=["revision_id"])
 
 
-# -- paging, limits, numbering: LIM-01..06, SRT-01, RUL-05, STR-03, GEN-08, WIN-07, WIN-10 ----
+# -- paging, limits, numbering -----------------------------------------------------------------
 @query("""SELECT change_seq, po_row_id, (SELECT count(*) > 250 FROM purchase_orders WHERE change_seq > 500100) AS has_more FROM purchase_orders WHERE change_seq > 500100 ORDER BY change_seq, po_row_id LIMIT 250""")
 def keyset_page(spark, sf):  # LIM-01, FLT-03, SRC-19, STR-01: 250 rows is the page size
     o = table(spark, sf, "purchase_orders").where(F.col("change_seq") > 500100).select("change_seq", "po_row_id")
@@ -138,7 +138,7 @@ def record_ordinals(spark, sf):  # WIN-07, SRC-16 (gap check): files are bounded
     return r.groupBy("batch_id", "file").agg(F.count(F.when(F.col("record_ordinal") != F.col("rn"), 1)).alias("out_of_place"), _n())
 
 
-# -- joins: JN-01..15 ------------------------------------------------------------------------------
+# -- joins -------------------------------------------------------------------------------------
 @query(f"""WITH s AS (SELECT DISTINCT {_K} AS k FROM suppliers)
 SELECT po_row_id, s.k IS NOT NULL AS known FROM purchase_orders p LEFT JOIN s ON s.k = {sql_trim('p.supplier_number')}""")
 def order_supplier(spark, sf):  # JN-01, JN-10
@@ -157,7 +157,7 @@ def line_order_lookup(spark, sf):  # JN-02, FN-11, FN-12
 
 @query(f"""WITH o AS (SELECT {_sql_order('po_number')} AS k, max(cost_center) AS cc FROM purchase_orders GROUP BY 1)
 SELECT line_id, coalesce(nullif({sql_trim('l.cost_center')}, ''), o.cc) AS cost_center FROM purchase_order_lines l LEFT JOIN o ON o.k = {_sql_order('l.po_number')}""")
-def cost_center_fallback(spark, sf):  # JN-03, JN-04
+def cost_center_fallback(spark, sf):  # JN-04
     o = table(spark, sf, "purchase_orders").groupBy(X.canonical_order_number(F.col("po_number")).alias("k")).agg(F.max("cost_center").alias("cc"))
     l = table(spark, sf, "purchase_order_lines").withColumn("k", X.canonical_order_number(F.col("po_number")))
     return l.join(o, "k", "left").select("line_id", F.coalesce(X.blank_to_null(F.col("cost_center")), "cc").alias("cost_center"))
@@ -193,14 +193,14 @@ def first_delivery(spark, sf):  # JN-09, GEN-03
 
 
 @query(f"""SELECT line_id FROM purchase_order_lines WHERE {_sql_order('po_number')} IN (SELECT {_sql_order('po_number')} FROM purchase_orders WHERE status='OPEN')""")
-def lines_of_open_orders(spark, sf):  # JN-07, JN-11
+def lines_of_open_orders(spark, sf):  # JN-11
     ids = table(spark, sf, "purchase_orders").where("status = 'OPEN'").select(X.canonical_order_number(F.col("po_number")).alias("k"))
     return table(spark, sf, "purchase_order_lines").withColumn("k", X.canonical_order_number(F.col("po_number"))).join(ids, "k", "left_semi").select("line_id")
 
 
 @query("""WITH p AS (SELECT DISTINCT proposal_id, invoice_key FROM proposals), d AS (SELECT DISTINCT proposal_id, erp_document_number FROM postings WHERE erp_document_number IS NOT NULL)
 SELECT 'proposal' AS kind, proposal_id AS id, invoice_key FROM p UNION SELECT 'document', erp_document_number, invoice_key FROM d JOIN p USING (proposal_id) UNION SELECT 'invoice', invoice_key, invoice_key FROM p""")
-def audit_ids(spark, sf):  # JN-12, JN-14, JN-15, CMP-02: any id of the chain to its invoice
+def audit_ids(spark, sf):  # JN-12: any id of the chain to its invoice
     p = table(spark, sf, "proposals").select("proposal_id", "invoice_key").distinct()
     d = table(spark, sf, "postings").where("erp_document_number is not null").select("proposal_id", "erp_document_number").distinct()
     one = p.select(F.lit("proposal").alias("kind"), F.col("proposal_id").alias("id"), "invoice_key")
@@ -208,26 +208,26 @@ def audit_ids(spark, sf):  # JN-12, JN-14, JN-15, CMP-02: any id of the chain to
     return one.unionByName(two).unionByName(p.select(F.lit("invoice").alias("kind"), F.col("invoice_key").alias("id"), "invoice_key")).distinct()
 
 
-# -- aggregates: AGG-02..19 ---------------------------------------------------------------------------
+# -- aggregates --------------------------------------------------------------------------------
 _STATUS = ["pending", "acknowledged", "rejected", "superseded", "needs_investigation", "expired"]
 
 
 @query("SELECT s.status, CAST(coalesce(n,0) AS BIGINT) AS n FROM (VALUES " + ",".join(f"('{s}')" for s in _STATUS) + ") s(status) LEFT JOIN (SELECT status, count(*) AS n FROM proposals GROUP BY 1) USING (status)")
-def status_counts(spark, sf):  # AGG-02, AGG-03 (zero filled), FLT-01
+def status_counts(spark, sf):  # AGG-02 (zero filled), FLT-01
     dim = spark.createDataFrame([(s,) for s in _STATUS], "status string")
     return dim.join(table(spark, sf, "proposals").groupBy("status").agg(_n()), "status", "left").select("status", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 @query("""WITH p AS (SELECT DISTINCT proposal_id, invoice_key FROM proposals), q AS (SELECT DISTINCT proposal_id FROM postings WHERE erp_status='posted')
 SELECT count(DISTINCT invoice_key) AS invoices, count(DISTINCT proposal_id) AS proposals, count(DISTINCT q.proposal_id) AS posted FROM p LEFT JOIN q USING (proposal_id)""")
-def funnel(spark, sf):  # AGG-04
+def funnel(spark, sf):  # AGG-04: three stages; invoice_funnel has all
     p = table(spark, sf, "proposals").select("proposal_id", "invoice_key").distinct()
     q = table(spark, sf, "postings").where("erp_status = 'posted'").select("proposal_id").distinct().withColumn("hit", F.col("proposal_id"))
     return p.join(q, "proposal_id", "left").agg(F.countDistinct("invoice_key").alias("invoices"), F.countDistinct("proposal_id").alias("proposals"), F.countDistinct("hit").alias("posted"))
 
 
 @query("SELECT l_orderkey, CAST(sum(CAST(round(CAST(l_quantity AS DECIMAL(12,2)) * CAST(l_extendedprice AS DECIMAL(12,2)), 2) AS DECIMAL(18,2))) AS DECIMAL(28,2)) AS net FROM lineitem GROUP BY 1")
-def order_net(spark, sf):  # AGG-05: round each line, then sum
+def order_net(spark, sf):  # rounds each line, then sums; order_totals does it on order lines
     v = F.round(F.col("l_quantity").cast("decimal(12,2)") * F.col("l_extendedprice").cast("decimal(12,2)"), 2).cast("decimal(18,2)")
     return table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.sum(v).cast("decimal(28,2)").alias("net"))
 
@@ -242,13 +242,13 @@ _PARTS = ["accepted", "accepted_with_warning", "rejected", "skipped_unchanged",
 
 
 @query("SELECT receipt_id, CAST(seen - (" + "+".join(_PARTS) + ") AS BIGINT) AS difference FROM file_receipts WHERE seen <> " + "+".join(_PARTS))
-def receipt_closure(spark, sf):  # AGG-07, CMP-01, CMP-04, CMP-15
+def receipt_closure(spark, sf):  # AGG-07, CMP-01, CMP-04
     return R.closure_violations(table(spark, sf, "file_receipts"), "seen", _PARTS).select("receipt_id", "difference")
 
 
 @query("""WITH d AS (SELECT batch_id, path, max(declared_records) AS declared FROM file_receipts GROUP BY ALL), r AS (SELECT batch_id, file AS path, count(*) AS counted FROM records GROUP BY ALL)
 SELECT batch_id, path, declared, CAST(coalesce(counted,0) AS BIGINT) AS counted FROM d FULL JOIN r USING (batch_id, path)""")
-def control_totals(spark, sf):  # AGG-08, SRC-02
+def control_totals(spark, sf):  # AGG-08: counts; export_trailers has the sums
     return R.control_totals(table(spark, sf, "file_receipts"), table(spark, sf, "records").withColumnRenamed("file", "path"), ["batch_id", "path"], "declared_records")
 
 
@@ -268,7 +268,7 @@ def rate_supersession(spark, sf):  # AGG-10
 
 
 @query("""SELECT part, CAST(count(*) AS BIGINT) AS n FROM (SELECT unnest(string_split(idempotency_key, ':')) AS part FROM postings WHERE idempotency_key IS NOT NULL) GROUP BY 1""")
-def attempts_per_reference(spark, sf):  # AGG-11
+def attempts_per_reference(spark, sf):  # parts of a key; attempts_of_references counts references
     return table(spark, sf, "postings").where("idempotency_key is not null").select(F.explode(F.split("idempotency_key", ":")).alias("part")).groupBy("part").agg(_n())
 
 
@@ -303,12 +303,12 @@ def state_digest(spark, sf):  # AGG-16, HSH-02, HSH-03
 
 
 @query("""SELECT event_type, CAST(count(*) AS BIGINT) AS n, CAST(count(*)*1000 // count(DISTINCT user_id) AS BIGINT) AS per_user_milli FROM events GROUP BY 1""")
-def request_ratio(spark, sf):  # AGG-17, CMP-08
+def request_ratio(spark, sf):  # AGG-17
     g = table(spark, sf, "events").groupBy("event_type").agg(_n(), F.countDistinct("user_id").alias("u"))
     return g.select("event_type", "n", F.expr("n * 1000 div u").alias("per_user_milli"))
 
 
-# -- windows and runs: WIN-06, WIN-09, WIN-11, CMP-12 --------------------------------------------------
+# -- windows and runs --------------------------------------------------------------------------
 @query("""SELECT event_id, CAST(max(CASE WHEN event_type='purchase' THEN event_id END) OVER (PARTITION BY user_id ORDER BY event_id) AS BIGINT) AS last_purchase FROM events""")
 def carry_forward(spark, sf):  # WIN-06, SRC-10
     e = table(spark, sf, "events").select("event_id", "user_id", F.when(F.col("event_type") == "purchase", F.col("event_id")).alias("p"))
@@ -317,7 +317,7 @@ def carry_forward(spark, sf):  # WIN-06, SRC-10
 
 @query("""WITH f AS (SELECT idempotency_key AS k, min(posting_id) AS first FROM postings WHERE http_status BETWEEN 400 AND 499 AND idempotency_key IS NOT NULL GROUP BY 1)
 SELECT p.posting_id FROM postings p JOIN f ON f.k = p.idempotency_key WHERE p.posting_id > f.first""")
-def wasted_retries(spark, sf):  # WIN-09, CMP-12, FLT-04, FLT-05
+def wasted_retries(spark, sf):  # FLT-05: by status alone; retries_within_batch looks inside a batch
     p = table(spark, sf, "postings").where("idempotency_key is not null")
     f = p.where(F.col("http_status").between(400, 499)).groupBy("idempotency_key").agg(F.min("posting_id").alias("first"))
     return p.join(f, "idempotency_key").where("posting_id > first").select("posting_id")
@@ -332,7 +332,7 @@ def validity_tiling(spark, sf):  # WIN-11, FN-19: a fixed table
     return r.select("base", "fx_rate_id", fit.alias("fit"))
 
 
-# -- sets and comparison: SET-01..06, CMP-03, CMP-05, CMP-06, CMP-09, CMP-11, CMP-17 ---------------------
+# -- sets and comparison -----------------------------------------------------------------------
 @query("""(SELECT DISTINCT proposal_id, 'unposted' AS side FROM proposals WHERE proposal_id NOT IN (SELECT proposal_id FROM postings WHERE proposal_id IS NOT NULL)) UNION ALL
 (SELECT DISTINCT proposal_id, 'unproposed' FROM postings WHERE proposal_id IS NOT NULL AND proposal_id NOT IN (SELECT proposal_id FROM proposals))""")
 def posting_set_difference(spark, sf):  # SET-01, SET-02, SET-03, CMP-09
@@ -342,7 +342,7 @@ def posting_set_difference(spark, sf):  # SET-01, SET-02, SET-03, CMP-09
 
 
 @query("SELECT DISTINCT batch_id, path FROM (SELECT batch_id, path FROM purchase_order_lines UNION SELECT batch_id, file FROM records) EXCEPT SELECT batch_id, path FROM file_receipts")
-def foreign_files(spark, sf):  # SET-04, SET-06
+def foreign_files(spark, sf):  # SET-04
     a = table(spark, sf, "purchase_order_lines").select("batch_id", "path").union(table(spark, sf, "records").select("batch_id", "file"))
     return a.subtract(table(spark, sf, "file_receipts").select("batch_id", "path"))
 
@@ -388,17 +388,17 @@ def needle_scan_all(spark, sf):  # CMP-06, FLT-02
 
 @query("""WITH s AS (SELECT dataset, coalesce(accepted,0) AS e, coalesce(seen,0) AS p FROM file_receipts)
 SELECT dataset, CAST(CASE WHEN dataset='supplier' THEN least(sum(e), 500) ELSE sum(e) END AS BIGINT) AS earned, CAST(CASE WHEN dataset='supplier' THEN least(sum(p), 500) ELSE sum(p) END AS BIGINT) AS possible FROM s GROUP BY 1""")
-def capped_rollup(spark, sf):  # CMP-17
+def capped_rollup(spark, sf):  # the cap alone; score_bands has the bands
     s = table(spark, sf, "file_receipts").select("dataset", F.coalesce("accepted", F.lit(0)).alias("e"), F.coalesce("seen", F.lit(0)).alias("p"))
     return R.capped_rollup(s, "dataset", "e", "p", {"supplier": 500})
 
 
 @query("""SELECT CAST(count(DISTINCT n) AS BIGINT) AS templates FROM (SELECT regexp_replace(text, '[0-9]+', '#', 'g') AS n FROM documents WHERE text IS NOT NULL)""")
-def normalised_texts(spark, sf):  # CMP-11
+def normalised_texts(spark, sf):  # the mask alone; replay_comparison compares artifacts
     return table(spark, sf, "documents").where("text is not null").select(F.regexp_replace("text", "[0-9]+", "#").alias("n")).distinct().agg(F.count("*").alias("templates"))
 
 
-# -- deliveries: UPD-04, UPD-06, STR-02, RUL-12, RUL-13, CMP-14, SNK-03 ---------------------------
+# -- deliveries --------------------------------------------------------------------------------
 @query("""WITH f AS (SELECT *, first_value(sha256) OVER (PARTITION BY batch_id, path ORDER BY received_at, receipt_id) AS h0, row_number() OVER (PARTITION BY batch_id, path ORDER BY received_at, receipt_id) AS rn FROM file_receipts)
 SELECT receipt_id, CASE WHEN rn=1 THEN 'first' WHEN sha256 IS NOT DISTINCT FROM h0 THEN 'replay' ELSE 'conflict' END AS outcome FROM f""")
 def delivery_replays(spark, sf):  # UPD-06
@@ -419,35 +419,35 @@ def idempotency_outcomes(spark, sf):  # STR-02, CMP-14
 
 @query("""SELECT batch_id, file, CAST(count(*) FILTER (WHERE outcome='accepted') AS BIGINT) AS accepted, CAST(count(*) FILTER (WHERE outcome='rejected') AS BIGINT) AS rejected,
 CASE WHEN count(outcome)=0 THEN 'pending' WHEN count(*) FILTER (WHERE outcome='rejected')>0 THEN 'partial' ELSE 'accepted' END AS status FROM records GROUP BY ALL""")
-def file_status(spark, sf):  # RUL-12, RUL-13, UPD-04, UPD-07, FLT-06
+def file_status(spark, sf):  # RUL-12, FLT-06
     r = table(spark, sf, "records")
     g = r.groupBy("batch_id", "file").agg(F.count(F.when(F.col("outcome") == "accepted", 1)).alias("accepted"), F.count(F.when(F.col("outcome") == "rejected", 1)).alias("rejected"), F.count("outcome").alias("judged"))
     return g.select("batch_id", "file", "accepted", "rejected", F.when(F.col("judged") == 0, "pending").when(F.col("rejected") > 0, "partial").otherwise("accepted").alias("status"))
 
 
 @query("""SELECT record_id, coalesce(code, 'ok') AS first_finding FROM records WHERE outcome IS NOT NULL""")
-def receipt_records(spark, sf):  # SNK-03, PRJ-05
+def receipt_records(spark, sf):  # FLT-06: judged records; first_findings orders errors and warnings
     return table(spark, sf, "records").where("outcome is not null").select("record_id", F.coalesce("code", F.lit("ok")).alias("first_finding"))
 
 
 @query("""SELECT p.proposal_id, split_part(p.invoice_key, chr(31), 1) AS supplier_number, split_part(p.invoice_key, chr(31), 2) AS invoice_number, q.n AS postings FROM (SELECT DISTINCT proposal_id, invoice_key FROM proposals) p LEFT JOIN (SELECT proposal_id, count(*) AS n FROM postings GROUP BY 1) q USING (proposal_id)""")
-def outbox_rows(spark, sf):  # PRJ-03, FN-13
+def outbox_rows(spark, sf):  # FN-13; outbox_details has the whole row
     p = table(spark, sf, "proposals").select("proposal_id", "invoice_key").distinct()
     q = table(spark, sf, "postings").groupBy("proposal_id").agg(F.count("*").alias("postings"))
     return p.join(q, "proposal_id", "left").select("proposal_id", X.key_part(F.col("invoice_key"), 0).alias("supplier_number"), X.key_part(F.col("invoice_key"), 1).alias("invoice_number"), "postings")
 
 
-# -- functions: FN-01..24, HSH-01..04, STR-05, GEN-10 ------------------------------------------------
+# -- functions ---------------------------------------------------------------------------------
 @query("""SELECT revision_id, CASE WHEN fx_rate_factor > 0 THEN CAST((CASE WHEN (source_amount_minor<0) <> (r<0) THEN -1 ELSE 1 END) * ((abs(CAST(source_amount_minor AS HUGEINT)*r) + (CAST(fx_rate_factor AS HUGEINT)*1000000)//2) // (CAST(fx_rate_factor AS HUGEINT)*1000000)) AS DECIMAL(22,0)) / 100 END::DECIMAL(22,2) AS amount
 FROM (SELECT *, CAST(CAST(fx_rate_used AS DECIMAL(18,6))*1000000 AS HUGEINT) AS r FROM proposals WHERE fx_rate_used IS NOT NULL)""")
-def converted_amounts(spark, sf):  # FN-06, FN-07, FN-08, FN-09
+def converted_amounts(spark, sf):  # FN-06, FN-08
     p = table(spark, sf, "proposals").where("fx_rate_used is not null")
     amount = (F.col("source_amount_minor").cast("decimal(18,0)") / 100).cast("decimal(18,2)")
     return p.select("revision_id", N.multiply_rate(amount, F.col("fx_rate_used").cast("decimal(18,6)"), F.col("fx_rate_factor")).alias("amount"))
 
 
 @query(f"""SELECT line_id, {_sql_order('po_number')} AS order_key, CASE WHEN contains({sql_trim('po_number')}, '/') THEN regexp_extract({sql_trim('po_number')}, '/(.*)$', 1) END AS suffix FROM purchase_order_lines""")
-def order_references(spark, sf):  # FN-11, FN-12, FN-14, GEN-10
+def order_references(spark, sf):  # FN-11, FN-12, FN-14
     l = table(spark, sf, "purchase_order_lines")
     return l.select("line_id", X.canonical_order_number(F.col("po_number")).alias("order_key"), X.line_suffix(F.col("po_number")).alias("suffix"))
 
@@ -471,7 +471,7 @@ def trailing_integers(spark, sf):  # FN-02, FN-22
 
 
 @query("""SELECT fx_rate_id, CAST(valid_from AS DATE) AS d, strftime(CAST(valid_from AS DATE), '%d%m%y') AS short FROM fx_rates""")
-def short_dates(spark, sf):  # FN-04, FN-05, FN-23
+def short_dates(spark, sf):  # FN-05
     r = table(spark, sf, "fx_rates").withColumn("short", F.date_format(F.to_date("valid_from"), "ddMMyy"))
     return r.select("fx_rate_id", N.short_date(F.col("short")).alias("d"), "short")
 
@@ -489,7 +489,7 @@ def twin_ids(spark, sf):  # HSH-04
 
 
 @query("""SELECT event_id, '{"k":' || json_extract_string(props, '$.k') || '}' AS canonical FROM events""")
-def canonical_payloads(spark, sf):  # HSH-01, FN-21
+def canonical_payloads(spark, sf):  # HSH-01
     return table(spark, sf, "events").select("event_id", H.canonical_json_udf(F.col("props")).alias("canonical"))
 
 

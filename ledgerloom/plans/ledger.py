@@ -13,7 +13,9 @@ from ..functions import hashing as H
 from ..functions import numbers as N
 from ..functions import text as X
 from ..operators import folds
+from ..operators import lookups as L
 from ..operators import ordered as O
+from ..operators.cells import day_cells, span_cells
 from ..operators.record_split import RULES, dialects
 from ..session import table
 from .payables import _DIALECT, _sql_number, _sql_order, sql_trim
@@ -500,3 +502,109 @@ def watermark_moves(spark, sf):  # CMP-07, AGG-15: a run's mark against the mark
     d = O.previous_row(f, ["source_system"], "i", F.col("m"), "p")
     z = lambda c: F.coalesce(c, F.lit(0))
     return d.select("run_id", z(F.col("m")).alias("after"), z(F.col("p.v")).alias("before"), (z(F.col("m")) > z(F.col("p.v"))).alias("advanced"))
+
+
+# -- documents and their parts ---------------------------------------------------------------------
+_PARENT = "k, batch_id, path"
+
+
+@query(f"""WITH l AS (SELECT line_id, {_sql_order('po_number')} AS k, batch_id, path, {sql_trim('line_no')} AS n FROM purchase_order_lines WHERE po_number IS NOT NULL)
+SELECT line_id, CAST(row_number() OVER (PARTITION BY {_PARENT} ORDER BY n NULLS FIRST, line_id) AS BIGINT) AS place, length(k) % 2 = 0 AS embedded FROM l""")
+def document_lines(spark, sf):  # JN-07: a document's own lines where it has some, else the separate ones by key; here an order inside a file is the document
+    l = table(spark, sf, "purchase_order_lines").where("po_number is not null").select("line_id", X.canonical_order_number(F.col("po_number")).alias("k"), "batch_id", "path", X.trim_ws(F.col("line_no")).alias("n"))
+    own = F.length("k") % 2 == 0
+    packed = l.groupBy("k", "batch_id", "path").agg(F.collect_list(F.when(own, F.struct("n", "line_id"))).alias("lines"))  # bounded by its file
+    return L.embedded_else_separate(packed, "lines", l, ["k", "batch_id", "path"], ["n", "line_id"]).select("line_id", "place", "embedded")
+
+
+_WARNINGS = [("W_NO_ORDER", "matched_po IS NULL"), ("W_RETRIED", "attempts > 1"), ("W_SUPERSEDED", "superseded_by IS NOT NULL")]
+
+
+@query(f"""WITH c AS (SELECT proposal_id, max_by(struct_pack(invoice_key, status), seq * 100000000 + revision_id) AS x, list_distinct(flatten(list([{", ".join(f"CASE WHEN {w} THEN '{c}' END" for c, w in _WARNINGS)}]))) AS w FROM proposals WHERE proposal_id IS NOT NULL AND seq IS NOT NULL GROUP BY 1)
+SELECT proposal_id, split_part(x.invoice_key, chr(31), 1) AS supplier_number, split_part(x.invoice_key, chr(31), 2) AS invoice_number, x.status AS status, array_to_string(list_sort(list_filter(w, lambda v: v IS NOT NULL)), ',') AS warnings FROM c""")
+def outbox_details(spark, sf):  # PRJ-03, AGG-18, FN-13: a proposal's last revision, its key split, its warnings sorted, distinct and joined
+    p = table(spark, sf, "proposals").where("proposal_id is not null and seq is not null")
+    seen = [F.max(F.when(F.expr(w), F.lit(c))).alias(c) for c, w in _WARNINGS]
+    g = p.groupBy("proposal_id").agg(F.max_by(F.struct("invoice_key", "status"), F.struct("seq", "revision_id")).alias("x"), *seen)
+    return g.select("proposal_id", X.key_part(F.col("x.invoice_key"), 0).alias("supplier_number"), X.key_part(F.col("x.invoice_key"), 1).alias("invoice_number"), F.col("x.status").alias("status"), F.array_join(F.array(*[c for c, _ in _WARNINGS]), ",").alias("warnings"))
+
+
+@query("""SELECT change_id, coalesce(CASE WHEN trim(coalesce(name, '')) = '' THEN 'E_FIELD_REQUIRED' END, CASE WHEN currency IS NULL THEN 'E_CURRENCY_UNKNOWN' END, CASE WHEN payment_terms_days > 60 THEN 'W_LONG_TERMS' END, CASE WHEN starts_with(name, ' ') OR ends_with(name, ' ') OR starts_with(supplier_number, ' ') OR ends_with(supplier_number, ' ') THEN 'W_BLANKS' END) AS first_finding FROM suppliers""")
+def first_findings(spark, sf):  # SNK-03: the first finding of a record, errors before warnings
+    s = table(spark, sf, "suppliers")
+    blanks = lambda c: F.col(c).startswith(" ") | F.col(c).endswith(" ")
+    errors = [F.when(F.trim(F.coalesce("name", F.lit(""))) == "", "E_FIELD_REQUIRED"), F.when(F.col("currency").isNull(), "E_CURRENCY_UNKNOWN")]
+    warnings = [F.when(F.col("payment_terms_days") > 60, "W_LONG_TERMS"), F.when(blanks("name") | blanks("supplier_number"), "W_BLANKS")]
+    return s.select("change_id", F.coalesce(*errors, *warnings).alias("first_finding"))
+
+
+@query("""SELECT blocked, 'cost_centers' AS dataset, CAST(NULL AS VARCHAR) AS iban, code AS key, name FROM cost_centers UNION ALL SELECT blocked, 'suppliers', iban, supplier_number, name FROM suppliers""")
+def negotiated_rows(spark, sf):  # SNK-05: rows of several datasets under the sorted union of their columns
+    from ..sources.sinks import sorted_union
+
+    a = table(spark, sf, "cost_centers").select(F.lit("cost_centers").alias("dataset"), F.col("code").alias("key"), "name", "blocked")
+    b = table(spark, sf, "suppliers").select(F.lit("suppliers").alias("dataset"), F.col("supplier_number").alias("key"), "name", "blocked", "iban")
+    return sorted_union([a, b])
+
+
+@query("""WITH p AS (SELECT invoice_key, proposal_id, min_by(proposal_content_hash, revision_id) AS h, min(received_at) AS t, min(revision_id) AS r FROM proposals WHERE invoice_key IS NOT NULL GROUP BY ALL),
+f AS (SELECT invoice_key, min_by(struct_pack(proposal_id, h), r) AS a, max_by(struct_pack(proposal_id, h), r) AS z FROM p GROUP BY 1) SELECT invoice_key, a.proposal_id AS first_proposal, z.proposal_id AS last_proposal, a.h <> z.h AS amended FROM f""")
+def amended_deliveries(spark, sf):  # GEN-03: first and last delivery of an invoice, amended where the hash differs
+    p = table(spark, sf, "proposals").where("invoice_key is not null")
+    one = F.struct("revision_id", "proposal_id", F.col("proposal_content_hash").alias("h"))
+    g = p.groupBy("invoice_key", "proposal_id").agg(F.min(one).alias("x")).groupBy("invoice_key").agg(F.min("x").alias("a"), F.max("x").alias("z"))
+    return g.select("invoice_key", F.col("a.proposal_id").alias("first_proposal"), F.col("z.proposal_id").alias("last_proposal"), (F.col("a.h") != F.col("z.h")).alias("amended"))
+
+
+@query("""WITH f AS (SELECT *, row_number() OVER (PARTITION BY batch_id, path ORDER BY receipt_id) AS n, concat_ws('|', run_id, dataset, format, regexp_replace(coalesce(header_line, '-'), '[0-9]+', '#', 'g'), coalesce(CAST(declared_records AS VARCHAR), '-'), coalesce(sha256, '-')) AS t FROM file_receipts)
+SELECT b.receipt_id, a.t = b.t AS same FROM f a JOIN f b USING (batch_id, path) WHERE a.n = 1 AND b.n > 1""")
+def replay_comparison(spark, sf):  # CMP-11: artifacts of two runs, compared without their volatile fields
+    z = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("-"))
+    t = F.concat_ws("|", "run_id", "dataset", "format", F.regexp_replace(z("header_line"), "[0-9]+", "#"), z("declared_records"), z("sha256"))
+    f = table(spark, sf, "file_receipts").select("batch_id", "path", "receipt_id", t.alias("t"))
+    first = f.groupBy("batch_id", "path").agg(F.min(F.struct("receipt_id", "t")).alias("x"))
+    return f.join(first, ["batch_id", "path"]).where("receipt_id <> x.receipt_id").select("receipt_id", (F.col("t") == F.col("x.t")).alias("same"))
+
+
+@query("""WITH s AS (SELECT source_system, sum(coalesce(accepted, 0)) AS e, sum(coalesce(seen, 0)) AS p FROM file_receipts GROUP BY 1) SELECT source_system, CAST(e AS BIGINT) AS earned, CAST(p AS BIGINT) AS possible,
+CASE WHEN p = 0 THEN 'none' WHEN e * 100 >= p * 95 THEN 'high' WHEN e * 100 >= p * 80 THEN 'middle' ELSE 'low' END AS band FROM s""")
+def score_bands(spark, sf):  # CMP-17: sums by group and the band they fall in
+    z = lambda c: F.sum(F.coalesce(c, F.lit(0)))
+    g = table(spark, sf, "file_receipts").groupBy("source_system").agg(z("accepted").alias("earned"), z("seen").alias("possible"))
+    e, p = F.col("earned") * 100, F.col("possible")
+    return g.select("source_system", "earned", "possible", F.when(p == 0, "none").when(e >= p * 95, "high").when(e >= p * 80, "middle").otherwise("low").alias("band"))
+
+
+_FROM, _TO = "2025-06-01", "2025-09-01"
+
+
+@query(f"""WITH d AS (SELECT CAST(unnest(generate_series(DATE '{_FROM}', DATE '{_TO}' - INTERVAL 1 DAY, INTERVAL 1 DAY)) AS DATE) AS d), b AS (SELECT DISTINCT base FROM fx_rates WHERE quote = 'CHF' AND rate_type = 'DAILY'),
+r AS (SELECT base, valid_from, valid_to, status, row_number() OVER (PARTITION BY base, valid_from ORDER BY sequence DESC, fx_rate_id) AS n FROM fx_rates WHERE quote = 'CHF' AND rate_type = 'DAILY')
+SELECT base, CAST(count(*) FILTER (WHERE NOT covered) AS BIGINT) AS open_days FROM (SELECT b.base, d.d, EXISTS (SELECT 1 FROM r WHERE r.base = b.base AND n = 1 AND status <> 'DELETED' AND CAST(valid_from AS DATE) <= d.d AND (valid_to IS NULL OR d.d < CAST(valid_to AS DATE))) AS covered FROM b, d) GROUP BY 1""")
+def uncovered_days(spark, sf):  # WIN-11: days of a window no standing rate covers; spans are clipped to the window and cut into calendar cells
+    r = table(spark, sf, "fx_rates").where("quote = 'CHF' and rate_type = 'DAILY'").withColumn("t", -F.col("fx_rate_id"))
+    last = O.latest(r.select("base", "valid_from", "valid_to", "status", "sequence", "t"), ["base", "valid_from"], ["sequence", "t"]).where("status <> 'DELETED'")
+    lo, hi = F.greatest(F.to_date("valid_from"), F.lit(_FROM).cast("date")), F.least(F.coalesce(F.to_date("valid_to"), F.lit(_TO).cast("date")), F.lit(_TO).cast("date"))
+    cells = last.select("base", F.explode(span_cells(lo, hi)).alias("c")).distinct()
+    days = r.select("base").distinct().withColumn("d", F.explode(F.sequence(F.lit(_FROM).cast("date"), F.date_sub(F.lit(_TO).cast("date"), 1))))
+    met = days.select("base", "d", F.explode(day_cells(F.col("d"))).alias("c")).join(cells, ["base", "c"]).select("base", "d").distinct().withColumn("hit", F.lit(1))
+    return days.join(met, ["base", "d"], "left").groupBy("base").agg(F.count(F.when(F.col("hit").isNull(), 1)).alias("open_days"))
+
+
+@query(f"""WITH c AS (SELECT line_id, d, t, {_sql_value('q').replace('DECIMAL(18,6)', 'DECIMAL(28,3)')} AS v FROM (SELECT line_id, quantity AS q, dec, tho, CASE WHEN dec = ',' THEN ',' ELSE '.' END AS d, chr(39) AS t FROM {_LINES}))
+SELECT line_id, replace(replace(replace(format('{{:,.3f}}', CAST(v AS DOUBLE)), ',', '~'), '.', d), '~', t) AS written, v AS value FROM c WHERE v IS NOT NULL AND abs(v) < 100000000""")
+def dialect_cells(spark, sf):  # FN-23: numbers written by the dialect of their file, and read from it again
+    d = dialects(table(spark, sf, "file_receipts")).select("batch_id", "path", "decimal_separator", "thousands_separator")
+    l = table(spark, sf, "purchase_order_lines").join(d, ["batch_id", "path"], "left")
+    v = N.parse_number(X.trim_ws(F.col("quantity")), F.col("decimal_separator"), F.col("thousands_separator")).try_cast("decimal(28,3)")
+    dec = F.when(F.col("decimal_separator") == ",", ",").otherwise(".")
+    w = l.select("line_id", dec.alias("dec"), v.alias("v")).where(F.col("v").isNotNull() & (F.abs("v") < 100000000))
+    w = w.select("line_id", "dec", N.written_number(F.col("v"), 3, F.col("dec"), F.lit("'")).alias("written"))
+    return w.select("line_id", "written", N.parse_number(F.col("written"), F.col("dec"), F.lit("'")).try_cast("decimal(28,3)").alias("value"))
+
+
+@query(f"""WITH o AS (SELECT {_sql_order('po_number')} AS k, max_by(struct_pack(i := po_row_id, g := deleted_at), change_seq * 1000000000 + po_row_id) AS x FROM purchase_orders WHERE po_number IS NOT NULL AND change_seq IS NOT NULL GROUP BY 1)
+SELECT k AS order_key, x.i AS po_row_id FROM o WHERE x.g IS NULL ORDER BY k LIMIT 100""")
+def first_live_orders(spark, sf):  # SRC-23, SRC-22: the heads of the live orders in key order, stopping early (the limit is the feature)
+    o = table(spark, sf, "purchase_orders").where("po_number is not null and change_seq is not null").select(X.canonical_order_number(F.col("po_number")).alias("order_key"), "po_row_id", "deleted_at", "change_seq")
+    return O.latest(o, ["order_key"], ["change_seq", "po_row_id"]).where("deleted_at is null").orderBy("order_key").limit(O.page_size(None)).select("order_key", "po_row_id")

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import json
 import os
+import shutil
 import tempfile
 import time
 import uuid
@@ -34,8 +36,22 @@ def shared_root(spark: SparkSession) -> str:
 
 
 def shared_dir(spark: SparkSession, label: str) -> str:
-    """A new, unused path below the shared folder."""
-    return f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
+    """A new, unused path below the shared folder; :func:`release` deletes it."""
+    path = f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
+    _made.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+_made: dict[str, list[str]] = {}
+
+
+def release(spark: SparkSession) -> int:
+    """Deletes the working folders this application has made so far (store versions, cut lineage). For the
+    caller to call when no DataFrame it still needs was made from them. Returns their number."""
+    paths = _made.pop(spark.sparkContext.applicationId, [])
+    for p in paths:
+        SharedFiles(spark, p).delete("")
+    return len(paths)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,6 +81,7 @@ def ship_code(spark: SparkSession) -> None:
         return
     root = os.path.dirname(os.path.abspath(__file__))
     folder = tempfile.mkdtemp(prefix="ledgerloom-code-")
+    atexit.register(shutil.rmtree, folder, True)
     target = os.path.join(folder, "ledgerloom_code.zip")
     with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
         for at, _, files in os.walk(root):

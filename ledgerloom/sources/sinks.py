@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from decimal import Decimal
+from functools import reduce
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -63,6 +64,12 @@ def store_raw(files_df: DataFrame, path: str) -> DataFrame:
     return spark.read.schema(RAW).parquet(path)
 
 
+def sorted_union(rows: list[DataFrame]) -> DataFrame:
+    """Rows of several shapes under the sorted union of their columns; what a shape lacks is null."""
+    out = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), rows)
+    return out.select(*sorted(out.columns))
+
+
 def swiss_amount(v):
     """1'234.50 of a decimal column."""
     return F.translate(F.format_number(v, 2), ",", "'")

@@ -353,3 +353,25 @@ def test_windowed_counts_on_a_stream_equal_the_table(spark, tmp_path):
     got = feeds.collect_stream(feeds.windowed_counts(src, "ts", "kind", "1 hour", "0 seconds"), "start timestamp, kind string, n bigint").collect()
     want = feeds.windowed_counts(e, "ts", "kind", "1 hour", "0 seconds").collect()
     assert set(got) <= set(want) and len(got) >= len(want) - 2
+
+
+def test_release_deletes_the_working_folders(spark, tmp_path):
+    from ledgerloom import session
+
+    before = session._made.pop(spark.sparkContext.applicationId, [])
+    try:
+        path = shared_dir(spark, "t-release")
+        spark.range(3).write.parquet(path)
+        assert SharedFiles(spark, path).exists("") and session.release(spark) == 1 and not SharedFiles(spark, path).exists("") and session.release(spark) == 0
+    finally:
+        session._made[spark.sparkContext.applicationId] = before
+
+
+def test_embedded_lines_win_and_unions_are_sorted(spark):
+    p = spark.createDataFrame([(1, [(2, "b"), (1, "a")]), (2, []), (3, None), (4, [(None, "x")]), (None, None)], "k int, lines array<struct<n:int,t:string>>")
+    s = spark.createDataFrame([(1, 9, "ignored"), (2, 5, "c"), (2, 4, "d"), (3, 1, "e"), (7, 1, "no parent"), (None, 1, "null")], "k int, n int, t string")
+    got = {(r.k, r.place, r.t, r.embedded) for r in lookups.embedded_else_separate(p, "lines", s, ["k"], ["n"]).collect()}
+    assert got == {(1, 1, "a", True), (1, 2, "b", True), (2, 1, "d", False), (2, 2, "c", False), (3, 1, "e", False), (4, 1, "x", True)}
+    a, b = spark.createDataFrame([(1, "x")], "z int, b string"), spark.createDataFrame([(2.5,)], "a double")
+    assert [tuple(r) for r in sinks.sorted_union([a, b]).orderBy("z").collect()] == [(2.5, None, None), (None, "x", 1)]
+    assert [ordered.page_size(x) for x in (None, 0, 7, 999)] == [100, 1, 7, 250]
