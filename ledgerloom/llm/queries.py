@@ -49,12 +49,12 @@ SQL["p8_roundtrip"] = "SELECT doc_id, true AS same FROM documents"
 
 
 # -- 9: mixing sources ----------------------------------------------------------------
-def _mix(spark: SparkSession, sf: str, corpus: bool = False) -> tuple[DataFrame, mix.MixPlan]:
-    """corpus: the budget is all tokens of the listed sources, so short sources run dry."""
+def _mix(spark: SparkSession, sf: str, tenths: int | None = None) -> tuple[DataFrame, mix.MixPlan]:
+    """tenths: the budget in tenths of all tokens of the listed sources; with ten, short sources run dry."""
     docs, goals = _documents(spark, sf), table(spark, sf, "mix_targets")
     counted = tok.encode(docs.where("source is not null"), what="count", keep=["source"])
     sized = written(mix.sized_documents(counted, goals), "mix-sized")
-    plan = mix.make_plan(sized, goals, (sized.agg(F.sum("n_tokens")).first()[0] or 0) if corpus else None)
+    plan = mix.make_plan(sized, goals, None if tenths is None else (sized.agg(F.sum("n_tokens")).first()[0] or 0) * tenths // 10)
     return mix.mixture(sized, plan), plan
 
 
@@ -67,11 +67,16 @@ def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p9_corpus_mixture(spark: SparkSession, sf: str) -> DataFrame:
-    return _mix(spark, sf, True)[0]
+    return _mix(spark, sf, 10)[0]
 
 
 def p9_corpus_shares(spark: SparkSession, sf: str) -> DataFrame:
-    return mix.shares(*_mix(spark, sf, True))
+    return mix.shares(*_mix(spark, sf, 10))
+
+
+def p9_tenth_shares(spark: SparkSession, sf: str) -> DataFrame:
+    """A budget below what the sources have: every source with documents meets its share."""
+    return mix.shares(*_mix(spark, sf, 1))
 
 
 # -- 10: text quality ---------------------------------------------------------------
@@ -103,4 +108,4 @@ SELECT doc_id, n AS n_words, CASE WHEN n > 0 THEN CAST(total AS DOUBLE) / CAST(n
   CASE WHEN nl > 0 THEN CAST(len(list_filter(l, lambda x: right(x, 1) IN ('.', '!', '?', ':', ';', ','))) AS DOUBLE) / CAST(nl AS DOUBLE) END AS punctuated_lines,
   CASE WHEN n > 0 THEN CAST(len(list_filter(w, lambda x: trim(lower(x), '.,;:!?()"' || chr(39)) IN ({_COMMON}))) AS DOUBLE) / CAST(n AS DOUBLE) END AS common_words FROM n"""
 
-QUERIES = {"p6_found": p6_found, "p6_restored": p6_restored, "p8_ids": p8_ids, "p8_roundtrip": p8_roundtrip, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p9_corpus_mixture": p9_corpus_mixture, "p9_corpus_shares": p9_corpus_shares, "p10_found": p10_found, "p10_shapes": p10_shapes, "p10_statistics": p10_statistics}
+QUERIES = {"p6_found": p6_found, "p6_restored": p6_restored, "p8_ids": p8_ids, "p8_roundtrip": p8_roundtrip, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p9_corpus_mixture": p9_corpus_mixture, "p9_corpus_shares": p9_corpus_shares, "p9_tenth_shares": p9_tenth_shares, "p10_found": p10_found, "p10_shapes": p10_shapes, "p10_statistics": p10_statistics}

@@ -104,6 +104,36 @@ def test_mixture_meets_targets_and_caps(spark):
     s.unpersist()
 
 
+def test_mixture_equals_weighted_fair_queueing_by_hand(spark):
+    rnd = random.Random(12)
+    docs = [(i, rnd.choice(["a", "b", "c"]), rnd.choice([1, 5, 20])) for i in range(200)] + [(900 + i, "d", 7) for i in range(3)]
+    goals = [("a", 0.5, 1), ("b", 0.25, 2), ("c", 0.2, 3), ("d", 0.05, 4)]
+    s = mix.sized_documents(sized(spark, docs), spark.createDataFrame(goals, "source string, target_share double, max_repeats int")).cache()
+    h = {r.doc_id: r.h & (2**64 - 1) for r in s.collect()}
+    weight, repeats = {g[0]: g[1] for g in goals}, {g[0]: g[2] for g in goals}
+    queue = []
+    for name in weight:
+        own = sorted((h[i] >> 1, h[i], i, n) for i, src, n in docs if src == name)
+        have, at = sum(n for *_, n in own), 0
+        for k in range(repeats[name]):
+            for _, _, i, n in own:
+                at += n
+                queue.append((at / weight[name], name, i, k + 1, n))
+        assert at == have * repeats[name]
+    queue.sort()
+    for budget in (50, 700, None, 10**6):
+        plan = mix.make_plan(s, spark.createDataFrame(goals, "source string, target_share double, max_repeats int"), budget)
+        want, at = set(), 0
+        for _, name, i, k, n in queue:
+            if at + n > plan.budget:
+                break
+            want.add((i, k, at))
+            at += n
+        for rows in (13, 10**6):
+            assert {(r.doc_id, r.repeat, r.start) for r in mix.mixture(s, plan, rows).collect()} == want
+    s.unpersist()
+
+
 @needs_files
 def test_corpus_budget_is_not_set_by_the_first_source_to_run_out(spark, tmp_path):
     from ledgerloom.llm import queries
