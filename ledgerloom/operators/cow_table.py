@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import Versioned
+from .ordered import block_width
 
 BLOCK = 100_000
 
@@ -120,15 +121,9 @@ class CowTable(Versioned):
         return None if log is None else change_effects(log, self.block)
 
 
-def _span(log: DataFrame, block: int) -> int:
-    """Width of seq spans that hold about ``block`` rows of the log each, at least ``block`` numbers."""
-    lo, hi, n = log.agg(F.min("seq"), F.max("seq"), F.count("*")).first()
-    return block if not n else max(block, (hi - lo + 1) * block // n)
-
-
 def _blocks(log: DataFrame, block: int) -> DataFrame:
     """Rows with the previous state inside their (key, span); head marks the first of a span."""
-    rows = log.withColumn("b", F.floor(F.col("seq") / _span(log, block)).cast("long"))
+    rows = log.withColumn("b", F.floor(F.col("seq") / block_width(log, "seq", block)).cast("long"))
     w = Window.partitionBy("key", "b").orderBy("seq")
     return rows.withColumn("prev", F.lag("state").over(w)).withColumn("head", F.row_number().over(w) == 1)
 

@@ -3,7 +3,7 @@
 Rows are cut into blocks of an integer order column; inside (key, block) an ordinary
 window is enough, and between blocks only one summary row per block is chained. The
 order column should be unique per key (ties fall back to ``tie``), so a block holds at
-most ``block`` rows of a key.
+most ``block`` rows of a key; for a column with wide gaps pass ``block_width`` as the block.
 """
 
 from __future__ import annotations
@@ -14,6 +14,13 @@ from pyspark.sql import functions as F
 BLOCK = 100_000
 
 
+def block_width(df: DataFrame, order: str, block: int = BLOCK) -> int:
+    """Width of order ranges that hold about ``block`` rows of the table each, for a sparse column: with
+    the default width every row of it would be a block of its own."""
+    lo, hi, n = df.agg(F.min(order), F.max(order), F.count("*")).first()
+    return block if not n or lo is None else max(block, (hi - lo + 1) * block // n)
+
+
 def _block(df: DataFrame, order: str, block: int) -> DataFrame:
     return df.withColumn("_b", F.floor(F.col(order) / block).cast("long"))
 

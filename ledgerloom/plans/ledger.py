@@ -608,3 +608,9 @@ SELECT k AS order_key, x.i AS po_row_id FROM o WHERE x.g IS NULL ORDER BY k LIMI
 def first_live_orders(spark, sf):  # SRC-23, SRC-22: the heads of the live orders in key order, stopping early (the limit is the feature)
     o = table(spark, sf, "purchase_orders").where("po_number is not null and change_seq is not null").select(X.canonical_order_number(F.col("po_number")).alias("order_key"), "po_row_id", "deleted_at", "change_seq")
     return O.latest(o, ["order_key"], ["change_seq", "po_row_id"]).where("deleted_at is null").orderBy("order_key").limit(O.page_size(None)).select("order_key", "po_row_id")
+
+
+@query(f"SELECT {_sql_order('po_number')} AS order_key FROM purchase_order_lines WHERE po_number IS NOT NULL EXCEPT SELECT {_sql_order('po_number')} FROM purchase_orders WHERE po_number IS NOT NULL")
+def foreign_orders(spark, sf):  # SET-04: what is listed and not owned
+    keys = lambda t: table(spark, sf, t).where("po_number is not null").select(X.canonical_order_number(F.col("po_number")).alias("order_key"))
+    return keys("purchase_order_lines").subtract(keys("purchase_orders"))

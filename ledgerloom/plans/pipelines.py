@@ -11,7 +11,7 @@ from ..functions.text import trim_ws
 from ..operators import folds, validate as V
 from ..operators.cow_table import CowTable
 from ..operators.message_store import MessageStore
-from ..operators.record_split import UNITS, dialects
+from ..operators.record_split import UNITS, bad_quoting, dialects, framed
 from ..session import shared_dir, table
 from ..sources import files as S
 from ..sources import intake as I
@@ -143,8 +143,12 @@ def source_detected(spark, sf):  # SRC-14, SRC-15: files of four formats in one
 # -- intake of batches ---------------------------------------------------------------------------
 def _deliveries(spark, sf) -> tuple[DataFrame, DataFrame]:
     """The raw records put back into files, a manifest per batch. By their numbers of records, some files
-    have a wrong checksum or count, and some batches are to be aborted by one reject."""
-    r = table(spark, sf, "records").where("raw_text is not null and raw_text <> ''").select("batch_id", F.col("file").alias("path"), "dataset", "line", "record_id", "raw_text")
+    have a wrong checksum or count, and some batches are to be aborted by one reject. A record with
+    broken quoting ends with its line in a file, so a line end inside one is written as a blank."""
+    r = table(spark, sf, "records").where("raw_text is not null and raw_text <> ''")
+    torn = framed(r, table(spark, sf, "file_receipts")).select("record_id", F.exists("cells", lambda c: bad_quoting(c["raw"])).alias("torn"))
+    text = F.when(F.col("torn"), F.translate("raw_text", "\n", " ")).otherwise(F.col("raw_text"))
+    r = r.join(torn, "record_id").select("batch_id", F.col("file").alias("path"), "dataset", "line", "record_id", text.alias("raw_text"))
     heads = dialects(table(spark, sf, "file_receipts")).where("header_line is not null")
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "record_id", "raw_text"))), lambda x: x["raw_text"]), "\n")  # a file is bounded
     f = r.groupBy("batch_id", "path", "dataset").agg(body.alias("body"), F.count("*").alias("n")).join(heads, ["batch_id", "path"])

@@ -5,7 +5,8 @@
 2. The files that pass are parsed; their records are framed and validated (operators.record_split).
 3. Every record gets an outcome: a fault of its batch or file, its own first finding, the abort of
    its batch, or, if it is clean, ``accepted`` or ``skipped_unchanged`` against the content that its
-   key had before it, in the order of batch, file and record.
+   key had before it, in the order of batch, file and record. A fault of one file aborts a batch as a
+   rejected record does.
 
 Defined results: files are taken in the order of batch and path. A file with a fault gives its
 records that code and applies none; a file that is missing or cannot be decoded has one row with
@@ -135,7 +136,8 @@ def intake(manifests: DataFrame, files: DataFrame, live: DataFrame | None = None
     d = d.join(e.select("n", "batch", "path", "on_error", "fault"), "n")
     d = d.withColumn("code", F.coalesce("fault", "code")).withColumn("field", F.when(F.col("fault").isNull(), F.col("field")))
     d = written(d, "intake-judged")
-    aborted = d.where("on_error = 'abort_batch' and code is not null").select("batch").distinct().withColumn("aborted", F.lit("E_BATCH_ABORTED"))
+    rejected = d.select("batch", "on_error", "code").unionByName(e.select("batch", "on_error", F.col("fault").alias("code")))
+    aborted = rejected.where("on_error = 'abort_batch' and code is not null").select("batch").distinct().withColumn("aborted", F.lit("E_BATCH_ABORTED"))
     d = d.join(aborted, "batch", "left").withColumn("code", F.coalesce("code", "aborted"))
     clean = d.where("code is null").select("record_id", "dataset", "natural_key", "content")
     p = previous_row(clean, ["dataset", "natural_key"], "record_id", F.col("content"), "p", block=1000 * FILE_RECORDS)

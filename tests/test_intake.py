@@ -75,6 +75,12 @@ def test_live_content_decides_what_is_unchanged(spark, tmp_path):
     assert {r.natural_key: r.outcome for r in outcomes(spark, tmp_path, live).collect()} == {"1": "skipped_unchanged", "2": "accepted"}
 
 
+def test_a_faulty_file_aborts_its_batch(spark, tmp_path):
+    deliver(tmp_path, "b1", {"a.csv": HEAD + row("1"), "b.csv": HEAD + row("2")}, on_error="abort_batch")
+    (tmp_path / "b1" / "b.csv").unlink()
+    assert {(r.path, r.outcome, r.code) for r in outcomes(spark, tmp_path).collect()} == {("a.csv", "rejected", "E_BATCH_ABORTED"), ("b.csv", "rejected", "E_FILE_MISSING")}
+
+
 def test_manifest_rules_in_order(spark):
     good = {"manifest_version": "1", "batch_id": "b-1", "mode": "upsert", "on_error": "continue", "files": [{"path": "a.csv", "dataset": "supplier", "sha256": "a" * 64, "record_count": 0}]}
     entry = lambda **kw: {"files": [good["files"][0] | kw]}
