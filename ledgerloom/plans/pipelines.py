@@ -166,12 +166,12 @@ _INTAKE = P3 + f""", fi AS (SELECT batch_id, file, count(*) AS n, CASE WHEN coun
 ba AS (SELECT batch_id, count(*) % 2 = 0 AS abort FROM fi GROUP BY 1),
 o AS (SELECT record_id, batch_id, file, line, row_number() OVER (PARTITION BY batch_id, file ORDER BY line, record_id) AS ordinal FROM records WHERE raw_text IS NOT NULL AND raw_text <> ''),
 q AS (SELECT *, CASE WHEN torn THEN 1 WHEN off THEN 2 WHEN NOT ok THEN 3 END AS rk FROM k),
-b AS (SELECT record_id, {CODE_OF} AS code, CASE WHEN rk = 3 THEN name END AS field FROM (SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY rk, pos) AS one FROM q WHERE rk IS NOT NULL) WHERE one = 1),
+b AS (SELECT record_id, rk, {CODE_OF} AS code, CASE WHEN rk = 3 THEN name END AS field FROM (SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY rk, pos) AS one FROM q WHERE rk IS NOT NULL) WHERE one = 1),
 w AS (SELECT record_id, dataset, CASE dataset {" ".join(f"WHEN '{d}' THEN {x}" for d, x in _K.items())} END AS natural_key, string_agg(name || '=' || v, chr(31) ORDER BY name || '=' || v) AS content FROM k GROUP BY record_id, dataset),
-j AS (SELECT o.*, fi.fault, ba.abort, coalesce(fi.fault, b.code) AS c1, CASE WHEN fi.fault IS NULL THEN b.field END AS f1 FROM o JOIN fi USING (batch_id, file) JOIN ba USING (batch_id) LEFT JOIN b USING (record_id)),
+j AS (SELECT o.*, fi.fault, ba.abort, coalesce(fi.fault, b.code) AS c1, CASE WHEN fi.fault IS NULL THEN b.field END AS f1, coalesce(b.rk < 3, false) AS unframed FROM o JOIN fi USING (batch_id, file) JOIN ba USING (batch_id) LEFT JOIN b USING (record_id)),
 z AS (SELECT *, CASE WHEN c1 IS NULL AND abort AND bool_or(c1 IS NOT NULL) OVER (PARTITION BY batch_id) THEN 'E_BATCH_ABORTED' ELSE c1 END AS c2 FROM j),
 cl AS (SELECT z.record_id, lag(content) OVER (PARTITION BY dataset, natural_key ORDER BY batch_id, file, ordinal) = content AS same FROM z JOIN w USING (record_id) WHERE c2 IS NULL)
-SELECT z.batch_id AS batch, file AS path, ordinal, CASE WHEN fault <> 'E_CHECKSUM_MISMATCH' OR fault IS NULL THEN w.dataset END AS dataset, CASE WHEN fault <> 'E_CHECKSUM_MISMATCH' OR fault IS NULL THEN w.natural_key END AS natural_key,
+SELECT z.batch_id AS batch, file AS path, ordinal, CASE WHEN fault <> 'E_CHECKSUM_MISMATCH' OR fault IS NULL THEN w.dataset END AS dataset, CASE WHEN NOT unframed THEN w.natural_key END AS natural_key,
 CASE WHEN c2 IS NOT NULL THEN 'rejected' WHEN same THEN 'skipped_unchanged' ELSE 'accepted' END AS outcome, c2 AS code, f1 AS field FROM z JOIN w USING (record_id) LEFT JOIN cl USING (record_id) WHERE fault IS NULL OR fault <> 'E_CHECKSUM_MISMATCH'
 UNION ALL SELECT batch_id, file, 0, (SELECT min(dataset) FROM records r WHERE r.batch_id = fi.batch_id AND r.file = fi.file), NULL, 'rejected', fault, NULL FROM fi WHERE fault = 'E_CHECKSUM_MISMATCH'"""
 

@@ -11,7 +11,7 @@
 Defined results: files are taken in the order of batch and path. A file with a fault gives its
 records that code and applies none; a file that is missing or cannot be decoded has one row with
 ordinal 0. An undeclared file is not read (``foreign_files`` names it). A batch given twice is the
-caller's to refuse (its manifest's hash tells). Columns of a manifest that are not known are ignored.
+caller's to refuse (its manifest's hash tells). A record that cannot be framed has no natural key. Columns of a manifest that are not known are ignored.
 """
 
 from __future__ import annotations
@@ -129,11 +129,11 @@ def intake(manifests: DataFrame, files: DataFrame, live: DataFrame | None = None
     heads = raw.groupBy("n").agg(F.max("header_line").alias("header_line"))
     receipts = e.join(heads, "n").select(F.col("n").alias("receipt_id"), F.col("batch").alias("batch_id"), "path", "delimiter", "decimal_separator", "thousands_separator", "date_format", "header_line")
     frames = written(framed(records, receipts), "intake-frames")
-    found = rejects(frames).select("record_id", "code", "field")
+    found = rejects(frames).select("record_id", "code", "field", F.col("reason").isin("quoting", "column_count").alias("unframed"))
 
     keyed = frames.select("record_id", "dataset", natural_key(F.col("dataset"), F.col("cells")).alias("natural_key"), content_of(F.col("cells")).alias("content"))
     d = r.select(rid, "n", "line", "ordinal").join(keyed, "record_id", "left").join(found, "record_id", "left")
-    d = d.join(e.select("n", "batch", "path", "on_error", "fault"), "n")
+    d = d.join(e.select("n", "batch", "path", "on_error", "fault"), "n").withColumn("natural_key", F.when(~F.coalesce("unframed", F.lit(False)), F.col("natural_key")))
     d = d.withColumn("code", F.coalesce("fault", "code")).withColumn("field", F.when(F.col("fault").isNull(), F.col("field")))
     d = written(d, "intake-judged")
     rejected = d.select("batch", "on_error", "code").unionByName(e.select("batch", "on_error", F.col("fault").alias("code")))
