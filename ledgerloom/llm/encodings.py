@@ -44,6 +44,8 @@ OUTSIDE = re.compile(r"[^\x00-\x7f]+")
 WIDE = ("gbk", "shift_jis")
 #: a longer run of characters is not remembered, so a task's memory does not follow its texts
 REMEMBERED = 12
+#: paths of texts up to this length are remembered: names recur
+SHORT = 80
 
 #: that a text begins in a damaged state, before any is seen; later a multiple of the state's share of the
 #: texts, within bounds: short damage speaks softly, and a pair nobody else shows is no explanation
@@ -218,6 +220,7 @@ class Emissions:
         self.total = max(1, sum(self.alone.values()))
         self.log = lru_cache(maxsize=200_000)(self._log)
         self._remember = lru_cache(maxsize=100_000)(self._run)
+        self.short = lru_cache(maxsize=50_000)(lambda text: spans(text, self))
 
     def _log(self, left: str, ch: str, right: str, off: int = 0) -> float:
         if ch == LOST:
@@ -367,7 +370,10 @@ _EMPTY = Emissions({})
 
 
 def _path(models: dict[str, Emissions] | None, tag: str, text: str) -> list[tuple[int, int, int, str]] | None:
-    return None if models is None else spans(text, models.get(tag, _EMPTY))
+    if models is None:
+        return None
+    model = models.get(tag, _EMPTY)
+    return model.short(text) if len(text) <= SHORT else spans(text, model)
 
 
 def find_damage(texts: DataFrame, rounds: int = 2) -> DataFrame:
